@@ -5,16 +5,52 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .minhash import near_duplicates
+from . import decontam, langid, minhash, mixing, tokenbin
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    models = langid.fit(docs.where(~held_out & F.col("lang").isNotNull()))
+    found = langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), models)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    store = tokenbin.write_tokens(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0)
+    return tokenbin.read_tokens(store, docs.select("doc_id")).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.plan_mix(_table(spark, sf_dir, "documents"))
+    return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_minhash": op8_minhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_langid": op5_langid,
+    "op6_tokens": op6_tokens,
+    "op8_minhash": op8_minhash,
+    "op9_decontam": op9_decontam,
+    "op10_mixing": op10_mixing,
+}
