@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, minhash, mixing, tokenbin
+from . import decontam, langid, linededup, minhash, mixing, rules, tokenbin
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = linededup.line_decisions(_table(spark, sf_dir, "documents"))
+    counts = lines.groupBy(F.col("id").alias("doc_id")).agg(
+        F.count("*").alias("n_lines"), F.count_if(~F.col("near")).alias("n_equal"), F.count_if("near").alias("n_near"), F.coalesce(F.sum(F.when(F.col("near").isNotNull(), F.col("line") + 1)), F.lit(0)).cast("long").alias("gone_sum")
+    )
+    return counts
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
@@ -34,6 +42,11 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read_tokens(store, docs.select("doc_id")).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.judge_quality(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
@@ -48,8 +61,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_line_dedup": op4_line_dedup,
     "op5_langid": op5_langid,
     "op6_tokens": op6_tokens,
+    "op7_rules": op7_rules,
     "op8_minhash": op8_minhash,
     "op9_decontam": op9_decontam,
     "op10_mixing": op10_mixing,
