@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, minhash, mixing, rules, tokenbin
+from . import decontam, langid, linededup, minhash, mixing, pii, rules, tokenbin, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(_table(spark, sf_dir, "documents"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return tokencount.count_tokens(docs.select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = linededup.line_decisions(_table(spark, sf_dir, "documents"))
     counts = lines.groupBy(F.col("id").alias("doc_id")).agg(
@@ -61,6 +70,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,
     "op5_langid": op5_langid,
     "op6_tokens": op6_tokens,
