@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, minhash, mixing, pii, rules, tokenbin, tokencount
+from . import cotraining, decontam, langid, linededup, minhash, mixing, pii, rules, tokenbin, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_table(spark, sf_dir, "documents"))
 
 
+def op2_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return cotraining.score(docs, cotraining.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return tokencount.count_tokens(docs.select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
@@ -71,6 +76,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_cotraining": op2_cotraining,
     "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,
     "op5_langid": op5_langid,
