@@ -3,7 +3,673 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from postsieve.functions import dates as D
+from postsieve.functions import text as T
+from postsieve.operators import dedup, entity, reconcile, registry, report, rules, skills, state
+from postsieve.sources import boards, filings
+from postsieve.sources.html import html_to_text
+from postsieve.streaming import flows
+
+from .fixtures import table, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+AS_OF, HOURS, TRUSTED = datetime(2000, 12, 2), 24, ("linkedin", "indeed", "google")
+EVENTS_AS_OF = datetime(2024, 1, 31)
+GATE = rules.GateConfig(domain_words=("widget", "gear", "bolt", "ring"), title_exclusions=("old",), location_patterns=("nation_1",), salary_floor=20_000)
+FULL_GATE = rules.GateConfig(domain_words=("widget", "gear", "bolt", "ring", "plate"), core_words=("widget", "gear"), model_words=("plate",), model_exemptions=("red",), it_words=("rod",), it_blockers=("blue",), title_exclusions=("old", "green "), location_patterns=("nation_1", "nation_20"), salary_floor=20_000, description_stops=("apache license", "trash"), required_words=("the", "of", "and", "widget"), required_count=3, min_years=4)
+LEXICON = {n: rf"\b{n}\b" for n in ("widget", "gear", "bolt", "ring", "rod", "plate", "anvil", "gizmo")}
+TEXT_LEXICON = {n: rf"\b{n}\b" for n in ("the", "of", "tion", "and", "rights", "license", "apache", "version")}
+POOL = [("p0", "profile", {"widget": 1.0, "gear": 0.5}), ("p1", "catalog", {"widget": 1.0, "bolt": 1.0}), ("p2", "catalog", {"ring": 1.0, "rod": 0.5, "gear": 0.2}), ("p3", "catalog", {"plate": 1.0, "anvil": 1.0, "gizmo": 0.5}), ("p4", "profile", {"gizmo": 1.0, "ring": 0.2})]
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _fp():
+    return T.fingerprint(F.col("company"), F.col("title")).alias("fp")
+
+
+def _latest(s: SparkSession, d: str) -> DataFrame:
+    return dedup.dedup_prefer_fresh(view(s, d, "f_postings"), AS_OF, HOURS, TRUSTED)
+
+
+# Dedup, freshness and the rule gate
+
+
+@query
+def funnel_slice(s, d):
+    fresh, stale = dedup.split_fresh(_latest(s, d), AS_OF, HOURS, TRUSTED)
+    both = rules.rule_gate(fresh, GATE).select("stage").union(stale.select(F.lit("stale")))
+    return both.groupBy("stage").agg(F.count("*").alias("n"))
+
+
+@query
+def dedup_prefer_fresh(s, d):
+    return _latest(s, d).select(_fp(), "seq", "source", "salary_max", "posted_at")
+
+
+@query
+def split_fresh(s, d):
+    rows = view(s, d, "f_postings").select("source", "posted_at")
+    fresh, stale = dedup.split_fresh(rows, AS_OF, HOURS, TRUSTED)
+    return fresh.withColumn("fresh", F.lit(True)).union(stale.withColumn("fresh", F.lit(False))).groupBy("source", "fresh").agg(F.count("*").alias("n"))
+
+
+@query
+def title_gate(s, d):
+    titles = table(s, d, "part").select(F.col("p_name").alias("title"))
+    t = F.col("title")
+    marked = titles.select("title", rules.title_admission(t, FULL_GATE).alias("family"), rules.title_exclusion(t, FULL_GATE).alias("exclusion"), rules.title_passes(t, FULL_GATE).alias("passes"))
+    return marked.groupBy(*marked.columns).agg(F.count("*").alias("n"))
+
+
+@query
+def rule_gate(s, d):
+    return rules.rule_gate(view(s, d, "f_postings"), GATE).groupBy("stage", "reason").agg(F.count("*").alias("n"))
+
+
+@query
+def rule_gate_full(s, d):
+    return rules.rule_gate(_latest(s, d), FULL_GATE).select(_fp(), "stage", "reason")
+
+
+@query
+def title_only_gate(s, d):
+    _, without = rules.split_by_description(view(s, d, "f_postings"))
+    return rules.rule_gate(without, GATE, title_only=True).groupBy("stage").agg(F.count("*").alias("n"))
+
+
+@query
+def experience_stop(s, d):
+    rows = view(s, d, "f_requirements").withColumn("stop", rules.experience_stop(F.col("text"), 4))
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.count("stop").alias("stopped"))
+
+
+@query
+def promote_filled(s, d):
+    latest = _latest(s, d)
+    _, pending = rules.split_by_description(latest)
+    details = view(s, d, "f_postings").where("seq % 3 = 0").select(F.col("title"), "description")
+    filled, waiting = rules.promote_filled(pending, details, "title", GATE)
+    return filled.select(_fp(), "stage").union(waiting.select(_fp(), F.lit("pending")))
+
+
+@query
+def sponsor_drops(s, d):
+    rows = _latest(s, d).withColumn("verified", F.when(F.col("seq") % 3 == 0, True).when(F.col("seq") % 3 == 1, False))
+    kept, gone = rules.sponsor_drops(rows, GATE)
+    return kept.withColumn("gone", F.lit(False)).union(gone.withColumn("gone", F.lit(True))).groupBy("source", "verified", "gone").agg(F.count("*").alias("n"))
+
+
+@query
+def sponsor_stats(s, d):
+    rows = _latest(s, d).withColumn("verified", F.when(F.col("seq") % 3 == 0, True).when(F.col("seq") % 3 == 1, False))
+    return report.sponsor_stats(rows, rules.droppable_source(F.col("source"), GATE))
+
+
+@query
+def funnel_counts(s, d):
+    return report.funnel(rules.rule_gate(_latest(s, d), GATE), AS_OF, HOURS, TRUSTED)
+
+
+# Scored rows
+
+
+def _scored(s, d):
+    rows = view(s, d, "f_postings")
+    return rows.withColumn("confidence", F.when(F.col("seq") % 7 == 0, None).otherwise(F.col("seq") % 5 + 1).cast("int")).withColumn("interview_likelihood", (F.col("seq") % 101).cast("int")).drop("description")
+
+
+@query
+def route_scored(s, d):
+    return rules.route(_scored(s, d)).groupBy("route", "daily", "confidence").agg(F.count("*").alias("n"))
+
+
+@query
+def dedup_best_confidence(s, d):
+    return dedup.dedup_best_confidence(_scored(s, d)).select(_fp(), "seq", "confidence")
+
+
+@query
+def top_scored(s, d):
+    return report.top_scored(_scored(s, d)).select("seq", "confidence", "interview_likelihood")
+
+
+@query
+def order_daily(s, d):
+    return report.order_daily(dedup.dedup_best_confidence(_scored(s, d))).select("seq", "confidence", "interview_likelihood")
+
+
+@query
+def score_breakdown(s, d):
+    return report.score_breakdown(_scored(s, d).select("confidence"))
+
+
+@query
+def daily_rows(s, d):
+    best = dedup.dedup_best_confidence(_scored(s, d))
+    return best.select(_fp(), T.salary_text(F.col("salary_min"), F.col("salary_max")).alias("salary"), D.humanize_age(F.col("posted_at"), F.lit(AS_OF)).alias("age"), T.sponsorship_label(F.when(F.col("seq") % 3 == 0, True).when(F.col("seq") % 3 == 1, False)).alias("sponsor"), F.array_join(T.cap_list(F.split("title", " "), 1), ", ").alias("signals"))
+
+
+@query
+def below_cutoff_audit(s, d):
+    best = dedup.dedup_best_confidence(_scored(s, d)).where("confidence < 3")
+    return best.select(_fp(), F.format_string("Confidence %d/5 (Daily needs 3+): %s", "confidence", "title").alias("reason"))
+
+
+@query
+def batch_index(s, d):
+    return reconcile.batch_index(_scored(s, d).withColumn("description", F.lit("")), 8).select("seq", "source", "batch_no", "idx")
+
+
+@query
+def reconcile_replies(s, d):
+    batch = table(s, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 8).alias("batch_no"), (F.col("doc_id") % 8).cast("bigint").alias("idx"), F.concat(F.lit("doc"), "doc_id").alias("fingerprint"))
+    out = reconcile.reconcile_replies(batch, view(s, d, "f_replies").drop("doc_id"))
+    return out.select("doc_id", "confidence", F.col("interview_likelihood").cast("bigint").alias("interview_likelihood"), "scored")
+
+
+@query
+def clean_confidence(s, d):
+    return view(s, d, "f_replies").select("doc_id", T.clean_confidence(F.col("confidence")).alias("confidence"), T.valid_likelihood(F.col("interview_likelihood")).alias("valid"))
+
+
+# Known rows and state tables
+
+
+def _known_tables(s, d):
+    audit = view(s, d, "f_audit")
+    jobs = audit.where("id % 3 = 0").select("job_fingerprint", "created_at")
+    feedback = audit.where("reason = 'purchase'").select("job_fingerprint")
+    return jobs, audit, feedback
+
+
+@query
+def known_keys(s, d):
+    return dedup.known_keys(*_known_tables(s, d), EVENTS_AS_OF, 5)
+
+
+@query
+def drop_known(s, d):
+    known = dedup.known_keys(*_known_tables(s, d), EVENTS_AS_OF, 5)
+    users = table(s, d, "customer").select(F.concat(F.lit("user"), F.col("c_custkey").cast("string")).alias("key"), "c_custkey")
+    return dedup.except_by_key(users, known.withColumnRenamed("job_fingerprint", "key"), "key")
+
+
+@query
+def known_subset(s, d):
+    users = table(s, d, "customer").select(F.concat(F.lit("user"), F.col("c_custkey").cast("string")).alias("key"))
+    return dedup.known_subset(users, view(s, d, "f_audit").withColumnRenamed("job_fingerprint", "key"), "key")
+
+
+@query
+def append_new(s, d):
+    rows = view(s, d, "f_postings").drop("description").withColumn("fp", T.fingerprint(F.col("company"), F.col("title")))
+    target = rows.where("source = 'hackernews'").select("fp").distinct()
+    return state.append_new(target, rows, "fp").select("fp", "seq")
+
+
+@query
+def merge_latest(s, d):
+    rows = view(s, d, "f_postings").withColumn("fp", T.fingerprint(F.col("company"), F.col("title"))).select("fp", "seq", "source", F.length("description").cast("string").alias("description"))
+    target = state.append_new(rows.select("fp").limit(0), rows.where("source = 'hackernews'"), "fp")
+    return state.merge_latest(target, rows, "fp", "description")
+
+
+@query
+def upsert_verdict(s, d):
+    cache = table(s, d, "events").select(F.concat(F.lit("k"), "user_id").alias("company_key"), F.when(F.col("event_type") == "view", None).otherwise(F.col("event_type") == "purchase").alias("verified"), F.col("ts").alias("checked_at"))
+    cut = F.lit(datetime(2024, 1, 15))
+    old = state.upsert_verdict(cache.limit(0), cache.where(F.col("checked_at") < cut))
+    return state.valid_verdicts(state.upsert_verdict(old, cache.where(F.col("checked_at") >= cut)), EVENTS_AS_OF)
+
+
+def _sheets(s, d):
+    rows = view(s, d, "f_feedback")
+    status = F.element_at(F.array(*map(F.lit, ["Applied", "Interview", " ", "Ready to Apply", "Ghosted", "Reached Out"])), (F.col("id") % 6 + 1).cast("int"))
+    sheet = rows.select(F.col("id").alias("seq"), "company", "title", status.alias("status"), F.col("date_applied").alias("generated"))
+    return rows, sheet.where("seq % 2 = 0"), sheet.where("seq % 5 = 0")
+
+
+@query
+def apply_outcomes(s, d):
+    feedback, materials, tracker = _sheets(s, d)
+    return state.apply_outcomes(feedback, materials, tracker).select("id", "outcome")
+
+
+@query
+def promote_applied(s, d):
+    _, materials, tracker = _sheets(s, d)
+    return state.promote_applied(materials.where("seq % 3 <> 0"), tracker.where("seq % 7 = 0"), AS_OF)
+
+
+@query
+def pending_generation(s, d):
+    _, materials, tracker = _sheets(s, d)
+    daily = tracker.withColumn("status", F.lit(" Apply"))
+    return state.pending_generation(daily, materials.where("seq % 11 = 0")).select("seq", "company", "title")
+
+
+@query
+def feedback_rows(s, d):
+    rows = view(s, d, "f_feedback").drop("projects_used", "admission").withColumn("projects", F.array(F.concat(F.lit("p"), F.col("id") % 5)))
+    out = state.feedback_rows(state.add_columns(rows, {"coverage": "double"}), "projects", F.when(F.col("id") % 2 == 0, "core"))
+    return out.select("id", "projects_used", "admission", "coverage")
+
+
+@query
+def attach_descriptions(s, d):
+    jobs = view(s, d, "f_postings").select(T.fingerprint(F.col("company"), F.col("title")).alias("job_fingerprint"), "description")
+    sheet = table(s, d, "part").select("p_partkey", F.col("p_brand").alias("company"), F.col("p_name").alias("title"))
+    return state.attach_descriptions(sheet, jobs).select("p_partkey", F.md5("description").alias("digest"))
+
+
+@query
+def applied_with_description(s, d):
+    feedback = table(s, d, "part").select(T.fingerprint(F.col("p_brand"), F.col("p_name")).alias("job_fingerprint"), F.col("p_name").alias("title"), F.concat(F.lit("2000-0"), F.col("p_size") % 9 + 1, F.lit("-01")).alias("date_applied"))
+    jobs = view(s, d, "f_postings").select(T.fingerprint(F.col("company"), F.col("title")).alias("job_fingerprint"), "description")
+    return state.applied_with_description(feedback, jobs, "2000-05-01").groupBy("job_fingerprint", "title").agg(F.count("*").alias("n"))
+
+
+# Names
+
+
+@query
+def clean_company(s, d):
+    c = F.col("company")
+    return view(s, d, "f_employers").select("seq", entity.clean_company(c).alias("name"), entity.company_key(c).alias("key"), entity.filer_key(c).alias("filer_key"), F.array_join(entity.query_ladder(c), "|").alias("forms"))
+
+
+@query
+def distinct_filers(s, d):
+    return entity.distinct_filers(view(s, d, "f_filers"))
+
+
+@query
+def prefix_match(s, d):
+    filers = entity.distinct_filers(view(s, d, "f_filers"))
+    brands = view(s, d, "f_employers").select(F.col("brand"), T.compact(F.col("brand")).alias("q")).distinct()
+    return entity.prefix_match(brands, "q", filers)
+
+
+@query
+def inherit_verdict(s, d):
+    names = view(s, d, "f_employers").select(entity.company_key(F.col("company")).alias("name")).distinct()
+    verified = names.where("name not like '% global%' and name like '%1'").withColumnRenamed("name", "company_key")
+    return entity.inherit_verdict(names, "name", verified)
+
+
+@query
+def resolve_sponsor(s, d):
+    rows = view(s, d, "f_employers")
+    cache = s.createDataFrame([("brand 7", True, datetime(2000, 11, 20)), ("brand 8", True, datetime(2000, 1, 1)), ("brand 9", False, datetime(2000, 12, 1))], "company_key string, verified boolean, checked_at timestamp")
+    return entity.resolve_sponsor(rows, cache, entity.distinct_filers(view(s, d, "f_filers")), AS_OF).groupBy("brand", "company", "verified").agg(F.count("*").alias("n"))
+
+
+# Skills and ranking
+
+
+def _lines(s, d):
+    return view(s, d, "f_jd_lines")
+
+
+@query
+def section_weights(s, d):
+    return skills.section_weights(_lines(s, d)).groupBy("weight").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+def _ascii_docs(s, d):
+    return table(s, d, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+
+
+@query
+def extract_skills(s, d):
+    return _ascii_docs(s, d).select("doc_id", F.array_join(F.sort_array(skills.extract_skills(F.col("text"), TEXT_LEXICON)), ",").alias("skills"))
+
+
+@query
+def count_skills(s, d):
+    return _ascii_docs(s, d).select("doc_id", F.explode(skills.count_skills(F.col("text"), TEXT_LEXICON)).alias("skill", "n"))
+
+
+@query
+def document_frequency(s, d):
+    df = skills.document_frequency(_ascii_docs(s, d), TEXT_LEXICON)
+    return df.join(skills.idf(df), "skill").select("skill", "df", "n_docs", F.round("idf", 9).alias("idf"))
+
+
+def _weights(s, d):
+    docs = _lines(s, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
+    docs = docs.select("doc_id", F.lit("Gear engineer").alias("title"), F.array_join(F.col("l.line"), "\n").alias("description"))
+    df = skills.document_frequency(docs, LEXICON, "description", 0)
+    return docs, skills.posting_skill_weights(docs, LEXICON, skills.idf(df), [(r"\bengineer\b", ("rod",))])
+
+
+@query
+def posting_skill_weights(s, d):
+    return _weights(s, d)[1].select("doc_id", "skill", F.round("weight", 9).alias("weight"))
+
+
+@query
+def diversified_topk(s, d):
+    docs, weights = _weights(s, d)
+    projects = s.createDataFrame([(p, p, kind, i) for i, (p, kind, _) in enumerate(POOL)], "id string, name string, kind string, pos int")
+    tags = s.createDataFrame([(p, k, v) for p, _, t in POOL for k, v in t.items()], "id string, skill string, depth double")
+    out = skills.diversified_topk(docs, weights, projects, tags)
+    return out.select("doc_id", F.array_join("picks", ",").alias("picks"), F.round("coverage", 6).alias("coverage"), F.array_join("uncovered", ",").alias("uncovered"))
+
+
+@query
+def keyword_coverage(s, d):
+    share, missing = T.keyword_coverage(F.col("text"), F.array(F.lit("the"), F.lit(" rights "), F.lit("Apache"), F.lit("")))
+    return _ascii_docs(s, d).select("doc_id", F.round(share, 9).alias("share"), F.array_join(missing, ",").alias("missing"))
+
+
+# Reports
+
+
+@query
+def dedup_outcomes(s, d):
+    return dedup.dedup_outcomes(view(s, d, "f_feedback")).select("id", "company", "outcome")
+
+
+def _applied(s, d):
+    return view(s, d, "f_feedback").where("outcome <> 'skipped'")
+
+
+@query
+def rate_by_family(s, d):
+    rows = _applied(s, d).withColumn("family", T.source_family(F.col("source")))
+    return report.order_rates(report.rate_table(rows, "family")).withColumn("callback_rate", F.round("callback_rate", 9)).withColumn("positive_rate", F.round("positive_rate", 9))
+
+
+@query
+def rate_by_project(s, d):
+    rows = _applied(s, d).withColumn("projects", F.from_json("projects_used", "array<string>"))
+    return report.rate_table(rows, "projects", 5).select("key", "apps", "callbacks", "positives", "low_n")
+
+
+@query
+def rate_by_title_class(s, d):
+    rows = _applied(s, d).withColumn("class", T.classify_first_match(F.col("title"), [("urgent", "urgent"), ("remote", r"\(remote\)"), ("high", "^2")]))
+    return report.rate_table(rows, "class").select("key", "apps", "callbacks", "positives")
+
+
+@query
+def feedback_summary(s, d):
+    return report.feedback_summary(view(s, d, "f_feedback")).withColumn("rate", F.round("rate", 9))
+
+
+@query
+def project_usage(s, d):
+    return report.project_usage(view(s, d, "f_feedback"))
+
+
+@query
+def before_after(s, d):
+    return report.before_after(_applied(s, d), "1998-01-01").select("period", "apps", "callbacks", "positives")
+
+
+@query
+def outcome_counts(s, d):
+    return report.outcome_counts(view(s, d, "f_feedback"))
+
+
+@query
+def feedback_by_date(s, d):
+    return view(s, d, "f_feedback").select("id", T.month(F.col("date_applied")).alias("month"), "date_applied").orderBy(F.desc("date_applied"), "id")
+
+
+@query
+def usage_rollup(s, d):
+    return report.usage_rollup(view(s, d, "f_usage"), EVENTS_AS_OF).withColumn("cost_usd", F.round("cost_usd", 6))
+
+
+@query
+def usage_since(s, d):
+    return report.usage_since(view(s, d, "f_usage"), 100).withColumn("cost_usd", F.round("cost_usd", 6))
+
+
+@query
+def stage_counts(s, d):
+    return report.stage_counts(view(s, d, "f_audit"), "2024-01-10")
+
+
+@query
+def company_frequency(s, d):
+    return report.company_frequency(view(s, d, "f_postings").select("company"), 10)
+
+
+@query
+def apply_log_summary(s, d):
+    log = table(s, d, "events").select(F.when(F.col("event_type") == "error", "blocked now").when(F.col("event_type") == "purchase", "submitted").otherwise(F.col("event_type")).alias("status"), F.concat(F.lit("r"), F.col("user_id") % 12, F.lit("; more")).alias("reason"), F.concat(F.lit("portal"), F.col("user_id") % 3).alias("portal"))
+    return report.apply_log_summary(log)
+
+
+@query
+def seen_recently(s, d):
+    return view(s, d, "f_audit").where(F.col("created_at") >= F.lit(EVENTS_AS_OF) - F.make_interval(days=F.lit(5))).select("job_fingerprint").distinct()
+
+
+@query
+def seeded_sample(s, d):
+    return report.seeded_sample(table(s, d, "documents").select("doc_id", "lang"), 20, 7, "doc_id")
+
+
+# Scalars
+
+
+@query
+def text_scalars(s, d):
+    t = F.col("title")
+    rows = view(s, d, "f_feedback")
+    return rows.select("id", T.norm_title(t).alias("norm"), T.slugify(F.concat_ws(" / ", "company", t)).alias("slug"), T.truncate(t, 7).alias("cut"), T.source_family(F.col("source")).alias("family"), T.map_values(F.col("outcome"), {"interview": "call"}).alias("mapped"), T.skill_label(F.col("outcome"), {"applied": "Applied"}).alias("label"))
+
+
+@query
+def md_unescape(s, d):
+    return view(s, d, "f_requirements").select("seq", T.md_unescape(F.replace(F.replace("text", F.lit("-"), F.lit("\\-")), F.lit("+"), F.lit("\\+"))).alias("text"))
+
+
+@query
+def date_scalars(s, d):
+    rows = table(s, d, "orders").select("o_orderkey", "o_orderdate", F.concat(F.lit("Posted "), (F.col("o_orderkey") % 40).cast("string"), F.lit("+ Days Ago")).alias("said"))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return rows.select("o_orderkey", D.parse_iso(F.concat(day, F.lit("T05:06:07Z"))).alias("iso"), D.parse_iso(F.concat(F.lit("x"), day)).alias("bad"), D.parse_epoch(F.unix_timestamp("o_orderdate").cast("string")).alias("epoch"), D.parse_epoch(F.concat(F.unix_timestamp("o_orderdate").cast("string"), F.lit("000")), True).alias("millis"), D.parse_relative(F.col("said"), F.lit(AS_OF)).alias("relative"))
+
+
+@query
+def resolve_location(s, d):
+    rows = table(s, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.col("s_suppkey").cast("string"), F.lit(" Locations"))).when(F.col("s_suppkey") % 3 == 1, "").otherwise(F.col("s_name")).alias("text"), F.concat(F.lit("/job/New-York---Site-"), F.col("s_nationkey").cast("string"), F.lit("/x")).alias("path"))
+    return rows.select("s_suppkey", D.resolve_location(F.col("text"), F.col("path")).alias("location"))
+
+
+@query
+def extract_tenant(s, d):
+    return table(s, d, "pages").select("page_id", D.extract_tenant(F.col("url")).alias("t")).where("t is not null").select("page_id", "t.tenant", "t.server")
+
+
+@query
+def slug_candidates(s, d):
+    return view(s, d, "f_employers").select("company").distinct().select("company", F.array_join(T.slug_candidates(F.col("company"), ("inc", "llc")), "|").alias("tokens"))
+
+
+@query
+def sanitize_ascii(s, d):
+    return _ascii_docs(s, d).select("doc_id", F.md5(T.sanitize_ascii(F.concat(F.col("text"), F.lit(" >= 5 & more , x <b>")), {"&&": "&"})).alias("digest"))
+
+
+@query
+def json_from_reply(s, d):
+    rows = table(s, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("said ```json\n"), "props", F.lit("\n``` end"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("see "), "props", F.lit(" ok"))).otherwise("none").alias("reply"))
+    return rows.select("event_id", F.from_json(T.json_from_reply(F.col("reply")), "k bigint")["k"].alias("k"))
+
+
+# Registries
+
+
+@query
+def discover_tenants(s, d):
+    return registry.discover_tenants(table(s, d, "pages").select(F.col("page_id").alias("seq"), "url")).select("tenant", "server")
+
+
+@query
+def merge_candidates(s, d):
+    pages = table(s, d, "pages").select("page_id", D.extract_tenant(F.col("url")).alias("t")).select("page_id", "t.tenant", "t.server")
+    old = pages.where("page_id % 2 = 0 and tenant is not null").groupBy("tenant").agg(F.min("server").alias("server")).withColumn("first_seen", F.lit(date(2024, 1, 1))).withColumn("last_seen", F.lit(date(2024, 1, 2))).withColumn("n_seen", F.lit(3)).withColumn("promotion_attempts", F.lit(1))
+    none = pages.limit(0)
+    return registry.merge_candidates(old, pages.where("page_id % 3 = 0"), none, pages.where("page_id = 1"), date(2024, 2, 1))
+
+
+@query
+def decide_candidates(s, d):
+    rows = table(s, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, True).when(F.col("s_suppkey") % 3 == 1, False).alias("alive"), (F.col("s_nationkey") % 9).alias("hits"), (F.col("s_nationkey") % 6).alias("promotion_attempts"))
+    return registry.decide(rows)
+
+
+@query
+def board_relevance(s, d):
+    return registry.board_relevance(table(s, d, "part").select(F.col("p_brand").alias("board"), F.col("p_name").alias("title")), GATE.domain_words, ("old",), 1)
+
+
+@query
+def domain_hits(s, d):
+    return registry.domain_hits(table(s, d, "part").select(F.col("p_brand").alias("board"), F.col("p_name").alias("title")), GATE.domain_words)
+
+
+@query
+def best_board(s, d):
+    hits = table(s, d, "part").select(F.col("p_type").alias("kind"), F.col("p_name").alias("name"), F.col("p_brand").alias("token"), F.col("p_size").alias("total"), (F.col("p_partkey") % 11).alias("relevant"), F.col("p_partkey").alias("seq"))
+    return dedup.best_board(hits).select("kind", "token", "relevant", "total", "seq")
+
+
+@query
+def candidate_tokens(s, d):
+    jobs = view(s, d, "f_employers").select("company")
+    registered = s.createDataFrame([("Brand12",), ("brand3",)], "token string")
+    return registry.candidate_tokens(jobs, registered, 20, ("inc", "llc"))
+
+
+@query
+def repair_names(s, d):
+    rows = table(s, d, "nation").select(F.lower("n_name").alias("token"), F.when(F.col("n_nationkey") % 2 == 0, F.lower("n_name")).otherwise("Named").alias("name"))
+    resolved = rows.where("token like '%_1%'").select("token", F.lit("Found").alias("name"))
+    return registry.repair_names(rows, resolved)
+
+
+@query
+def validate_registry(s, d):
+    boards_ = table(s, d, "part").select(F.col("p_brand").alias("token")).distinct()
+    probes = table(s, d, "part").groupBy(F.col("p_brand").alias("token")).agg((F.count_if(F.col("p_size") == 7)).alias("total"))
+    return registry.validate_registry(boards_, probes)
+
+
+@query
+def merge_newer_wins(s, d):
+    old = table(s, d, "supplier").select("s_nationkey", F.lit("old").alias("v")).distinct()
+    new = table(s, d, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("s_nationkey"), F.lit("new").alias("v")).distinct()
+    return dedup.merge_newer_wins(old, new, "s_nationkey")
+
+
+@query
+def classify_tenant(s, d):
+    tenants = table(s, d, "nation").select(F.col("n_name").alias("tenant"))
+    reasons = table(s, d, "nation").where("n_regionkey < 2").select(F.col("n_name").alias("tenant"), F.concat(F.lit("r"), "n_regionkey").alias("reason"), F.col("n_regionkey").alias("rank"))
+    return registry.classify_tenant(tenants, reasons)
+
+
+# Sources
+
+
+@query
+def pipe_posts(s, d):
+    comments = table(s, d, "part").select("p_partkey", F.concat_ws("\n", F.concat_ws(" | ", "p_brand", "p_name", F.when(F.col("p_size") % 2 == 0, F.col("p_type"))), F.lit("see https://x.example/a b")).alias("text"))
+    return boards.parse_pipe_posts(comments).select("p_partkey", "company", "title", "location", "post_url", "description")
+
+
+@query
+def board_payloads(s, d):
+    parts = table(s, d, "part")
+    jobs = F.struct(F.col("p_name").alias("title"), F.concat(F.lit("&lt;p&gt;"), "p_type", F.lit("&lt;/p&gt;")).alias("content"), F.concat(F.lit("https://b.example/"), "p_partkey").alias("absolute_url"), F.lit("2000-01-02T03:04:05Z").alias("updated_at"), F.struct(F.col("p_brand").alias("name")).alias("location"))
+    raw = parts.groupBy(F.col("p_brand").alias("token")).agg(F.to_json(F.struct(F.collect_list(jobs).alias("jobs"))).alias("payload")).withColumn("name", F.lit(None).cast("string"))
+    one = boards.normalize_greenhouse(raw, rules.title_passes(F.col("title"), GATE))
+    lever = parts.groupBy(F.col("p_brand").alias("token")).agg(F.to_json(F.collect_list(F.struct(F.col("p_name").alias("text"), F.col("p_type").alias("descriptionPlain"), F.lit("946782245000").alias("createdAt")))).alias("payload")).withColumn("name", F.lit(None).cast("string"))
+    two = boards.normalize_lever(lever)
+    return boards.union_sources([("greenhouse", one), ("lever", two)]).groupBy("source_ord", "source", "title", "description", "location", "posted_at").agg(F.count("*").alias("n"))
+
+
+@query
+def relative_feed(s, d):
+    item = F.struct(F.col("p_name").alias("title"), F.concat(F.lit("Posted "), F.col("p_size") % 4, F.lit(" Days Ago")).alias("postedOn"), F.lit("2 Locations").alias("locationsText"), F.concat(F.lit("/job/"), F.replace("p_type", F.lit(" "), F.lit("-")), F.lit("/1")).alias("externalPath"))
+    raw = table(s, d, "part").groupBy(F.col("p_brand").alias("token")).agg(F.to_json(F.struct(F.collect_list(item).alias("jobPostings"))).alias("payload")).withColumn("name", F.lit(None).cast("string"))
+    return boards.normalize_workday(raw, AS_OF, 48).groupBy("source", "location", "posted_at").agg(F.count("*").alias("n"))
+
+
+@query
+def scraped_table(s, d):
+    rows = table(s, d, "customer").select(F.when(F.col("c_custkey") % 5 == 0, " ").otherwise(F.col("c_name")).alias("title"), F.col("c_mktsegment").alias("company"), F.when(F.col("c_custkey") % 2 == 0, "nan").otherwise("x").alias("location"), F.lit("").alias("description"), F.col("c_acctbal").alias("salary_min"), F.when(F.col("c_custkey") % 3 == 0, float("nan")).otherwise(F.col("c_acctbal")).alias("salary_max"), F.lit(None).cast("string").alias("url"), F.lit("2000-01-02").alias("posted_at"))
+    return boards.normalize_table(rows, "indeed", "Remote").select("title", "location", "description", "salary_min", "salary_max", "posted_at")
+
+
+@query
+def latest_thread(s, d):
+    hits = table(s, d, "conversations").select(F.col("conv_id").alias("id"), F.col("text").alias("title"), F.col("turn").alias("created_at_i"))
+    return boards.latest_thread(hits, ["the", "of"])
+
+
+@query
+def read_filings(s, d):
+    rows = view(s, d, "f_filers")
+    return filings.read_filings(rows.select(*[F.col(c).alias(c.upper()) for c in rows.columns]))
+
+
+@query
+def page_text(s, d):
+    return html_to_text(table(s, d, "pages")).select("page_id", F.length("text").alias("n"), F.md5("text").alias("digest"))
+
+
+# Streams, run to their end
+
+
+def _stream(s: SparkSession, d: str) -> DataFrame:
+    schema = table(s, d, "events").schema
+    rows = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _to_table(stream: DataFrame, name: str) -> DataFrame:
+    """What an available-now run of the stream appends."""
+    import tempfile
+    import uuid
+
+    s = stream.sparkSession
+    home = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="postsieve-stream-")
+    path = f"{home}/postsieve/stream-{name}-{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start(f"{path}/rows").awaitTermination()
+    return s.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+@query
+def stream_first_seen(s, d):
+    rows = _stream(s, d).select(F.col("user_id").cast("string").alias("key"), "ts")
+    return _to_table(flows.first_seen(rows, "key", days=40), "first").select("key")
+
+
+@query
+def stream_stage_counts(s, d):
+    rows = _stream(s, d).select("ts", F.col("event_type").alias("stage"), F.when(F.col("event_type") == "purchase", "DAILY").otherwise("REJECT").alias("verdict"))
+    return _to_table(flows.stage_counts(rows, late="0 seconds"), "counts").where("day < '2024-01-20'")
+
+
+@query
+def stream_usage(s, d):
+    rows = _stream(s, d).select("ts", F.nullif("event_type", F.lit("error")).alias("purpose"), F.floor(F.col("value") * 100).alias("input_tokens"))
+    return _to_table(flows.usage_windows(rows, late="0 seconds"), "usage").where("start < '2024-01-18'")
