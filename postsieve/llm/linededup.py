@@ -29,10 +29,14 @@ _PLACE = ["id", "digest", "line"]
 _KEY = ["k1", "k2"]
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    return rows.select("id", F.xxhash64("text").alias("digest"), "text")
+
+
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, digest of the text, line number and words of every line that has any."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    lines = rows.select("id", F.xxhash64("text").alias("digest"), F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "text"))
+    lines = _texts(docs, id_col, text_col).select("id", "digest", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "text"))
     return lines.select("id", "digest", "line", words(F.col("text")).alias("words")).where(F.size("words") > 0)
 
 
@@ -107,10 +111,14 @@ def line_decisions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     halves = lines.where("halves is not null").select("k1", F.explode("halves").alias("half"))
     met = halves.groupBy("half").agg(F.min("k1").alias("least"), F.max("k1").alias("most")).where("least <> most").select("half")
     meeting = halves.join(met, "half", "left_semi").select("k1").distinct()
-    active = classes.join(meeting, "k1", "left_semi").select("first.*", *_KEY)
-    active = written(numbered.join(active, _PLACE).select(*_PLACE, *_KEY, "words").dropDuplicates(_KEY), "active")
-
-    variants = active.select(F.struct(*_PLACE, *_KEY).alias("at"), F.explode(_variants(w)).alias("v")).select("at", "v.*")
+    # Their texts are joined by document, so that no other line is taken apart again.
+    places = classes.join(meeting, "k1", "left_semi").select("first.*", *_KEY).groupBy("id", "digest").agg(F.collect_list(F.struct("line", *_KEY)).alias("places"))
+    found = _texts(docs, id_col, text_col).join(places, ["id", "digest"])
+    found = found.select("id", "digest", F.explode(let(F.split(F.lower("text"), "\n"), lambda x: F.transform("places", lambda p: F.struct(p["line"].alias("line"), p["k1"].alias("k1"), p["k2"].alias("k2"), words(F.get(x, p["line"])).alias("words"))))).alias("p"))
+    active = written(found.select("id", "digest", "p.*").dropDuplicates(_KEY), "active")
+
+    variants = written(active.select(*_PLACE, *_KEY, F.explode(_variants(w)).alias("v")).select(*_PLACE, *_KEY, "v.*"), "variants")
+    variants = variants.select(F.struct(*_PLACE, *_KEY).alias("at"), "length", "gap", "place_key", "order_key")
     gaps = variants.where("gap >= 0")
     group = ["length", "gap", "place_key"]
     earliest = gaps.groupBy(*group).agg(F.min("at").alias("other"), F.max("at").alias("last")).where("other <> last").select(*group, "other")
