@@ -180,7 +180,7 @@ def keyword_coverage(text: Column, keywords: Column) -> tuple[Column, Column]:
 def json_from_reply(c: Column) -> Column:
     """The JSON inside a fenced block, or from the first bracket to the last; null for none."""
     fenced = F.nullif(F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit(""))
-    return F.coalesce(F.trim(fenced), F.nullif(F.regexp_extract(c, r"(?s)([\{\[].*[\}\]])", 1), F.lit("")))
+    return F.coalesce(py_strip(fenced), F.nullif(F.regexp_extract(c, r"(?s)([\{\[].*[\}\]])", 1), F.lit("")))
 
 
 def dedup_tokens(tokens: Column) -> Column:

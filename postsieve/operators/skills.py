@@ -136,5 +136,5 @@ def top_of_map(weights: Column, k: int) -> Column:
 def replay_summary(selections: DataFrame) -> DataFrame:
     """Per project the share of selections that hold it, and of those that rank it first."""
     ranked = selections.select(F.posexplode("picks").alias("rank", "id"))
-    n = selections.agg(F.count("*").alias("n"))
-    return ranked.groupBy("id").agg(F.count("*").alias("n_picked"), F.count_if(F.col("rank") == 0).alias("n_first")).join(F.broadcast(n)).select("id", "n_picked", "n_first", (F.col("n_picked") / F.col("n")).alias("share"))
+    n = max(selections.count(), 1)
+    return ranked.groupBy("id").agg(F.count("*").alias("n_picked"), F.count_if(F.col("rank") == 0).alias("n_first")).withColumn("share", F.col("n_picked") / n)
