@@ -1,3 +1,55 @@
-"""DuckDB SQL for the corpus operators that SQL can express."""
+"""DuckDB SQL for the corpus operators that SQL can express.
 
-ORACLES: dict[str, str] = {}
+The others rest on trained models, tokenizers or random seeds; their tests compare with brute force.
+"""
+
+WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+
+_LINES = f"""
+with lines as (
+  select doc_id, line - 1 as line, {WORDS.format("lower(body)")} as w
+  from (select doc_id, unnest(string_split(text, chr(10))) as body, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line from documents)
+), worded as (select *, doc_id * 1000000 + line as place from lines where len(w) > 0
+), firsts as (select w, len(w) as n, min(place) as place from worded group by w
+), variants as (select w, place, i, list_concat(w[1:i - 1], w[i + 1:]) as v from (select *, unnest(range(1, n + 1)) as i from firsts where n >= 5)
+), earliest as (select i, v, min(place) as e from variants group by i, v
+), near as (
+  select x.w from variants x join earliest e using (i, v) where e.e < x.place
+  union select case when f.place < x.place then x.w else f.w end from variants x join firsts f on f.w = x.v and f.n >= 5
+), judged as (
+  select l.doc_id, l.line, case when near.w is not null then true when l.place <> f.place then false end as near
+  from worded l join firsts f on f.w = l.w left join near on near.w = l.w
+)
+select doc_id, count(*) as n_lines, count(*) filter (not near) as n_equal, count(*) filter (near) as n_near, cast(coalesce(sum(line + 1) filter (near is not null), 0) as bigint) as gone_sum
+from judged group by doc_id
+"""
+
+_NEAR = f"""
+with recursive docs as (select doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents
+), shingles as (select distinct doc_id, unnest(case when len(w) >= 2 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else w end) as g from docs
+), sizes as (select doc_id, count(*) as n from shingles group by doc_id
+), shared as (select a.doc_id as x, b.doc_id as y, count(*) as c from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id group by all
+), links as (select x, y from shared join sizes a on a.doc_id = x join sizes b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)
+), both_ways as (select x, y from links union select y, x from links
+), reach(doc_id, other) as (select doc_id, doc_id from documents union select r.doc_id, b.y from reach r join both_ways b on b.x = r.other
+), least_ids as (select doc_id, min(other) as component_id from reach group by doc_id)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from least_ids left join sizes using (doc_id)
+"""
+
+_MIX = f"""
+with sized as (select doc_id, source, len({WORDS.format("coalesce(text, '')")}) as size, md5(coalesce(cast(doc_id as varchar), '')) as digest from documents
+), ranked as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as rank from sized group by source
+), weighed as (select *, rank % 3 + 1 as weight, source_size * 3 as cap from ranked
+), steps as (
+  select *, sum(source_size) over () as total, coalesce(sum(cap) over before_it, 0) as capped, sum(weight) over () - coalesce(sum(weight) over before_it, 0) as open_weight
+  from weighed window before_it as (order by cap / weight, rank rows between unbounded preceding and 1 preceding)
+), level as (select cast(total - capped as double) / cast(open_weight as double) as lv from steps where cast(total - capped as double) / cast(open_weight as double) <= cap / weight order by capped, 1 limit 1
+), targets as (select source, source_size, least(cast(cap as double), (select lv from level) * weight) as target from weighed
+), placed as (
+  select doc_id, size, source_size, target, coalesce(sum(size) over (partition by s.source order by digest, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before_it, floor(coalesce(target / nullif(source_size, 0), 0)) as passes
+  from sized s join targets t on s.source is not distinct from t.source
+)
+select doc_id, cast(size as bigint) as size, source_size, target, cast(size * least(passes + case when before_it + size / 2 <= target - passes * source_size then 1 else 0 end, 3) as bigint) as taken from placed
+"""
+
+ORACLES: dict[str, str] = {"op4_line_dedup": _LINES, "op8_minhash": _NEAR, "op10_mixing": _MIX}
