@@ -186,3 +186,22 @@ def json_from_reply(c: Column) -> Column:
 def dedup_tokens(tokens: Column) -> Column:
     """The first of tokens that differ by case alone, in order."""
     return F.aggregate(tokens, F.expr("cast(array() as array<string>)"), lambda done, t: F.when(F.exists(done, lambda d: F.lower(d) == F.lower(t)), done).otherwise(F.array_append(done, t)))
+
+
+def normalize_skill_items(items: Column, keep_slash: Sequence[str] = (), cap: int = 12) -> Column:
+    """Skill items taken apart: ``Cloud (a, b)`` to the item and each of its parts behind its name, commas and semicolons split, slashes too but for
+    ``keep_slash``; the first of items that differ by case alone, at most ``cap``."""
+    kept = F.array(*[F.lit(k.lower()) for k in keep_slash]) if keep_slash else F.expr("cast(array() as array<string>)")
+
+    def parts(text: Column) -> Column:
+        return F.filter(F.transform(F.split(text, "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
+
+    def unslashed(x: Column) -> Column:
+        return F.when(F.array_contains(kept, F.lower(x)), F.array(x)).otherwise(F.filter(F.transform(F.split(x, "/"), lambda y: F.trim(y)), lambda y: y != ""))
+
+    def expanded(item: Column) -> Column:
+        name, inner = F.trim(F.regexp_extract(item, r"^([^(]*)\(", 1)), F.regexp_extract(item, r"\(([^)]*)\)", 1)
+        return F.when((name != "") & (inner != ""), F.concat(F.array(name), F.transform(parts(inner), lambda x: F.concat(name, F.lit(" "), x)))).otherwise(parts(F.regexp_replace(item, r"[()]", " ")))
+
+    flat = F.flatten(F.transform(F.flatten(F.transform(items, expanded)), unslashed))
+    return F.slice(dedup_tokens(flat), 1, cap)

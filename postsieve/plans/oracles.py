@@ -104,6 +104,13 @@ ORACLES: dict[str, str] = {
     "count_skills": f"with {_ASCII}, k(skill) as (values ('the'), ('of'), ('tion'), ('and'), ('rights'), ('license'), ('apache'), ('version')) select doc_id, skill, cast(len(regexp_extract_all(lower(text), '\\b' || skill || '\\b')) as int) as n from docs, k where regexp_matches(lower(text), '\\b' || skill || '\\b')",
     "document_frequency": f"with {_ASCII}, k(skill) as (values ('the'), ('of'), ('tion'), ('and'), ('rights'), ('license'), ('apache'), ('version')), n as (select count(*) as n_docs from docs where length(text) > 200) select skill, count(*) as df, any_value(n_docs) as n_docs, round(greatest(0.1, ln(any_value(n_docs) / (1 + count(*)))), 9) as idf from docs, k, n where length(text) > 200 and regexp_matches(lower(text), '\\b' || skill || '\\b') group by skill",
     "posting_skill_weights": _with("f_jd_lines", [_WEIGHTS], "select doc_id, skill, round(weight, 9) as weight from weights"),
+    "project_skill_join": "with tags(id, skill, depth) as (values ('p0', 'widget', 1.0), ('p0', 'gear', 0.5), ('p1', 'widget', 1.0), ('p1', 'bolt', 1.0), ('p2', 'ring', 1.0), ('p2', 'rod', 0.5), ('p2', 'gear', 0.2), ('p3', 'plate', 1.0), ('p3', 'anvil', 1.0), ('p3', 'gizmo', 0.5), ('p4', 'gizmo', 1.0), ('p4', 'ring', 0.2)) select id, skill, count(*) as n, round(sum(p_size * cast(depth as double)), 6) as score from tags join part on skill = split_part(p_name, ' ', -1) group by all",
+    "replay_summary": "with n as (select count(*) as total from orders) select id, count(*) as n_picked, count(*) filter (first) as n_first, round(count(*) / any_value(total), 9) as share from (select 'p' || o_orderkey % 5 as id, true as first from orders union all select 'q' || o_custkey % 3, false from orders), n group by id",
+    "audit_rows": _with("f_postings", [f"gated as (select *, {_FP} as fp, {_STAGE} as stage from f_postings)"], "select fp as job_fingerprint, stage, 'REJECT' as verdict, date '2000-12-02' as run_date, count(*) as n from gated where stage <> 'stage1_pass' group by all"),
+    "failed_only": "select event_id, event_type in ('error', 'view') as failed from events",
+    "dedup_tokens": "with t as (select p_brand, lower(p_type) as k, min(p_partkey) as m from part group by all) select p_brand, string_agg(case when m % 2 = 0 then upper(k) else k end, ',' order by m) as tokens from t group by p_brand",
+    "humanize_token": "select p_partkey, upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) || ' Board ' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') as name from part",
+    "skill_items": "select p_partkey, p_type || '|' || p_type || ' red|' || p_type || ' Blue|a|b|c|CI/CD|x|y' as items from part",
     "keyword_coverage": f"with {_ASCII}, f as (select doc_id, lower(regexp_replace(replace(text, '*', ''), '\\s+', ' ', 'g')) as t from docs), m as (select doc_id, list_filter(['the', 'rights', 'Apache'], lambda k: not contains(t, lower(k))) as x from f) select doc_id, round(1 - len(x) / 3.0, 9) as share, array_to_string(x, ',') as missing from m",
     "dedup_outcomes": _with("f_feedback", [], "select id, company, outcome from f_feedback qualify row_number() over (partition by lower(company), trim(regexp_replace(regexp_replace(regexp_replace(lower(title), '\\([^)]*\\)|\\[[^\\]]*\\]', ' ', 'g'), '[^a-z0-9]', ' ', 'g'), ' +', ' ', 'g')) order by case outcome when 'skipped' then 0 when 'applied' then 1 when 'reached_out' then 2 when 'rejected' then 3 when 'interview' then 4 else 1 end desc, id) = 1"),
     "rate_by_family": _with("f_feedback", [_APPLIED], f"select coalesce(lower(split_part(source, '-', 1)), 'unknown') as key, {_RATES}, round(callbacks / apps, 9) as callback_rate, round(positives / apps, 9) as positive_rate, apps < 30 as low_n from applied group by 1"),

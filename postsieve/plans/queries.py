@@ -224,6 +224,26 @@ def merge_latest(s, d):
     return state.merge_latest(target, rows, "fp", "description")
 
 
+@query
+def audit_rows(s, d):
+    gated = rules.rule_gate(view(s, d, "f_postings"), GATE).where("stage <> 'stage1_pass'")
+    rows = state.audit_rows(gated, AS_OF, F.lit("REJECT"))
+    return rows.groupBy("job_fingerprint", "stage", "verdict", "run_date").agg(F.count("*").alias("n"))
+
+
+@query
+def failed_only(s, d):
+    rows = table(s, d, "events").select("event_id", F.concat("event_type", F.lit(" x")).alias("reasoning"))
+    failed, rest = state.failed_only(rows, ("error", "view"))
+    return failed.select("event_id", F.lit(True).alias("failed")).union(rest.select("event_id", F.lit(False)))
+
+
+@query
+def stale_verdicts(s, d):
+    cache = view(s, d, "f_employers").select(F.lower("company").alias("company_key"), F.col("company").alias("company_raw"), (F.col("seq") % 2 == 0).alias("verified")).distinct()
+    return entity.stale_verdicts(cache, view(s, d, "f_employers").where("seq % 3 = 0"))
+
+
 @query
 def upsert_verdict(s, d):
     cache = table(s, d, "events").select(F.concat(F.lit("k"), "user_id").alias("company_key"), F.when(F.col("event_type") == "view", None).otherwise(F.col("event_type") == "purchase").alias("verified"), F.col("ts").alias("checked_at"))
@@ -367,6 +387,20 @@ def diversified_topk(s, d):
     return out.select("doc_id", F.array_join("picks", ",").alias("picks"), F.round("coverage", 6).alias("coverage"), F.array_join("uncovered", ",").alias("uncovered"))
 
 
+@query
+def project_skill_join(s, d):
+    tags = s.createDataFrame([(p, k, v) for p, _, t in POOL for k, v in t.items()], "id string, skill string, depth double")
+    weights = table(s, d, "part").select("p_partkey", F.element_at(F.split("p_name", " "), -1).alias("skill"), F.col("p_size").cast("double").alias("weight"))
+    joined = skills.project_skill_join(weights, tags, "p_partkey")
+    return joined.groupBy("id", "skill").agg(F.count("*").alias("n"), F.round(F.sum(F.col("weight") * F.col("depth")), 6).alias("score"))
+
+
+@query
+def replay_summary(s, d):
+    picks = table(s, d, "orders").select(F.array(F.concat(F.lit("p"), F.col("o_orderkey") % 5), F.concat(F.lit("q"), F.col("o_custkey") % 3)).alias("picks"))
+    return skills.replay_summary(picks).withColumn("share", F.round("share", 9))
+
+
 @query
 def keyword_coverage(s, d):
     share, missing = T.keyword_coverage(F.col("text"), F.array(F.lit("the"), F.lit(" rights "), F.lit("Apache"), F.lit("")))
@@ -513,6 +547,23 @@ def json_from_reply(s, d):
     return rows.select("event_id", F.from_json(T.json_from_reply(F.col("reply")), "k bigint")["k"].alias("k"))
 
 
+@query
+def dedup_tokens(s, d):
+    rows = table(s, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.upper("p_type")).otherwise(F.lower("p_type")).alias("t")))).alias("l"))
+    return rows.select("p_brand", F.array_join(T.dedup_tokens(F.col("l.t")), ",").alias("tokens"))
+
+
+@query
+def humanize_token(s, d):
+    return table(s, d, "part").select("p_partkey", T.humanize_token(F.concat(F.lower("p_type"), F.lit("Board-"), F.replace("p_name", F.lit(" "), F.lit("_")))).alias("name"))
+
+
+@query
+def skill_items(s, d):
+    rows = table(s, d, "part").select("p_partkey", F.array(F.concat("p_type", F.lit(" (red, Blue)")), F.lit("a, b;c"), F.lit("CI/CD"), F.lit("x/y"), F.lit("A")).alias("items"))
+    return rows.select("p_partkey", F.array_join(T.normalize_skill_items(F.col("items"), ("CI/CD",), 12), "|").alias("items"))
+
+
 # Registries
 
 
