@@ -32,7 +32,7 @@ from .store import new_dir, written
 #: Keys of one part of the index, about.
 PART_KEYS = 50_000
 #: Words whose ids an encoder keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 _FLUSH = 4 << 20
 #: ASCII marks without the apostrophe, which can begin a piece with letters.
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -83,18 +83,15 @@ class Encoder:
         return text.encode().decode("latin-1").translate(_BYTE_LETTERS)
 
     def _known(self, words: list[str], cache: dict[str, bytes], lead: str) -> list[bytes]:
-        try:
-            return list(map(cache.__getitem__, words))
-        except KeyError:
-            out = []
-            for word in words:
-                ids = cache.get(word)
-                if ids is None:
-                    ids = self._word(lead, word)
-                    if len(cache) < CACHE_WORDS:
-                        cache[word] = ids
-                out.append(ids)
-            return out
+        out = list(map(cache.get, words))
+        for at in [i for i, ids in enumerate(out) if ids is None]:
+            ids = cache.get(words[at])
+            if ids is None:
+                ids = self._word(lead, words[at])
+                if len(cache) < CACHE_WORDS:
+                    cache[words[at]] = ids
+            out[at] = ids
+        return out
 
     def encode(self, text: str) -> bytes:
         if not text:
