@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -133,16 +135,20 @@ def skill_label(key: Column, labels: Mapping[str, str]) -> Column:
     return F.coalesce(known, F.replace(key, F.lit("_"), F.lit(" ")))
 
 
-def slug_candidates(company: Column, legal: Sequence[str], low: int = 3, high: int = 40) -> Column:
-    """Token shapes that a job board may know a company by, at most seven, in the order tried."""
-    bare = F.regexp_replace(company, r"\s*[\(\[][^\)\]]*[\)\]]", " ")
-    bare = F.regexp_replace(bare, r"(?i)\s*(?:\||,\s*(?:an?|part of)\s+|\s+[-–—]\s+).*$", "")
-    bare = F.regexp_replace(F.trim(bare), r"(?i)[\s,]+(?:" + "|".join(map(quote, legal)) + r")\.?$", "")
-    parts = F.filter(F.split(F.regexp_replace(F.lower(bare), "[^a-z0-9]+", " "), " "), lambda w: w != "")
-    joined = F.array_join(parts, "")
-    title = F.array_join(F.transform(parts, F.initcap), "")
-    shapes = F.array(joined, F.array_join(parts, "-"), F.array_join(parts, "_"), title, F.get(parts, F.lit(0)), F.concat(joined, F.lit("inc")), F.concat(joined, F.lit("hq")))
-    return F.filter(F.array_distinct(shapes), lambda s: F.length(s).between(low, high))
+#: Words of a legal form that a board's token leaves out, wherever they stand.
+SLUG_LEGAL_WORDS = ("inc", "llc", "corp", "corporation", "ltd", "limited", "co", "plc", "llp", "lp", "gmbh", "the")
+
+
+def slug_candidates(company: Column, legal: Sequence[str] = SLUG_LEGAL_WORDS, low: int = 3, high: int = 40) -> Column:
+    """Token shapes that a job board may know a company by, at most seven and none twice."""
+    bare = F.regexp_replace(company, r"[\(\[].*?[\)\]]", " ")
+    bare = F.split(bare, r"[|,]| - ")[0]
+    bare = F.regexp_replace(bare, r"(?i)\b(?:" + "|".join(map(quote, legal)) + r")\b\.?", " ")
+    parts = F.filter(F.split(F.regexp_replace(bare, r"[^A-Za-z0-9\s]", " "), r"\s+"), lambda w: w != "")
+    joined, caps = F.array_join(parts, ""), F.transform(parts, lambda w: F.initcap(w))
+    first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    shapes = F.array(F.lower(joined), joined, F.array_join(caps, ""), F.lower(first), F.get(caps, F.lit(0)), F.lower(F.concat(first, second)), F.concat(F.get(caps, F.lit(0)), F.get(caps, F.lit(1))))
+    return F.filter(F.array_distinct(F.array_compact(shapes)), lambda x: F.length(x).between(low, high))
 
 
 def humanize_token(token: Column) -> Column:
@@ -152,20 +158,37 @@ def humanize_token(token: Column) -> Column:
     return F.array_join(F.transform(words, lambda w: F.when(w == F.upper(w), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000)))), " ")
 
 
-def sanitize_ascii(c: Column, replacements: Mapping[str, str]) -> Column:
-    """ASCII text: mapped characters, comparison signs before digits spelled out, other angle brackets and non-ASCII to spaces, tidy spacing.
+#: What stands for common marks that plain text has no character for.
+ASCII_MARKS = {
+    "\u2014": "-", "\u2013": "-", "\u2012": "-", "\u2010": "-", "\u2011": "-", "\u2212": "-", "\u2192": " to ", "\u2194": " to ", "\u2190": " from ", "\u00b7": ", ", "\u2022": ", ",
+    "\u2018": "'", "\u2019": "'", "\u201a": "'", "\u2032": "'", "\u201c": '"', "\u201d": '"', "\u201e": '"', "\u2033": '"', "\u2026": "...", "\u200b": "", "\u2713": "", "\u2714": "", "\u2717": "", "\u2718": "",
+    "\u00d7": "x", "\u2122": "", "\u00ae": "", "\u00a9": "", "\u2260": " not equal to ", "\u2265": "at least ", "\u2264": "at most ",
+}
+
+
+def nfkc(c: Column) -> Column:
+    """Compatibility composition, which Spark has no function for; only texts with other than ASCII leave the JVM."""
+    @F.pandas_udf("string")
+    def fold(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    return F.when(c.rlike(r"[^\x00-\x7F]"), fold(c)).otherwise(c)
+
 
-    Comparisons are rewritten before anything is folded.
+def sanitize_ascii(c: Column, marks: Mapping[str, str] = ASCII_MARKS, keep_ampersand: bool = False) -> Column:
+    """ASCII text: marks replaced, signs before numbers spelled out, other angle brackets and what has no ASCII form to spaces, tidy spacing.
+
+    Signs are rewritten before characters are composed.
     """
     out = c
-    for a, b in replacements.items():
-        out = F.replace(out, F.lit(a), F.lit(b))
-    out = F.regexp_replace(out, r">=?\s*(\d)", "over $1")
-    out = F.regexp_replace(out, r"<=?\s*(\d)", "under $1")
-    out = F.regexp_replace(out, "[<>]", " ")
-    out = F.regexp_replace(out, r"\s&\s", " and ")
-    out = F.regexp_replace(out, r"[^\x00-\x7F]", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"\s+,", ","), r"\s+", " "))
+    for mark, plain in marks.items():
+        out = F.replace(out, F.lit(mark), F.lit(plain))
+    out = F.regexp_replace(F.regexp_replace(out, r"(at (?:least|most) )\s+", "$1"), r"<\s*(?=[\d$.])", "under ")
+    out = F.regexp_replace(F.regexp_replace(out, r">\s*(?=[\d$.])", "over "), "[<>]", " ")
+    if not keep_ampersand:
+        out = F.regexp_replace(out, r"\s+&\s+", " and ")
+    out = F.regexp_replace(nfkc(out), r"[^\x00-\x7F]", " ")
+    return py_strip(F.regexp_replace(F.regexp_replace(out, r"\s+([,;])", "$1"), "[ \t]{2,}", " "))
 
 
 def keyword_coverage(text: Column, keywords: Column) -> tuple[Column, Column]:
@@ -188,20 +211,49 @@ def dedup_tokens(tokens: Column) -> Column:
     return F.aggregate(tokens, F.expr("cast(array() as array<string>)"), lambda done, t: F.when(F.exists(done, lambda d: F.lower(d) == F.lower(t)), done).otherwise(F.array_append(done, t)))
 
 
-def normalize_skill_items(items: Column, keep_slash: Sequence[str] = (), cap: int = 12) -> Column:
-    """Skill items taken apart: ``Cloud (a, b)`` to the item and each of its parts behind its name, commas and semicolons split, slashes too but for
-    ``keep_slash``; the first of items that differ by case alone, at most ``cap``."""
-    kept = F.array(*[F.lit(k.lower()) for k in keep_slash]) if keep_slash else F.expr("cast(array() as array<string>)")
+# Names whose slash is their own; platforms that name their parts; words that mark a note rather than a product.
+SLASH_NAMES = ("tcp/ip", "ci/cd", "ui/ux", "i/o", "a/b", "s/mime", "r/w", "os/2", "24/7")
+PLATFORMS = ("aws", "azure", "gcp", "google cloud", "amazon web services")
+QUALIFIERS = ("certified", "certification", "cert", "experience", "proficient", "basic", "advanced", "familiar", "familiarity", "exposure", "coursework", "learning")
 
-    def parts(text: Column) -> Column:
-        return F.filter(F.transform(F.split(text, "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
 
-    def unslashed(x: Column) -> Column:
-        return F.when(F.array_contains(kept, F.lower(x)), F.array(x)).otherwise(F.filter(F.transform(F.split(x, "/"), lambda y: F.trim(y)), lambda y: y != ""))
+def normalize_skill_items(items: Column, cap: int = 12, most_parts: int = 5) -> Column:
+    """Skill items taken apart into single names, the first of those that differ by case alone, at most ``cap``.
+
+    ``Cloud (A, b)`` gives the name and those parts that read as products, behind the name of a platform; a bracket with text
+    behind it is dropped.  Commas and semicolons split, slashes too in two or three parts of two letters or more.  The first new
+    name of an item in ``**`` carries them.
+    """
+
+    def product(part: Column) -> Column:
+        words = F.filter(F.split(part, r"\s+"), lambda w: w != "")
+        core = lambda w: F.regexp_replace(w, r"^[().,-]+|[().,-]+$", "")
+        note = F.exists(words, lambda w: F.regexp_replace(F.lower(w), r"^[.,()]+|[.,()]+$", "").isin(*QUALIFIERS))
+        return (F.size(words) >= 1) & (F.size(words) <= 3) & ~note & F.forall(words, lambda w: core(w).rlike(r"^(?:$|[\p{Lu}\d])"))
 
-    def expanded(item: Column) -> Column:
-        name, inner = F.trim(F.regexp_extract(item, r"^([^(]*)\(", 1)), F.regexp_extract(item, r"\(([^)]*)\)", 1)
-        return F.when((name != "") & (inner != ""), F.concat(F.array(name), F.transform(parts(inner), lambda x: F.concat(name, F.lit(" "), x)))).otherwise(parts(F.regexp_replace(item, r"[()]", " ")))
+    def expanded(text: Column) -> Column:
+        shape = r"(?s)^([^(]+?)\s*\(([^()]*)\)\s*(.*)$"
+        head, inner, tail = (F.regexp_extract(text, shape, i) for i in (1, 2, 3))
+        parts = F.slice(F.filter(F.transform(F.split(inner, "[,;]"), lambda y: F.trim(y)), product), 1, most_parts)
+        named = F.transform(parts, lambda p: F.when(F.lower(F.trim(head)).isin(*PLATFORMS), F.concat(F.trim(head), F.lit(" "), p)).otherwise(p))
+        dropped = F.coalesce(F.nullif(F.trim(F.regexp_replace(text, r"\s*\([^()]*\)", "")), F.lit("")), text)
+        return F.when(~text.rlike(shape), F.array(text)).when(F.trim(tail) != "", F.array(dropped)).otherwise(F.concat(F.array(F.trim(head)), named))
 
-    flat = F.flatten(F.transform(F.flatten(F.transform(items, expanded)), unslashed))
-    return F.slice(dedup_tokens(flat), 1, cap)
+    def unslashed(x: Column) -> Column:
+        parts = F.transform(F.split(x, "/"), lambda y: F.trim(y))
+        whole = F.lower(x).isin(*SLASH_NAMES) | (F.size(parts) > 3) | F.exists(parts, lambda p: F.length(p) < 2)
+        return F.when(whole, F.array(x)).otherwise(parts)
+
+    def names(item: Column, i: Column) -> Column:
+        split = F.flatten(F.transform(expanded(F.trim(F.replace(item, F.lit("**"), F.lit("")))), lambda e: F.split(e, r"\s*[,;]\s*")))
+        plain = F.transform(F.flatten(F.transform(split, lambda p: unslashed(F.trim(p)))), lambda t: F.btrim(t, F.lit(" ,;.")))
+        return F.transform(F.filter(plain, lambda t: t != ""), lambda t: F.struct(t.alias("t"), i.alias("i"), F.contains(item, F.lit("**")).alias("bold")))
+
+    def marked(new: Column) -> Column:
+        first = lambda i: F.coalesce(F.get(new, i - 1)["i"] != new[i]["i"], F.lit(True))
+        return F.transform(new, lambda x, i: F.when(x["bold"] & first(i), F.concat(F.lit("**"), x["t"], F.lit("**"))).otherwise(x["t"]))
+
+    flat = F.flatten(F.transform(items, names))
+    empty = F.expr("cast(array() as array<struct<t: string, i: int, bold: boolean>>)")
+    new = F.aggregate(flat, empty, lambda done, x: F.when(F.exists(done, lambda d: F.lower(d["t"]) == F.lower(x["t"])), done).otherwise(F.array_append(done, x)))
+    return F.slice(F.transform(F.array(new), marked)[0], 1, cap)

@@ -46,9 +46,9 @@ def decide(df: DataFrame, bar: int = 6, max_attempts: int = 5) -> DataFrame:
     return df.withColumn("decision", decision).withColumn("promotion_attempts", tries)
 
 
-def candidate_tokens(jobs: DataFrame, registered: DataFrame, n: int, legal: Sequence[str]) -> DataFrame:
+def candidate_tokens(jobs: DataFrame, registered: DataFrame, n: int) -> DataFrame:
     """Token shapes of the most frequent companies that no board has yet, once each whatever the case."""
-    shapes = company_frequency(jobs, n).select("company", F.posexplode(slug_candidates(F.col("company"), legal)).alias("pos", "token"))
+    shapes = company_frequency(jobs, n).select("company", F.posexplode(slug_candidates(F.col("company"))).alias("pos", "token"))
     once = _best(shapes, [F.lower("token")], [-F.col("pos"), F.col("company")])
     return once.join(registered.select(F.lower("token").alias("__t")), F.lower("token") == F.col("__t"), "left_anti").select("company", "token")
 

@@ -110,7 +110,9 @@ ORACLES: dict[str, str] = {
     "failed_only": "select event_id, event_type in ('error', 'view') as failed from events",
     "dedup_tokens": "with t as (select p_brand, lower(p_type) as k, min(p_partkey) as m from part group by all) select p_brand, string_agg(case when m % 2 = 0 then upper(k) else k end, ',' order by m) as tokens from t group by p_brand",
     "humanize_token": "select p_partkey, upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) || ' Board ' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') as name from part",
-    "skill_items": "select p_partkey, p_type || '|' || p_type || ' red|' || p_type || ' Blue|a|b|c|CI/CD|x|y' as items from part",
+    "skill_items": "select p_partkey, p_type || '|Blue|AWS|AWS EC2|aa|bb|cc|CI/CD|**xx**|yy' as items from part",
+    "sanitize_ascii": f"with {_ASCII}, a as (select doc_id, regexp_replace(regexp_replace(text || ' > 5 & more , x <b> < $3', '<\\s*([\\d$.])', 'under \\1', 'g'), '>\\s*([\\d$.])', 'over \\1', 'g') as t from docs) select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[<>]', ' ', 'g'), '\\s+&\\s+', ' and ', 'g'), '\\s+([,;])', '\\1', 'g'), '[ \t]{{2,}}', ' ', 'g'), '^\\s+|\\s+$', '', 'g')) as digest from a",
+    "slug_candidates": "select distinct company, array_to_string(case when rest = '' then [lower(j), j, 'brand', 'Brand'] else [lower(j), j, 'brand', 'Brand', 'brand' || w2, 'Brand' || w2] end, '|') as tokens from (select *, 'Brand' || w2 || rest as j, 'Brand' || w2 || rest as c from (select p_brand || case p_partkey % 6 when 0 then ', Inc.' when 1 then ' (Labs)' when 2 then ' Global Services' when 3 then ' | Partner' when 4 then ', a Widget Company' else '' end as company, substr(p_brand, 7) as w2, case when p_partkey % 6 = 2 then 'GlobalServices' else '' end as rest from part))",
     "keyword_coverage": f"with {_ASCII}, f as (select doc_id, lower(regexp_replace(replace(text, '*', ''), '\\s+', ' ', 'g')) as t from docs), m as (select doc_id, list_filter(['the', 'rights', 'Apache'], lambda k: not contains(t, lower(k))) as x from f) select doc_id, round(1 - len(x) / 3.0, 9) as share, array_to_string(x, ',') as missing from m",
     "dedup_outcomes": _with("f_feedback", [], "select id, company, outcome from f_feedback qualify row_number() over (partition by lower(company), trim(regexp_replace(regexp_replace(regexp_replace(lower(title), '\\([^)]*\\)|\\[[^\\]]*\\]', ' ', 'g'), '[^a-z0-9]', ' ', 'g'), ' +', ' ', 'g')) order by case outcome when 'skipped' then 0 when 'applied' then 1 when 'reached_out' then 2 when 'rejected' then 3 when 'interview' then 4 else 1 end desc, id) = 1"),
     "rate_by_family": _with("f_feedback", [_APPLIED], f"select coalesce(lower(split_part(source, '-', 1)), 'unknown') as key, {_RATES}, round(callbacks / apps, 9) as callback_rate, round(positives / apps, 9) as positive_rate, apps < 30 as low_n from applied group by 1"),

@@ -533,12 +533,12 @@ def extract_tenant(s, d):
 
 @query
 def slug_candidates(s, d):
-    return view(s, d, "f_employers").select("company").distinct().select("company", F.array_join(T.slug_candidates(F.col("company"), ("inc", "llc")), "|").alias("tokens"))
+    return view(s, d, "f_employers").select("company").distinct().select("company", F.array_join(T.slug_candidates(F.col("company")), "|").alias("tokens"))
 
 
 @query
 def sanitize_ascii(s, d):
-    return _ascii_docs(s, d).select("doc_id", F.md5(T.sanitize_ascii(F.concat(F.col("text"), F.lit(" >= 5 & more , x <b>")), {"&&": "&"})).alias("digest"))
+    return _ascii_docs(s, d).select("doc_id", F.md5(T.sanitize_ascii(F.concat(F.col("text"), F.lit(" > 5 & more , x <b> < $3")))).alias("digest"))
 
 
 @query
@@ -560,8 +560,8 @@ def humanize_token(s, d):
 
 @query
 def skill_items(s, d):
-    rows = table(s, d, "part").select("p_partkey", F.array(F.concat("p_type", F.lit(" (red, Blue)")), F.lit("a, b;c"), F.lit("CI/CD"), F.lit("x/y"), F.lit("A")).alias("items"))
-    return rows.select("p_partkey", F.array_join(T.normalize_skill_items(F.col("items"), ("CI/CD",), 12), "|").alias("items"))
+    rows = table(s, d, "part").select("p_partkey", F.array(F.concat("p_type", F.lit(" (red, Blue)")), F.lit("AWS (EC2, S3 certified)"), F.lit("aa, bb;cc"), F.lit("CI/CD"), F.lit("**xx/yy**"), F.lit("AA")).alias("items"))
+    return rows.select("p_partkey", F.array_join(T.normalize_skill_items(F.col("items")), "|").alias("items"))
 
 
 # Registries
@@ -606,7 +606,7 @@ def best_board(s, d):
 def candidate_tokens(s, d):
     jobs = view(s, d, "f_employers").select("company")
     registered = s.createDataFrame([("Brand12",), ("brand3",)], "token string")
-    return registry.candidate_tokens(jobs, registered, 20, ("inc", "llc"))
+    return registry.candidate_tokens(jobs, registered, 20)
 
 
 @query

@@ -148,6 +148,23 @@ def test_scalars(spark):
     assert one(spark, {"a": 1.0, "b": 3.0, "c": 3.0}, lambda c: skills.top_of_map(c, 2), "map<string, double>") == ["b", "c"]
 
 
+def test_skill_items(spark):
+    rows = ["AWS (EC2, S3)", "Ansible (RH294 certified)", "Java (Spring Boot)", "JavaScript/TypeScript", "TCP/IP", "**Go; rust**", "go", "Foo (Bar) baz", "a/b/c/d"]
+    found = one(spark, rows, T.normalize_skill_items, "array<string>")
+    assert found == ["AWS", "AWS EC2", "AWS S3", "Ansible", "Java", "Spring Boot", "JavaScript", "TypeScript", "TCP/IP", "**Go**", "rust", "Foo baz"]
+    assert one(spark, [], T.normalize_skill_items, "array<string>") == []
+
+
+def test_sanitize(spark):
+    texts = ["a \u2014 b \u2022 c", "p99 <1s and >50% of <b>", "R&D & more", "\ufb01ve \u2265 3", "caf\u00e9", None]
+    assert many(spark, texts, T.sanitize_ascii) == ["a - b, c", "p99 under 1s and over 50% of b", "R&D and more", "five at least 3", "caf", None]
+
+
+def test_slugs(spark):
+    assert one(spark, "The Acme Widgets, Inc. (NY)", T.slug_candidates) == ["acmewidgets", "AcmeWidgets", "acme", "Acme"]
+    assert one(spark, "LLC", T.slug_candidates) == []
+
+
 def test_registry(spark):
     cands = spark.createDataFrame([("a", "s", date(2024, 1, 1), date(2024, 1, 1), 2, 0)], "tenant string, server string, first_seen date, last_seen date, n_seen int, promotion_attempts int")
     found = spark.createDataFrame([("a", "s"), ("b", "t"), ("b", "t"), ("C", "u"), ("", "v"), (None, "w")], "tenant string, server string")
