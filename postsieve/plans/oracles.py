@@ -30,6 +30,10 @@ _FAMILY = f"case when regexp_matches(t, '\\bplate\\b') and not regexp_matches(t,
 _EXCLUDED = "case when regexp_matches(t, '\\bold\\b') then 'old' when regexp_matches(t, '\\bgreen\\b') then 'green ' end"
 
 
+_FULL_FAMILY, _FULL_EXCLUDED = _FAMILY.replace("(t,", "(lower(title),"), _EXCLUDED.replace("(t,", "(lower(title),")
+_SUPPORT = " + ".join(f"regexp_matches(lower(title) || ' ' || coalesce(lower(description), ''), '(^|[^\\p{{L}}\\p{{N}}_]){w}($|[^\\p{{L}}\\p{{N}}_])')::int" for w in ("the", "of", "and", "widget"))
+
+
 def _with(views: str, ctes: list[str], body: str) -> str:
     """Fixture views, further common tables, then the query."""
     head = oracle("", *views.split()) if views else ""
@@ -64,6 +68,20 @@ ORACLES: dict[str, str] = {
     "split_fresh": _with("f_postings", [], f"select source, {_FRESH} as fresh, count(*) as n from f_postings group by all"),
     "title_gate": f"select title, family, exclusion, exclusion is null and family is not null as passes, count(*) as n from (select p_name as title, {_FAMILY} as family, {_EXCLUDED} as exclusion from (select p_name, lower(p_name) as t from part)) group by all",
     "rule_gate": _with("f_postings", [], f"select stage, {_REASON} as reason, count(*) as n from (select *, {_STAGE} as stage from f_postings) group by all"),
+    "rule_gate_full": _with(
+        "f_postings",
+        [
+            _LATEST,
+            f"marked as (select *, lower(description) as dl, {_FULL_FAMILY} as family, {_FULL_EXCLUDED} as excluded, {_SUPPORT} as n from latest)",
+            """staged as (select *, case when contains(lower(location), 'nation_1') or contains(lower(location), 'nation_20') then 'stage1_location' when excluded is not null then 'stage1_title'
+              when family is null then 'stage1_title_domain' when coalesce(salary_max < 20000, false) then 'stage1_salary' when description is null or trim(description, ' \t\n') = '' then 'stage1_no_desc'
+              when contains(dl, 'apache license') or contains(dl, 'trash') then 'stage1_desc' when n < 3 then 'stage1_keywords' else 'stage1_pass' end as stage from marked)""",
+        ],
+        """select fp, stage, case when stage = 'stage1_title' then 'Title exclusion: ''' || excluded || ''' matched in ''' || title || ''''
+          when stage = 'stage1_desc' then 'Description hard-stop: ''' || case when contains(dl, 'apache license') then 'apache license' else 'trash' end || ''''
+          when stage = 'stage1_keywords' then 'Only ' || n || '/3 required keywords found' else """ + _REASON + " end as reason from staged",
+    ),
+    "stale_verdicts": _with("f_employers", [], "select distinct lower(replace(company, '#', ' ')) as company_key, company as company_raw, 0 as n_drops from f_employers where seq % 6 in (1, 3)"),
     "title_only_gate": _with("f_postings", [], "select case when regexp_matches(lower(title), '\\bold\\b') then 'stage1_title' when not regexp_matches(lower(title), '\\b(widget|gear|bolt|ring)\\b') then 'stage1_title_domain' else 'stage1_pass' end as stage, count(*) as n from f_postings where description is null or trim(description, ' \t\n') = '' group by 1"),
     "experience_stop": _with("f_requirements", [], "select kind, count(*) as n, count(*) filter (case kind when 2 then lo >= 4 when 3 then false else n >= 4 end) as stopped from f_requirements group by kind"),
     "promote_filled": _with("f_postings", [_LATEST, "pending as (select * from latest where description is null or trim(description, ' \t\n') = '')", "details as (select title, max(description) as d from f_postings where seq % 3 = 0 and description is not null and trim(description, ' \t\n') <> '' group by title)", "filled as (select p.* replace (d.d as description) from pending p join details d using (title))"], f"select fp, {_STAGE} as stage from filled union all select fp, 'pending' from pending anti join details using (title)"),

@@ -240,7 +240,7 @@ def failed_only(s, d):
 
 @query
 def stale_verdicts(s, d):
-    cache = view(s, d, "f_employers").select(F.lower("company").alias("company_key"), F.col("company").alias("company_raw"), (F.col("seq") % 2 == 0).alias("verified")).distinct()
+    cache = view(s, d, "f_employers").select(F.lower(F.replace("company", F.lit("#"), F.lit(" "))).alias("company_key"), F.col("company").alias("company_raw"), (F.col("seq") % 2 == 0).alias("verified")).distinct()
     return entity.stale_verdicts(cache, view(s, d, "f_employers").where("seq % 3 = 0"))
 
 
