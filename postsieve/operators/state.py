@@ -95,3 +95,18 @@ def applied_with_description(feedback: DataFrame, jobs: DataFrame, since: str, m
 def failed_only(scored: DataFrame, prefixes: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     failed = F.coalesce(F.col("reasoning").rlike("^(?:" + "|".join(prefixes) + ")"), F.lit(False))
     return scored.where(failed), scored.where(~failed)
+
+
+def select_status(df: DataFrame, status: str, exact: bool = True) -> DataFrame:
+    """Rows with a status, exactly or whatever the case and the space around it."""
+    return df.where(F.col("status") == status) if exact else df.where(F.lower(py_strip(F.col("status"))) == status.lower())
+
+
+def write_json_dump(df: DataFrame, path: str) -> None:
+    """JSON lines, one file a task."""
+    df.write.mode("overwrite").json(path)
+
+
+def map_as_json(df: DataFrame, key: str, value: str) -> DataFrame:
+    """One row: the (key, value) rows of a small table, such as a document frequency, as one JSON object by key."""
+    return df.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value))))).alias("json"))

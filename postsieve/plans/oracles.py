@@ -107,6 +107,8 @@ ORACLES: dict[str, str] = {
     "apply_outcomes": _with("f_feedback", [f"sheet as (select id as seq, company, title, {_STATUS} as status from f_feedback)", "both_sheets as (select *, 0 as p from sheet where seq % 2 = 0 union all select *, 1 from sheet where seq % 5 = 0)", f"said as (select {_FP} as fp, max_by({_MAPPED}, p * 1000000000000 + seq) as o from both_sheets where trim(status) <> '' and lower(trim(status)) <> 'ready to apply' group by 1)"], f"select id, coalesce(o, outcome) as outcome from (select *, {_FP} as fp from f_feedback) left join said using (fp)"),
     "promote_applied": _with("f_feedback", [f"sheet as (select id as seq, company, title, {_STATUS} as status, date_applied as generated, {_FP} as fp from f_feedback)"], "select company, title, cast(generated as date) as date_applied, cast(generated as date) + 7 as follow_up, 'No' as responded from (select * from sheet where seq % 2 = 0 and seq % 3 <> 0 and status = 'Applied' qualify row_number() over (partition by fp order by seq) = 1) where fp not in (select fp from sheet where seq % 5 = 0 and seq % 7 = 0)"),
     "pending_generation": _with("f_feedback", [f"sheet as (select id as seq, company, title, {_STATUS} as status, {_FP} as fp from f_feedback)"], "select seq, company, title from sheet where seq % 5 = 0 and fp not in (select fp from sheet where seq % 2 = 0 and seq % 11 = 0 and status = 'Ready to Apply')"),
+    "select_status": _with("f_feedback", [f"sheet as (select id as seq, {_STATUS} as status from f_feedback where id % 2 = 0)"], "select seq, case status when 'Applied' then 'applied' else 'ready' end as kind from sheet where status in ('Applied', 'Ready to Apply')"),
+    "frequency_json": _with("f_postings", ["c as (select company, count(*) as n from f_postings group by 1 order by 2 desc, 1 limit 100)"], "select '{' || string_agg('\"' || company || '\":' || n, ',' order by company) || '}' as json from c"),
     "feedback_rows": _with("f_feedback", [], "select id, '[\"p' || id % 5 || '\"]' as projects_used, case when id % 2 = 0 then 'core' end as admission, cast(null as double) as coverage from f_feedback"),
     "attach_descriptions": _with("f_postings", [f"texts as (select {_FP} as fp, max(description) as d from f_postings group by 1)"], "select p_partkey, md5(nullif(d, '')) as digest from part left join texts on fp = lower(p_brand) || '||' || lower(p_name)"),
     "applied_with_description": _with("f_postings", ["pairs as (select distinct lower(p_brand) || '||' || lower(p_name) as fp, p_name as title from part where '2000-0' || (p_size % 9 + 1) || '-01' >= '2000-05-01')"], f"select fp as job_fingerprint, title, count(distinct description) as n from pairs join (select {_FP} as fp, description from f_postings where length(description) > 200) using (fp) group by all"),

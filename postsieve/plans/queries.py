@@ -278,6 +278,18 @@ def pending_generation(s, d):
     return state.pending_generation(daily, materials.where("seq % 11 = 0")).select("seq", "company", "title")
 
 
+@query
+def select_status(s, d):
+    _, materials, _ = _sheets(s, d)
+    loose = state.select_status(materials.withColumn("status", F.concat(F.lit(" "), F.upper("status"))), "applied", exact=False)
+    return state.select_status(materials, "Ready to Apply").select("seq", F.lit("ready").alias("kind")).union(loose.select("seq", F.lit("applied")))
+
+
+@query
+def frequency_json(s, d):
+    return state.map_as_json(report.company_frequency(view(s, d, "f_postings").select("company"), 100), "company", "n")
+
+
 @query
 def feedback_rows(s, d):
     rows = view(s, d, "f_feedback").drop("projects_used", "admission").withColumn("projects", F.array(F.concat(F.lit("p"), F.col("id") % 5)))
