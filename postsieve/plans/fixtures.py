@@ -27,7 +27,7 @@ VIEWS = {
         from (select p_partkey as seq, p_partkey % 5 as kind, 1 + p_size % 12 as n, cast(floor((1 + p_size % 12) / 2.0) as int) as lo from part) q""",
     "f_audit": """
         select event_id as id, 'user' || cast(user_id as string) as job_fingerprint,
-          case event_type when 'error' then 'stage_h1b' when 'view' then 'stage1_title' when 'click' then 'stage1_desc' else 'stage2_claude' end as stage,
+          case event_type when 'error' then 'stage_h1b' when 'view' then 'stage1_title' when 'click' then 'stage1_desc' else 'stage2_score' end as stage,
           case when event_type = 'purchase' then 'DAILY' else 'REJECT' end as verdict, event_type as reason,
           case when event_type in ('purchase', 'signup') then 1 + event_id % 5 else null end as confidence, cast(ts as date) as run_date, ts as created_at from events""",
     "f_feedback": """
