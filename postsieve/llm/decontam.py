@@ -8,7 +8,9 @@ if some ``window`` of them (the whole item if that is shorter) agrees in at leas
 ``percent`` of its words.
 
 Everything is DataFrame functions.  The benchmark's seeds are broadcast while their
-number is at most ``broadcast_seeds``; beyond that both sides are shuffled by hash.
+number is at most ``broadcast_seeds``; beyond that both sides are shuffled by hash.  So
+are the ids of texts with hits, up to ``broadcast_ids``, so that texts without one stay
+where they are.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from .store import written
 #: Weight five each; under them every 5th word may differ, wherever the first of these is.
 MASKS = ("1110011", "11010101")
 BROADCAST_SEEDS = 1_000_000
+#: Ids of texts with a hit, 8 bytes each, up to which they are broadcast to the texts.
+BROADCAST_IDS = 1_000_000
 
 
 def _words(text: Column) -> Column:
@@ -50,7 +54,7 @@ def _best(words: Column, item: Column, start: Column, window: Column) -> Column:
     return let(F.transform(item, lambda w, j: F.coalesce((F.get(words, F.when(start + j >= 0, start + j)) == w).cast("int"), F.lit(0))), of_matches)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: Sequence[str] = MASKS, window: int = 13, percent: int = 80, min_words: int = 5, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: Sequence[str] = MASKS, window: int = 13, percent: int = 80, min_words: int = 5, broadcast_seeds: int = BROADCAST_SEEDS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """One row per (document, benchmark item) that overlap: ids, text_word (where the best window begins in the text), n_words (its length) and n_same.
 
     Items of fewer than ``min_words`` words are never found; null or empty texts and null ids overlap with nothing.  Rows that repeat an id count as one
@@ -68,7 +72,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     hits = text_seeds.join(item_seeds, "seed").select("id", "item", (F.expr(f"p div {k}").cast("int") - F.col("item_at")).alias("start")).distinct()
     hits = written(hits, "hits")
 
-    hit_texts = texts.join(hits.select("id").distinct(), "id", "left_semi").select("id", _words(F.col("text")).alias("words"))
+    ids = hits.select("id").distinct()
+    if ids.count() <= broadcast_ids:
+        ids = F.broadcast(ids)
+    hit_texts = texts.join(ids, "id", "left_semi").select("id", _words(F.col("text")).alias("words"))
     aligned = hits.join(items, "item").join(hit_texts, "id")
     length = F.least(F.lit(window), F.size("item_words"))
     judged = aligned.select("id", "item", "start", length.alias("n_words"), _best(F.col("words"), F.col("item_words"), F.col("start"), length).alias("best"))

@@ -37,7 +37,7 @@ def test_leaks_match_brute_force(spark):
         docs.append((i, " ".join(words)))
     want = {(d, i) for d, t in docs for i, x in items for best, n in [best_overlap(t, x)] if 100 * best >= 80 * n}
     for bound in (1_000_000, 0):  # broadcast and shuffled
-        found = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_seeds=bound)
+        found = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_seeds=bound, broadcast_ids=bound)
         got = {(r.doc_id, r.item_id) for r in found.collect()}
         assert got <= want and len(got) >= 0.95 * len(want)
 
