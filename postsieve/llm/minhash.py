@@ -7,9 +7,10 @@ densification), so that any two documents agree on a bin with the probability of
 their Jaccard similarity.  Documents that agree on all bins of a band meet in a
 bucket, and a bucket of m documents gives m - 1 candidate edges, a star.
 
-A star may miss a link between two of its points, so stars are drawn again round
-other centres (the point that meets most others, then random ones) between
-points that are not yet connected, until a round finds no new link.  Every link is
+A bucket's star is drawn round its least id, and once more round the point that meets
+most others anywhere.  A star may still miss a link between two of its points, so stars
+are drawn again round random centres, between points that are not yet connected, until
+a round finds no new link.  Every link is
 confirmed on the full sets.  Exact copies are one point from the start.
 
 At similarity 0.8 two documents share none of 32 bands of 4 rows with
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
+from .columns import let
 from .components import connected_components
 from .store import written
 
@@ -111,9 +113,8 @@ def _sets(shingle: int):
     return run
 
 
-def _similar(a: Column, b: Column, na: Column, nb: Column, percent: int) -> Column:
-    shared = F.size(F.array_intersect(a, b)).cast("long")
-    return F.transform(F.array(shared), lambda s: 100 * s >= percent * (na + nb - s))[0]
+def _similar(a: Column, b: Column, percent: int) -> Column:
+    return let(F.size(F.array_intersect(a, b)).cast("long"), lambda s: 100 * s >= percent * (F.size(a) + F.size(b) - s))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, max_rounds: int = 12) -> DataFrame:
@@ -133,57 +134,40 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     points = written(linkable.join(member.where("id = rep").select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "n_shingles", "bands", "s1", "s2"), "points")
 
     met = points.select("id", F.explode("bands").alias("bucket"))
-    shared = met.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n")).where("least < most")
-    met = written(met.join(shared.select("bucket", "n"), "bucket"), "buckets")
-
-    active = met.select("id").distinct()
-    known = points.join(active, "id", "left_semi").select("id", F.col("n_shingles").alias("n"), "s1", "s2")
-    known = written(known, "sketches")
-    sets = written(source.join(active, "id", "left_semi").mapInArrow(_sets(shingle), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
-
-    spark = docs.sparkSession
-    links = component = None
-    tested = spark.createDataFrame([], "u long, v long")
-    central = met.groupBy("id").agg(F.sum("n").alias("weight"))
-    for turn in range(max_rounds):
-        placed = met.select("bucket", "id")
-        if component is None:
-            placed = placed.withColumn("component", F.col("id"))
-        else:
-            placed = placed.join(component, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-        if turn == 0:
-            order = -F.col("id")
-        elif turn == 1:
-            placed = placed.join(central, "id")
-            order = F.col("weight")
-        else:
-            order = F.xxhash64("id", F.lit(turn))
-        centres = placed.groupBy("bucket").agg(F.max(F.struct(order.alias("o"), "id", "component")).alias("c"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-        edges = placed.join(centres.select("bucket", "c"), "bucket").where("component <> c.component")
-        edges = edges.select(F.least("id", "c.id").alias("u"), F.greatest("id", "c.id").alias("v")).distinct()
-        if turn:
-            edges = edges.join(tested, ["u", "v"], "left_anti")
-        a, b = known.select(*[F.col(c).alias(f"{c}_u") for c in known.columns]), known.select(*[F.col(c).alias(f"{c}_v") for c in known.columns])
-        near = edges.join(a, F.col("u") == F.col("id_u")).join(b, F.col("v") == F.col("id_v"))
-        near = near.where(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
-        near = near.where(F.bit_count(F.col("s1_u").bitwiseXOR(F.col("s1_v"))) + F.bit_count(F.col("s2_u").bitwiseXOR(F.col("s2_v"))) <= SKETCH_BITS)
-        near = near.select("u", "v", "n_u", "n_v")
-        near = near.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("set_u")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("set_v")), "v")
-        near = written(near.select("u", "v", _similar(F.col("set_u"), F.col("set_v"), F.col("n_u"), F.col("n_v"), percent).alias("linked")), "candidates")
-        tested = tested.union(near.select("u", "v"))
-        found = near.where("linked").select("u", "v")
-        if found.isEmpty():
-            if turn >= 2:
-                break
-            continue
-        links = found if links is None else links.union(found)
-        component = connected_components(links)
+    shared = met.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("others")).where("least < most")
+    met = written(met.join(shared.select("bucket", "others"), "bucket"), "buckets")
+    facts = points.select("id", F.col("n_shingles").alias("n"), "s1", "s2").join(met.groupBy("id").agg(F.sum("others").alias("weight")), "id")
+    met = written(met.select("bucket", "id").join(facts, "id"), "points")
+    sets = written(source.join(facts.select("id"), "id", "left_semi").mapInArrow(_sets(shingle), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
+
+    def near(edges: DataFrame) -> DataFrame:
+        """(u, v) of the edges from points to centres that sizes and sketches don't rule out."""
+        a, b = F.col("n"), F.col("c.n")
+        edges = edges.where(F.col("id") != F.col("c.id")).where(100 * F.least(a, b) >= percent * F.greatest(a, b))
+        differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("c.s1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("c.s2")))
+        return edges.where(differ <= SKETCH_BITS).select(F.least("id", "c.id").alias("u"), F.greatest("id", "c.id").alias("v")).distinct()
+
+    def confirmed(edges: DataFrame) -> DataFrame:
+        full = edges.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("set_u")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("set_v")), "v")
+        return written(full.select("u", "v", _similar(F.col("set_u"), F.col("set_v"), percent).alias("linked")), "candidates")
+
+    point = ["id", "n", "s1", "s2"]
+    first = met.groupBy("bucket").agg(F.min(F.struct(*point)).alias("c0"), F.max(F.struct("weight", *point)).alias("c1"))
+    placed = met.join(first, "bucket")
+    tested = confirmed(near(placed.withColumn("c", F.col("c0"))).union(near(placed.select("*", F.col("c1").dropFields("weight").alias("c")))).distinct())
+    component = connected_components(tested.where("linked").select("u", "v"))
+    for turn in range(1, max_rounds):
+        placed = met.drop("weight").join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        centres = placed.groupBy("bucket").agg(F.max(F.struct(F.xxhash64("id", F.lit(turn)).alias("o"), *point, "component")).alias("c"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+        edges = near(placed.join(centres.select("bucket", "c"), "bucket").where("component <> c.component"))
+        tried = confirmed(edges.join(tested, ["u", "v"], "left_anti"))
+        if tried.where("linked").isEmpty():
+            break
+        tested = tested.union(tried)
+        component = connected_components(tested.where("linked").select("u", "v"))
 
     out = profile.select("id", "n_shingles").join(member.groupBy("id").agg(F.min("rep").alias("rep")), "id", "left")
-    if component is not None:
-        out = out.join(component, F.col("rep") == F.col("node"), "left")
-        reached = F.coalesce("component", "rep", "id")
-    else:
-        reached = F.coalesce("rep", "id")
+    out = out.join(component, F.col("rep") == F.col("node"), "left")
+    reached = F.coalesce("component", "rep", "id")
     out = out.select("id", "n_shingles", reached.alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
