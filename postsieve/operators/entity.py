@@ -31,15 +31,24 @@ MIN_ROOT = 4
 MAX_FORMS = 4
 
 
+def _bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once for the row: an expression that is used twice would be evaluated twice, and nested ones over and over."""
+    return F.transform(F.array(value), body)[0]
+
+
 def clean_company(c: Column) -> Column:
     """Without brackets, taglines and up to three legal suffixes; never emptied by a suffix."""
     name = F.regexp_replace(c, r"\s*[\(\[][^\)\]]*[\)\]]", " ")
     name = F.regexp_replace(name, r"(?is)\s*(?:\||,\s*(?:an?|part of)\s+|\s+-\s+|\s+–\s+|\s+—\s+).*$", "")
     name = F.btrim(F.regexp_replace(name, r"(?U)\s+", " "), F.lit(" ,.-|"))
-    for _ in range(3):
-        peeled = F.btrim(F.regexp_replace(name, rf"(?i)[\s,]+(?:{TRAILING_SUFFIXES})\.?$", ""), F.lit(" ,."))
-        name = F.when(peeled == "", name).otherwise(peeled)
-    return name
+
+    def peel(x: Column, times: int) -> Column:
+        if not times:
+            return x
+        shorter = F.btrim(F.regexp_replace(x, rf"(?i)[\s,]+(?:{TRAILING_SUFFIXES})\.?$", ""), F.lit(" ,."))
+        return _bind(F.coalesce(F.nullif(shorter, F.lit("")), x), lambda y: peel(y, times - 1))
+
+    return _bind(name, lambda x: peel(x, 3))
 
 
 def company_tokens(name: Column, dots_as_space: bool = False) -> Column:
@@ -47,8 +56,7 @@ def company_tokens(name: Column, dots_as_space: bool = False) -> Column:
     s = F.regexp_replace(F.lower(name), "[&/+]", " ")
     s = F.replace(s, F.lit("."), F.lit(" " if dots_as_space else ""))
     tokens = F.filter(F.split(F.regexp_replace(s, r"[^a-z0-9\s]", " "), r"\s+"), lambda t: t != "")
-    legal = F.array(*map(F.lit, LEGAL_WORDS))
-    return F.when(F.forall(tokens, lambda t: F.array_contains(legal, t)), F.slice(tokens, 1, 0)).otherwise(tokens)
+    return _bind(tokens, lambda ts: F.when(F.forall(ts, lambda t: t.isin(*LEGAL_WORDS)), F.slice(ts, 1, 0)).otherwise(ts))
 
 
 def company_key(c: Column) -> Column:
@@ -61,9 +69,8 @@ def filer_key(c: Column) -> Column:
 
 def query_ladder(c: Column) -> Column:
     """At most four distinct forms of a name to look up, the most specific first."""
-    name = clean_company(c)
 
-    def forms(base: Column) -> Column:
+    def forms(name: Column, base: Column) -> Column:
         tails = F.array(*map(F.lit, GENERIC_TAILS))
         # Words at the end that are all generic: as far as the last word that is not.
         kept = F.greatest(F.coalesce(F.array_max(F.transform(base, lambda t, i: F.when(~F.array_contains(tails, t), i + 1))), F.lit(0)), F.lit(1))
@@ -74,7 +81,7 @@ def query_ladder(c: Column) -> Column:
         full = F.array(F.array_join(base, " "), F.array_join(company_tokens(name, dots_as_space=True), " "))
         return F.slice(F.filter(F.array_distinct(F.concat(full, shorter)), lambda f: f != ""), 1, MAX_FORMS)
 
-    return F.transform(F.array(company_tokens(name)), forms)[0]
+    return _bind(clean_company(c), lambda name: _bind(company_tokens(name), lambda base: forms(name, base)))
 
 
 def prefix_match(queries: DataFrame, query: str, filers: DataFrame, key: str = "key", min_len: int = 3) -> DataFrame:
