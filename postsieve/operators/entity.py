@@ -115,7 +115,8 @@ def resolve_sponsor(postings: DataFrame, cache: DataFrame, filers: DataFrame | N
     names are those of the cache when the batch starts.
     """
     keyed = postings.withColumn("__k", company_key(F.col("company")))
-    names = keyed.where(F.length("__k") > 0).groupBy("__k").agg(F.min("company").alias("__raw"))
+    # A row a name, asked in four ways: kept rather than cleaned again for each.
+    names = keyed.where(F.length("__k") > 0).groupBy("__k").agg(F.min("company").alias("__raw")).persist()
     age = F.datediff(F.lit(as_of), F.col("checked_at"))
     yes = cache.where(F.col("verified") & (age < ttl_days)).select(F.col("company_key")).distinct()
     cached = names.join(yes.withColumnRenamed("company_key", "__k"), "__k", "left_semi").select("__k")
