@@ -10,8 +10,10 @@ bucket, and a bucket of m documents gives m - 1 candidate edges, a star.
 A bucket's star is drawn round its least id, and once more round the point that meets
 most others anywhere.  A star may still miss a link between two of its points, so stars
 are drawn again round random centres, between points that are not yet connected, until
-a round finds no new link.  Every link is
-confirmed on the full sets.  Exact copies are one point from the start.
+a round finds no new link.  What is left is done exactly: all pairs of unconnected points
+of a bucket are tested, or, for the points of crowded buckets, all pairs that share a shingle
+among the rarest of both, without which no pair is similar enough (prefix filter).
+Every link is confirmed on the full sets.  Exact copies are one point from the start.
 
 At similarity 0.8 two documents share none of 32 bands of 4 rows with
 probability 5e-8.
@@ -34,6 +36,10 @@ from .store import written
 #: Bits of the sketch that may differ, of 128, before a candidate is dropped unseen: at similarity 0.8 12.8 differ on
 #: average, with a standard deviation of 3.4; unlike texts differ in about 63.
 SKETCH_BITS = 40
+#: Points of a bucket up to which all its pairs are tested; those of larger ones meet by rare shingles.
+CROWDED = 64
+#: Points of one rare shingle that a task pairs with as many others.
+BLOCK = 2_000
 
 
 def densified(values: np.ndarray, filled: np.ndarray) -> np.ndarray:
@@ -117,13 +123,43 @@ def _similar(a: Column, b: Column, percent: int) -> Column:
     return let(F.size(F.array_intersect(a, b)).cast("long"), lambda s: 100 * s >= percent * (F.size(a) + F.size(b) - s))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, max_rounds: int = 12) -> DataFrame:
+def _rare_shingles(pool: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``pool`` (id, n, ...) once per shingle of its prefix: shingle, place (from 0, rarest first) and short.
+
+    Sets that are similar enough have their first common shingle inside the prefix of both, and where ``short`` holds in the smaller one.
+    """
+    each = sets.join(pool.select("id"), "id").select("id", F.explode("shingles").alias("shingle"))
+    shared = each.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1")
+    ranked = each.join(shared, "shingle").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "shingle"))).alias("l"))
+    ranked = pool.join(ranked, "id").withColumn("alone", F.col("n") - F.size("l"))  # shingles that no other set has come first
+    reach = F.expr(f"n - ({percent} * n + 99) div 100 + 1 - alone").cast("int")
+    placed = ranked.select(*pool.columns, "alone", F.posexplode(F.slice("l", F.lit(1), F.greatest(reach, F.lit(0)))).alias("k", "s"))
+    placed = placed.select(*pool.columns, F.col("s.shingle").alias("shingle"), (F.col("alone") + F.col("k")).alias("place"))
+    return placed.withColumn("short", F.expr(f"place <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent}"))
+
+
+def _meetings(rare: DataFrame, percent: int, block: int) -> DataFrame:
+    """Edges from a point (id, ...) to a point of at least its size (c) that may be similar enough by the places of a shingle of both."""
+    keys = rare.groupBy("shingle").agg(F.count("*").alias("m"), F.count_if("short").alias("shorts"), F.min("component").alias("x"), F.max("component").alias("y"))
+    keys = keys.where("shorts > 0 and x <> y").select("shingle", F.expr(f"(shorts - 1) div {block} + 1").alias("p"), F.expr(f"(m - 1) div {block} + 1").alias("q"))
+    keyed = rare.join(keys, "shingle")
+    own = lambda parts: F.pmod(F.xxhash64("id", "shingle"), F.col(parts))
+    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+    a = keyed.where("short").withColumn("i", own("p")).withColumn("j", every("q")).drop("p", "q", "short")
+    b = keyed.withColumn("j", own("q")).withColumn("i", every("p")).select("shingle", "i", "j", F.struct("id", "n", "s1", "s2", "component", "place").alias("c"))
+    rest = F.least(F.col("n") - F.col("place"), F.col("c.n") - F.col("c.place"))
+    met = a.join(b, ["shingle", "i", "j"]).where("component <> c.component").where("n < c.n or n = c.n and id < c.id")
+    return met.where((100 + percent) * rest >= percent * (F.col("n") + F.col("c.n")))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, max_rounds: int = 12, crowded: int = CROWDED, block: int = BLOCK) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the least id that links lead to, itself included) and kept (id = component_id).
 
     Two documents are linked if ``100 * |A & B| >= percent * |A | B|`` for their sets of distinct ``shingle``-word
     sequences, over ASCII-lower-cased words ``[^\\x20\\x09-\\x0D]+``.  A text of fewer words is one shingle.
     A null or blank text has no shingle and no link.  A row with a null id has no link either: its component_id is
     null and it is kept.  Rows that repeat an id get the same component.  Other columns are not read.
+    ``max_rounds``, ``crowded`` and ``block`` change the work, not the result.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     profile = written(source.mapInArrow(_profile(shingle, bands, rows), "id long, n_shingles long, c1 long, c2 long, bands array<long>, s1 long, s2 long"), "profiles")
@@ -166,6 +202,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         tested = tested.union(tried)
         component = connected_components(tested.where("linked").select("u", "v"))
 
+    placed = met.drop("weight").join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parted = placed.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket", "m")
+    placed = written(placed.join(parted, "bucket"), "parted")
+    few = placed.where(F.col("m") <= crowded)
+    pairs = few.join(few.select("bucket", F.struct(*point, "component").alias("c")), "bucket").where("component <> c.component and id < c.id")
+    pool = placed.where(F.col("m") > crowded).select(*point, "component").distinct()
+    if not pool.isEmpty():
+        rare = written(_rare_shingles(pool, sets, percent), "rare")
+        edges = near(pairs).union(near(_meetings(rare, percent, block))).distinct()
+    else:
+        edges = near(pairs)
+    tried = confirmed(edges.join(tested, ["u", "v"], "left_anti"))
+    if not tried.where("linked").isEmpty():
+        component = connected_components(tested.union(tried).where("linked").select("u", "v"))
+
     out = profile.select("id", "n_shingles").join(member.groupBy("id").agg(F.min("rep").alias("rep")), "id", "left")
     out = out.join(component, F.col("rep") == F.col("node"), "left")
     reached = F.coalesce("component", "rep", "id")

@@ -73,6 +73,33 @@ def test_hub_that_is_not_the_least_id(spark):
     assert found == {i: c for i, (_, c) in brute(dict(rows), 2).items()}
 
 
+def template_group(seed: int, n: int, n_pairs: int) -> list[tuple]:
+    """Texts that share a template and are just under 0.8 to each other, but for ``n_pairs`` pairs above it."""
+    rng = random.Random(seed)
+    template = [f"t{i}" for i in range(176)]
+    own = [[f"o{i}_{j}" for j in range(24 + i % 3)] for i in range(n)]
+    for k in range(n_pairs):
+        own[2 * k + 1][:10] = own[2 * k][:10]
+    order = rng.sample(range(n), n)
+    return [(order[i], " ".join([*template, *own[i]])) for i in range(n)]
+
+
+def test_links_inside_crowded_buckets(spark):
+    rows = template_group(8, 160, 40)
+    want = {i: c for i, (_, c) in brute(dict(rows), 1).items()}
+    assert len(set(want.values())) == 120
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs, shingle=1).collect()} == want
+
+
+def test_crowded_limit_changes_no_result(spark):
+    rows = [*corpus(3, 100), *((1000 + i, t) for i, t in template_group(9, 40, 10))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: c for i, (_, c) in brute(dict(rows), 1).items()}
+    for crowded, block in ((1, 5), (1, 2_000), (1_000, 5)):
+        assert {r.doc_id: r.component_id for r in near_duplicates(docs, shingle=1, crowded=crowded, block=block).collect()} == want
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (300, 200), (200, 300)]
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
