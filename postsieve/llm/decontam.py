@@ -25,6 +25,8 @@ from .store import written
 
 #: Weight five each; under them every 5th word may differ, wherever the first of these is.
 MASKS = ("1110011", "11010101")
+#: Weight four, for items shorter than the window: with any one of 5 to 9 words replaced, or any two of 10 to 12, one of these fits between.
+SHORT_MASKS = ("1111", "10111", "11011", "11101")
 BROADCAST_SEEDS = 1_000_000
 #: Ids of texts with a hit, 8 bytes each, up to which they are broadcast to the texts.
 BROADCAST_IDS = 1_000_000
@@ -54,17 +56,22 @@ def _best(words: Column, item: Column, start: Column, window: Column) -> Column:
     return let(F.transform(item, lambda w, j: F.coalesce((F.get(words, F.when(start + j >= 0, start + j)) == w).cast("int"), F.lit(0))), of_matches)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: Sequence[str] = MASKS, window: int = 13, percent: int = 80, min_words: int = 5, broadcast_seeds: int = BROADCAST_SEEDS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: Sequence[str] = MASKS, short_masks: Sequence[str] = SHORT_MASKS, window: int = 13, percent: int = 80, min_words: int = 5, broadcast_seeds: int = BROADCAST_SEEDS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """One row per (document, benchmark item) that overlap: ids, text_word (where the best window begins in the text), n_words (its length) and n_same.
 
     Items of fewer than ``min_words`` words are never found; null or empty texts and null ids overlap with nothing.  Rows that repeat an id count as one
-    document, which overlaps where any of them does.
+    document, which overlaps where any of them does.  At the defaults no overlap of items of five words or more is missed.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     items = benchmark.select(F.col(item_col).alias("item"), _words(F.col(item_text_col).cast("string")).alias("item_words")).where(F.col("item").isNotNull() & (F.size("item_words") >= min_words))
     items = written(items, "items")
+    short = F.size("item_words") < window
+    n_long = len(masks)
+    if not items.where(short).isEmpty():
+        masks = (*masks, *short_masks)
     k = len(masks)
-    item_seeds = items.select("item", F.posexplode(_seeds(F.col("item_words"), masks)).alias("q", "seed")).select("seed", "item", F.expr(f"q div {k}").cast("int").alias("item_at"))
+    item_seeds = items.select("item", short.alias("short"), F.posexplode(_seeds(F.col("item_words"), masks)).alias("q", "seed"))
+    item_seeds = item_seeds.where(F.col("short") | (F.expr(f"q % {k}") < n_long)).select("seed", "item", F.expr(f"q div {k}").cast("int").alias("item_at"))
     item_seeds = written(item_seeds.distinct(), "seeds")
     if item_seeds.count() <= broadcast_seeds:
         item_seeds = F.broadcast(item_seeds)

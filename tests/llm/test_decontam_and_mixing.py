@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +43,20 @@ def test_leaks_match_brute_force(spark):
         assert got <= want and len(got) >= 0.95 * len(want)
 
 
+def test_short_items_amid_longer_texts(spark):
+    """Exact copies and every one-word substitution of items of 5 to 9 words, and every two-word one of 10 to 12."""
+    rng = random.Random(11)
+    items = [(n, " ".join(word(rng) for _ in range(n))) for n in range(5, 13)]
+    docs, want = [], set()
+    for n, x in items:
+        for spots in [(), *((i,) for i in range(n)), *(c for c in combinations(range(n), 2) if n > 9)]:
+            passage = [word(rng) if i in spots else w for i, w in enumerate(x.split())]
+            docs.append((len(docs), " ".join([*(word(rng) for _ in range(4)), *passage, *(word(rng) for _ in range(rng.choice((3, 10))))])))
+            want.add((docs[-1][0], n))
+    found = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
 def test_every_exact_passage_is_found_whatever_its_case(spark):
     rng = random.Random(5)
     item = " ".join(word(rng) for _ in range(20))
