@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postsieve.llm import decontam, langid, minhash, mixing, tokenbin
@@ -41,10 +42,29 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """``docs`` and take, a number of each row that grows with its file and its row in the file."""
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:  # no table of files yet
+        return in_order(written(docs, "ordered"))
+    by_name = Window.orderBy(F.length("__file"), "__file")  # one row a file
+    files = placed.select("__file").distinct().select("__file", (F.row_number().over(by_name) - 1).cast("long").alias("__at"))
+    return placed.join(F.broadcast(files), "__file").select(*docs.columns, (F.shiftleft("__at", 33) + F.col("__row")).alias("take"))
+
+
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the token shards of ``docs`` hold for each document; the copies of a document lie side by side."""
-    store = tokenbin.write_tokens(docs, tokenizer_path("byte_bpe_50k.json"))
-    return tokenbin.read_tokens(store, docs.select("doc_id")).select(F.col("key").alias("doc_id"), "start", "n_tokens", "n_rows", "ids_crc32")
+    """Where the token shards hold each take of a document; the shards follow the order of the rows of ``docs``, which is that of training.
+
+    One row per take: doc_id, copy (0, 1, ... in training order; null for a null id), start, n_tokens, n_rows (takes of the document) and ids_crc32.
+    """
+    takes = written(in_order(docs.select("doc_id", "text")), "takes")
+    store = tokenbin.write_tokens(takes, tokenizer_path("byte_bpe_50k.json"), key_col="take")
+    own = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("take")))
+    copies = takes.select("doc_id", "take", (F.row_number().over(own.orderBy("take")) - 1).alias("copy"), F.count("*").over(own).alias("n_rows"))
+    copies = copies.withColumn("copy", F.when(F.col("doc_id").isNotNull(), F.col("copy")))
+    found = tokenbin.read_tokens(store, takes.select("take")).drop("n_rows")
+    return copies.join(found, F.col("take") == F.col("key")).select("doc_id", "copy", "start", "n_tokens", "n_rows", "ids_crc32")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

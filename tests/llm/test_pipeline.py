@@ -1,6 +1,7 @@
 import pytest
 
 import corpus_pipeline
+from postsieve.llm import mixing
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +38,19 @@ def test_run(spark, sf_dir):
     assert ends[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(ends, ends[1:], strict=False))
 
 
+def test_shards_follow_the_training_order(spark, tmp_path):
+    rows = [(i, f"kalo{i} mira tose", "en", f"src{i % 3}", 15) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = [r.doc_id for r in mixing.mix(docs, position_col="at").orderBy("at", "doc_id").collect()]
+    assert want != sorted(want) and len(want) > len(set(want))
+    corpus_pipeline.mix_sources(spark, docs, "").write.parquet(str(tmp_path / "mixed"))
+    out = corpus_pipeline.token_ids(spark, spark.read.parquet(str(tmp_path / "mixed")), "").orderBy("start").collect()
+    assert [r.doc_id for r in out] == want
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(out, out[1:], strict=False))
+    for i in set(want):
+        assert [r.copy for r in out if r.doc_id == i] == list(range(want.count(i)))
+
+
 def test_empty_tables(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
