@@ -726,13 +726,49 @@ def stream_first_seen(s, d):
     return _to_table(flows.first_seen(rows, "key", days=40), "first").select("key")
 
 
+def _to_whole_table(stream: DataFrame, name: str) -> DataFrame:
+    """What an available-now run of the stream's aggregate comes to with all windows, open ones too."""
+    import tempfile
+    import uuid
+
+    s = stream.sparkSession
+    home = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="postsieve-stream-")
+    path = f"{home}/postsieve/stream-{name}-{uuid.uuid4().hex}"
+    last = []
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        last[:] = [f"{path}/rows/batch={batch_id}"]
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(stream.schema).parquet(*last) if last else s.createDataFrame([], stream.schema)
+
+
+def _stage_counts(s, d):
+    rows = _stream(s, d).select("ts", F.col("event_type").alias("stage"), F.when(F.col("event_type") == "purchase", "DAILY").otherwise("REJECT").alias("verdict"))
+    return flows.stage_counts(rows, late="0 seconds")
+
+
 @query
 def stream_stage_counts(s, d):
-    rows = _stream(s, d).select("ts", F.col("event_type").alias("stage"), F.when(F.col("event_type") == "purchase", "DAILY").otherwise("REJECT").alias("verdict"))
-    return _to_table(flows.stage_counts(rows, late="0 seconds"), "counts").where("day < '2024-01-20'")
+    return _to_table(_stage_counts(s, d), "counts").where("day < '2024-01-20'")
 
 
 @query
-def stream_usage(s, d):
+def stream_stage_counts_full(s, d):
+    return _to_whole_table(_stage_counts(s, d), "counts")
+
+
+def _usage_windows(s, d):
     rows = _stream(s, d).select("ts", F.nullif("event_type", F.lit("error")).alias("purpose"), F.floor(F.col("value") * 100).alias("input_tokens"))
-    return _to_table(flows.usage_windows(rows, late="0 seconds"), "usage").where("start < '2024-01-18'")
+    return flows.usage_windows(rows, late="0 seconds")
+
+
+@query
+def stream_usage(s, d):
+    return _to_table(_usage_windows(s, d), "usage").where("start < '2024-01-18'")
+
+
+@query
+def stream_usage_full(s, d):
+    return _to_whole_table(_usage_windows(s, d), "usage")

@@ -1,10 +1,13 @@
 """Streams run to their end equal the batch results."""
 
+import math
+from collections import Counter
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from postsieve.operators import dedup
+from postsieve.plans.queries import QUERIES
 from postsieve.streaming import flows
 
 T0 = datetime(2024, 1, 1)
@@ -54,3 +57,18 @@ def test_verdict_lifetimes(spark, tmp_path):
     rows = [(0, "a", True, T0), (1, "a", True, T0 + 10 * day), (2, "a", False, T0 + 11 * day), (3, "a", False, T0 + 15 * day), (4, "a", False, T0 + 19 * day), (5, "b", False, T0 + day), (6, "b", False, T0 + 7 * day)]
     out = run(flows.verdict_ttl(source(spark, tmp_path, [(i, k, v, t) for i, k, v, t in rows], "i int, company_key string, verified boolean, ts timestamp")), tmp_path, "out")
     assert sorted((r.company_key, r.verified, r.ts) for r in out.collect()) == [("a", False, T0 + 11 * day), ("a", False, T0 + 19 * day), ("a", True, T0), ("b", False, T0 + day)]
+
+
+def test_full_queries_count_every_event(spark):
+    d = "/root/testdata/sf0.001"
+    rows = [(r.ts.date(), r.event_type, r.value) for r in spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp_ntz")).collect()]
+    assert max(r[0] for r in rows).isoformat() >= "2024-01-20"
+    counts, usage = Counter((day, kind, "DAILY" if kind == "purchase" else "REJECT") for day, kind, _ in rows), {}
+    for day, kind, value in rows:
+        for back in range(7):
+            u = usage.setdefault((day - timedelta(days=back), "other" if kind == "error" else kind), [0, 0])
+            u[0] += 1
+            u[1] += math.floor(value * 100)
+    assert {(r.day, r.stage, r.verdict): r.n for r in QUERIES["stream_stage_counts_full"](spark, d).collect()} == counts
+    found = QUERIES["stream_usage_full"](spark, d).withColumn("start", F.col("start").cast("date")).collect()
+    assert {(r.start, r.purpose): [r.calls, r.input_tokens] for r in found} == usage
