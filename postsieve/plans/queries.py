@@ -772,3 +772,36 @@ def stream_usage(s, d):
 @query
 def stream_usage_full(s, d):
     return _to_whole_table(_usage_windows(s, d), "usage")
+
+
+# The text operators over whole documents, whatever their language and characters
+
+#: Words between characters that are no letter, digit or underscore of any script.
+WHOLE_LEXICON = {n: rf"(?<![\p{{L}}\p{{N}}_]){n}(?![\p{{L}}\p{{N}}_])" for n in TEXT_LEXICON}
+
+
+@query
+def extract_skills_full(s, d):
+    return table(s, d, "documents").select("doc_id", F.array_join(F.sort_array(skills.extract_skills(F.col("text"), WHOLE_LEXICON)), ",").alias("skills"))
+
+
+@query
+def count_skills_full(s, d):
+    return table(s, d, "documents").select("doc_id", F.explode(skills.count_skills(F.col("text"), WHOLE_LEXICON)).alias("skill", "n"))
+
+
+@query
+def document_frequency_full(s, d):
+    df = skills.document_frequency(table(s, d, "documents"), WHOLE_LEXICON)
+    return df.join(skills.idf(df), "skill").select("skill", "df", "n_docs", F.round("idf", 9).alias("idf"))
+
+
+@query
+def keyword_coverage_full(s, d):
+    share, missing = T.keyword_coverage(F.coalesce("text", F.lit("")), F.array(F.lit("the"), F.lit(" rights "), F.lit("Apache"), F.lit("")))
+    return table(s, d, "documents").select("doc_id", F.round(share, 9).alias("share"), F.array_join(missing, ",").alias("missing"))
+
+
+@query
+def sanitize_ascii_full(s, d):
+    return table(s, d, "documents").select("doc_id", F.md5(T.sanitize_ascii(F.col("text"))).alias("digest"))
