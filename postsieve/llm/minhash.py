@@ -8,9 +8,9 @@ their Jaccard similarity.  Documents that agree on all bins of a band meet in a
 bucket, and a bucket of m documents gives m - 1 candidate edges, a star.
 
 A bucket's star is drawn round its least id, and once more round the point that meets
-most others anywhere.  A star may still miss a link between two of its points, so stars
-are drawn again round random centres, between points that are not yet connected, until
-a round finds no new link.  What is left is done exactly: all pairs of unconnected points
+most others anywhere.  Buckets whose points are not yet connected get one more star, round a
+point drawn by a hash of bucket and id, so that the buckets of one group have centres of their own.
+The number of stars is fixed, and what is left is done exactly: all pairs of unconnected points
 of a bucket are tested, or, for the points of crowded buckets, all pairs that share a shingle
 among the rarest of both, without which no pair is similar enough (prefix filter).
 Every link is confirmed on the full sets.  Exact copies are one point from the start.
@@ -31,11 +31,13 @@ from pyspark.sql import functions as F
 from . import wordhash
 from .columns import let
 from .components import connected_components
+from .skew import join_hot
 from .store import written
 
 #: Bits of the sketch that may differ, of 128, before a candidate is dropped unseen: at similarity 0.8 12.8 differ on
-#: average, with a standard deviation of 3.4; unlike texts differ in about 63.
-SKETCH_BITS = 40
+#: average, with a standard deviation of 3.4 to 3.9 for sets of ``SKETCHED`` shingles or more; unlike texts differ in about 63.
+#: Smaller sets, whose bins borrow much of each other, are never dropped by it.
+SKETCH_BITS, SKETCHED = 40, 32
 #: Points of a bucket up to which all its pairs are tested; those of larger ones meet by rare shingles.
 CROWDED = 64
 #: Points of one rare shingle that a task pairs with as many others.
@@ -128,9 +130,10 @@ def _rare_shingles(pool: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     Sets that are similar enough have their first common shingle inside the prefix of both, and where ``short`` holds in the smaller one.
     """
-    each = sets.join(pool.select("id"), "id").select("id", F.explode("shingles").alias("shingle"))
-    shared = each.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1")
-    ranked = each.join(shared, "shingle").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "shingle"))).alias("l"))
+    each = written(sets.join(pool.select("id"), "id").select("id", F.explode("shingles").alias("shingle")), "each")
+    shared = each.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").withColumn("m", F.col("c"))
+    counted = join_hot(each, shared, ["shingle"], count="m", total=each.count(), spread=["id"])
+    ranked = counted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "shingle"))).alias("l"))
     ranked = pool.join(ranked, "id").withColumn("alone", F.col("n") - F.size("l"))  # shingles that no other set has come first
     reach = F.expr(f"n - ({percent} * n + 99) div 100 + 1 - alone").cast("int")
     placed = ranked.select(*pool.columns, "alone", F.posexplode(F.slice("l", F.lit(1), F.greatest(reach, F.lit(0)))).alias("k", "s"))
@@ -141,8 +144,8 @@ def _rare_shingles(pool: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _meetings(rare: DataFrame, percent: int, block: int) -> DataFrame:
     """Edges from a point (id, ...) to a point of at least its size (c) that may be similar enough by the places of a shingle of both."""
     keys = rare.groupBy("shingle").agg(F.count("*").alias("m"), F.count_if("short").alias("shorts"), F.min("component").alias("x"), F.max("component").alias("y"))
-    keys = keys.where("shorts > 0 and x <> y").select("shingle", F.expr(f"(shorts - 1) div {block} + 1").alias("p"), F.expr(f"(m - 1) div {block} + 1").alias("q"))
-    keyed = rare.join(keys, "shingle")
+    keys = keys.where("shorts > 0 and x <> y").select("shingle", "m", F.expr(f"(shorts - 1) div {block} + 1").alias("p"), F.expr(f"(m - 1) div {block} + 1").alias("q"))
+    keyed = join_hot(rare, keys, ["shingle"], count="m", total=rare.count(), spread=["id"])
     own = lambda parts: F.pmod(F.xxhash64("id", "shingle"), F.col(parts))
     every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
     a = keyed.where("short").withColumn("i", own("p")).withColumn("j", every("q")).drop("p", "q", "short")
@@ -152,26 +155,28 @@ def _meetings(rare: DataFrame, percent: int, block: int) -> DataFrame:
     return met.where((100 + percent) * rest >= percent * (F.col("n") + F.col("c.n")))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, max_rounds: int = 12, crowded: int = CROWDED, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, crowded: int = CROWDED, block: int = BLOCK) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the least id that links lead to, itself included) and kept (id = component_id).
 
     Two documents are linked if ``100 * |A & B| >= percent * |A | B|`` for their sets of distinct ``shingle``-word
     sequences, over ASCII-lower-cased words ``[^\\x20\\x09-\\x0D]+``.  A text of fewer words is one shingle.
     A null or blank text has no shingle and no link.  A row with a null id has no link either: its component_id is
     null and it is kept.  Rows that repeat an id get the same component.  Other columns are not read.
-    ``max_rounds``, ``crowded`` and ``block`` change the work, not the result.
+    Ids are whole numbers; an id that does not read as one raises CAST_INVALID_INPUT.
+    ``crowded`` and ``block`` change the work, not the result.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     profile = written(source.mapInArrow(_profile(shingle, bands, rows), "id long, n_shingles long, c1 long, c2 long, bands array<long>, s1 long, s2 long"), "profiles")
 
     linkable = profile.where("id is not null and n_shingles > 0")
-    classes = linkable.groupBy("c1", "c2", "n_shingles").agg(F.min("id").alias("rep"))
-    member = written(linkable.select("id", "c1", "c2", "n_shingles").join(classes, ["c1", "c2", "n_shingles"]).select("id", "rep").distinct(), "members")
+    content = ["c1", "c2", "n_shingles"]
+    classes = linkable.groupBy(*content).agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    member = written(join_hot(linkable.select("id", *content), classes, content, count="copies", total=profile.count(), spread=["id"]).select("id", "rep").distinct(), "members")
     points = written(linkable.join(member.where("id = rep").select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "n_shingles", "bands", "s1", "s2"), "points")
 
     met = points.select("id", F.explode("bands").alias("bucket"))
-    shared = met.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("others")).where("least < most")
-    met = written(met.join(shared.select("bucket", "others"), "bucket"), "buckets")
+    shared = met.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("others")).where("least < most").select("bucket", "others", F.col("others").alias("m"))
+    met = written(join_hot(met, shared, ["bucket"], count="m", total=bands * points.count(), spread=["id"]), "buckets")
     facts = points.select("id", F.col("n_shingles").alias("n"), "s1", "s2").join(met.groupBy("id").agg(F.sum("others").alias("weight")), "id")
     met = written(met.select("bucket", "id").join(facts, "id"), "points")
     sets = written(source.join(facts.select("id"), "id", "left_semi").mapInArrow(_sets(shingle), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
@@ -181,38 +186,44 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         a, b = F.col("n"), F.col("c.n")
         edges = edges.where(F.col("id") != F.col("c.id")).where(100 * F.least(a, b) >= percent * F.greatest(a, b))
         differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("c.s1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("c.s2")))
-        return edges.where(differ <= SKETCH_BITS).select(F.least("id", "c.id").alias("u"), F.greatest("id", "c.id").alias("v")).distinct()
+        return edges.where((F.least(a, b) < SKETCHED) | (differ <= SKETCH_BITS)).select(F.least("id", "c.id").alias("u"), F.greatest("id", "c.id").alias("v")).distinct()
 
     def confirmed(edges: DataFrame) -> DataFrame:
         full = edges.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("set_u")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("set_v")), "v")
         return written(full.select("u", "v", _similar(F.col("set_u"), F.col("set_v"), percent).alias("linked")), "candidates")
 
-    point = ["id", "n", "s1", "s2"]
-    first = met.groupBy("bucket").agg(F.min(F.struct(*point)).alias("c0"), F.max(F.struct("weight", *point)).alias("c1"))
-    placed = met.join(first, "bucket")
-    tested = confirmed(near(placed.withColumn("c", F.col("c0"))).union(near(placed.select("*", F.col("c1").dropFields("weight").alias("c")))).distinct())
+    def still_open(placed: DataFrame, component: DataFrame) -> DataFrame:
+        """The rows of buckets whose points are not all connected, with their component and the bucket's number of rows."""
+        placed = placed.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        parted = placed.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket", "m", F.col("m").alias("rows"))
+        return written(join_hot(placed, parted, ["bucket"], count="rows", total=n_met, spread=["id"]), "open")
+
+    def star(placed: DataFrame, *centres: Column) -> DataFrame:
+        """Candidates of every bucket round each of its centres."""
+        named = [f"c{i}" for i in range(len(centres))]
+        first = placed.groupBy("bucket").agg(*[c.alias(n) for c, n in zip(centres, named, strict=True)], F.count("*").alias("rows"))
+        each = join_hot(placed, first, ["bucket"], count="rows", total=n_met, spread=["id"]).withColumn("c", F.explode(F.array(*named)))
+        return near(each.where("component <> c.component")).distinct()
+
+    n_met = met.count()
+    point = F.struct("id", "n", "s1", "s2", "component")
+    alone = met.withColumn("component", F.col("id"))
+    tested = confirmed(star(alone, F.min(point), F.max(F.struct("weight", point.alias("p")))["p"]))
     component = connected_components(tested.where("linked").select("u", "v"))
-    for turn in range(1, max_rounds):
-        placed = met.drop("weight").join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        centres = placed.groupBy("bucket").agg(F.max(F.struct(F.xxhash64("id", F.lit(turn)).alias("o"), *point, "component")).alias("c"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-        edges = near(placed.join(centres.select("bucket", "c"), "bucket").where("component <> c.component"))
-        tried = confirmed(edges.join(tested, ["u", "v"], "left_anti"))
-        if tried.where("linked").isEmpty():
-            break
-        tested = tested.union(tried)
+    placed = still_open(met.drop("weight"), component)
+    tried = confirmed(star(placed, F.max(F.struct(F.xxhash64("id", "bucket").alias("o"), point.alias("p")))["p"]).join(tested, ["u", "v"], "left_anti"))
+    tested = tested.union(tried)
+    if not tried.where("linked").isEmpty():
         component = connected_components(tested.where("linked").select("u", "v"))
+        placed = still_open(placed.drop("component", "m"), component)
 
-    placed = met.drop("weight").join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    parted = placed.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket", "m")
-    placed = written(placed.join(parted, "bucket"), "parted")
     few = placed.where(F.col("m") <= crowded)
-    pairs = few.join(few.select("bucket", F.struct(*point, "component").alias("c")), "bucket").where("component <> c.component and id < c.id")
-    pool = placed.where(F.col("m") > crowded).select(*point, "component").distinct()
+    pairs = few.join(few.select("bucket", point.alias("c")), "bucket").where("component <> c.component and id < c.id")
+    pool = placed.where(F.col("m") > crowded).select("id", "n", "s1", "s2", "component").distinct()
+    edges = near(pairs)
     if not pool.isEmpty():
         rare = written(_rare_shingles(pool, sets, percent), "rare")
-        edges = near(pairs).union(near(_meetings(rare, percent, block))).distinct()
-    else:
-        edges = near(pairs)
+        edges = edges.union(near(_meetings(rare, percent, block))).distinct()
     tried = confirmed(edges.join(tested, ["u", "v"], "left_anti"))
     if not tried.where("linked").isEmpty():
         component = connected_components(tested.union(tried).where("linked").select("u", "v"))

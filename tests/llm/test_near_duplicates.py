@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -73,6 +74,23 @@ def test_hub_that_is_not_the_least_id(spark):
     assert found == {i: c for i, (_, c) in brute(dict(rows), 2).items()}
 
 
+@pytest.mark.parametrize("size", [10, 100, 600])
+def test_clusters_that_only_hubs_link(spark, size):
+    """Every copy is near its hub alone; hubs stand second, so that neither least ids nor one round of stars is enough."""
+    rng = random.Random(size)
+    rows = []
+    for hub in range(2):
+        words = [f"h{hub}_{i}" for i in range(240)]
+        rows += [(hub * 10_000 + 5_000, " ".join(words))]
+        for i in range(size):
+            own = list(words)
+            for j in rng.sample(range(0, 240, 2), 11):
+                own[j] = f"v{hub}_{i}_{j}"
+            rows.append((hub * 10_000 + i, " ".join(own)))
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).groupBy("component_id").count()
+    assert {r.component_id: r["count"] for r in found.collect()} == {0: size + 1, 10_000: size + 1}
+
+
 def template_group(seed: int, n: int, n_pairs: int) -> list[tuple]:
     """Texts that share a template and are just under 0.8 to each other, but for ``n_pairs`` pairs above it."""
     rng = random.Random(seed)
