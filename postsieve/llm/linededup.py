@@ -51,10 +51,11 @@ def _halves(w: Column, min_words: int) -> Column:
 
 
 def _variants(w: Column) -> Column:
-    """(length, gap, place_key, order_key) of the line (gap -1) and of every deletion.
+    """(length, gap, place_key, place_check, order_key) of the line (gap -1) and of every deletion.
 
-    place_key sums hashes of (word, place) without the gap's: equal for equal lines with any word at the gap.  order_key sums
-    hashes of adjacent words after the deletion, whatever the places.
+    place_key and place_check are exclusive ors of 64-bit hashes of (word, place) without the gap's: equal for equal lines with any word at
+    the gap, and only for those, at 128 bits.  order_key sums hashes of adjacent words after the deletion, whatever the places; as its candidates are
+    all compared, one too many does no harm.
     """
     n = F.size(w)
 
@@ -67,19 +68,28 @@ def _variants(w: Column) -> Column:
     def edge(left: Column, right: Column) -> Column:
         return small(F.lit(3), F.coalesce(left, F.lit("")), F.coalesce(right, F.lit("")))
 
-    placed = F.transform(w, lambda x, i: small(x, i))
+    def whole(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x))
+
+    placed = F.transform(w, lambda x, i: F.xxhash64(x, i))
     edges = F.transform(F.sequence(F.lit(0), n), lambda i: edge(F.get(w, i - 1), F.get(w, i)))
 
     def build(v: Column) -> Column:
-        p, e, sum_p, sum_e = v["p"], v["e"], v["sum_p"], v["sum_e"]
+        p, q, e, all_p, all_q, sum_e = v["p"], v["q"], v["e"], v["all_p"], v["all_q"], v["sum_e"]
+
+        def variant(i: Column, key: Column, check: Column, order: Column) -> Column:
+            return F.struct(n.alias("length"), i.alias("gap"), key.alias("place_key"), check.alias("place_check"), order.alias("order_key"))
+
         cut = F.transform(
             w,
-            lambda x, i: F.struct((n - 1).alias("length"), i.alias("gap"), (sum_p - F.get(p, i)).alias("place_key"), (sum_e - F.get(e, i) - F.get(e, i + 1) + edge(F.get(w, i - 1), F.get(w, i + 1))).alias("order_key")),
+            lambda x, i: variant(i, all_p.bitwiseXOR(F.get(p, i)), all_q.bitwiseXOR(F.get(q, i)), sum_e - F.get(e, i) - F.get(e, i + 1) + edge(F.get(w, i - 1), F.get(w, i + 1))).withField("length", n - 1),
         )
-        own = F.array(F.struct(n.alias("length"), F.lit(-1).alias("gap"), sum_p.alias("place_key"), sum_e.alias("order_key")))
-        return F.concat(own, cut)
+        return F.concat(F.array(variant(F.lit(-1), all_p, all_q, sum_e)), cut)
+
+    def totals(v: Column) -> Column:
+        return let(F.struct(v["p"].alias("p"), v["q"].alias("q"), v["e"].alias("e"), whole(v["p"]).alias("all_p"), whole(v["q"]).alias("all_q"), total(v["e"]).alias("sum_e")), build)
 
-    return let(F.struct(placed.alias("p"), edges.alias("e")), lambda v: let(F.struct(v["p"].alias("p"), v["e"].alias("e"), total(v["p"]).alias("sum_p"), total(v["e"]).alias("sum_e")), build))
+    return let(F.struct(placed.alias("p"), edges.alias("e")), lambda v: let(F.struct(v["p"].alias("p"), F.transform(v["p"], lambda h, i: F.xxhash64(F.lit(5), h, F.get(w, i))).alias("q"), v["e"].alias("e")), totals))
 
 
 def _near(a: Column, b: Column) -> Column:
@@ -101,7 +111,8 @@ def line_decisions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """(id, digest, line, near) of every line with words, near null where it stays, else false (equal to an earlier line) or true.
 
     Lines are counted from 0 within the text; digest tells texts apart that repeat an id, and rows that repeat both are
-    one document.  Null texts and rows with a null id have no lines here.
+    one document.  Null texts and rows with a null id have no lines here.  Ids are whole numbers; an id that does not read as one raises
+    CAST_INVALID_INPUT.  ``min_words`` belongs to the bound: one edit in fewer than five words is a similarity of less than 0.8; at 1 the bound holds for lines of any length.
     """
     numbered = _numbered(docs, id_col, text_col)
     w = F.col("words")
@@ -118,9 +129,9 @@ def line_decisions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     active = written(found.select("id", "digest", "p.*").dropDuplicates(_KEY), "active")
 
     variants = written(active.select(*_PLACE, *_KEY, F.explode(_variants(w)).alias("v")).select(*_PLACE, *_KEY, "v.*"), "variants")
-    variants = variants.select(F.struct(*_PLACE, *_KEY).alias("at"), "length", "gap", "place_key", "order_key")
+    variants = variants.select(F.struct(*_PLACE, *_KEY).alias("at"), "length", "gap", "place_key", "place_check", "order_key")
     gaps = variants.where("gap >= 0")
-    group = ["length", "gap", "place_key"]
+    group = ["length", "gap", "place_key", "place_check"]
     earliest = gaps.groupBy(*group).agg(F.min("at").alias("other"), F.max("at").alias("last")).where("other <> last").select(*group, "other")
     replaced = gaps.join(earliest, group).select("at", "other")
     whole = variants.where("gap < 0").select("length", "order_key", F.col("at").alias("other"))
@@ -140,8 +151,9 @@ def line_decisions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the lines that ``line_decisions`` drops taken out of the text; other columns, nulls and rows with a null id as they are."""
     gone = line_decisions(docs, id_col=id_col, text_col=text_col, min_words=min_words).where("near is not null").distinct()
-    gone = gone.groupBy(F.col("id").alias("__id"), F.col("digest").alias("__digest")).agg(F.collect_set("line").alias("__gone"))
-    joined = docs.join(gone, (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__digest")), "left")
-    left = F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.when(~F.array_contains("__gone", i), x)), lambda x: x.isNotNull())
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    return joined.withColumn(text_col, text).select(docs.columns)
+    gone = gone.groupBy("id", "digest").agg(F.collect_set("line").alias("lines")).alias("g")
+    rows, text = docs.alias("d"), F.col(f"d.`{text_col}`")
+    joined = rows.join(gone, (F.col(f"d.`{id_col}`").cast("long") == F.col("g.id")) & (F.xxhash64(text.cast("string")) == F.col("g.digest")), "left")
+    left = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.when(~F.array_contains("g.lines", i), x)), lambda x: x.isNotNull())
+    cut = F.when(F.col("g.lines").isNull(), text).otherwise(F.array_join(left, "\n"))
+    return joined.select(*[cut.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns])
