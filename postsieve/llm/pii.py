@@ -1,15 +1,17 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 Patterns find e-mail addresses, IP addresses, card numbers and phone numbers; those
-spans always stay.  The field adds tokens that the patterns miss, such as a number that
-stands once with its country code and elsewhere without.
+spans always stay.  The field adds what the patterns miss: a number that stands once with its
+country code and elsewhere without, a card with dots between its groups, an address with blanks round its ``@``.
 
-Nodes are a document's tokens with an ``@`` or at least ``MIN_DIGITS`` digits.  A node's
-own potential comes from its shape and its neighbours' shapes, a chain edge joins nodes
-that follow each other, and a skip edge joins a node to the one before it with the
+Nodes are the patterns' spans, words with an ``@``, and runs of at least ``MIN_DIGITS`` digits with blanks, brackets,
+dots, hyphens or slashes between them, of one word or several.  A node's
+own potential comes from its shape, from how many digits it has and which kinds' checks it passes, and from the words beside it.
+A chain edge joins nodes that follow each other, and a skip edge joins a node to the one before it with the
 same normal form, or the same last seven digits, however far apart.  All potentials are
 log ratios of counts over the whole corpus (piecewise training), with the patterns' spans
-as labels; shapes are hashed into ``BUCKETS`` buckets, so the tables stay small.  Where
+as labels; shapes are hashed into ``BUCKETS`` buckets, so the tables stay small.  A node that passes no kind's check is clean.  One that
+may be personal but that no pattern decides weighs ``UNDECIDED`` of a clean one in training, as it is not known to be either.  Where
 patterns have found a span the label is fixed.  Loopy belief propagation over the document's graph gives the
 label probabilities, and a free node that reaches ``THRESHOLD`` becomes a span.
 """
@@ -31,11 +33,14 @@ from .store import written
 KINDS = ("email", "ip", "card", "phone")
 #: Label 0 is no personal data; label i is KINDS[i - 1].
 LABELS = 1 + len(KINDS)
-MIN_DIGITS, MIN_PHONE_DIGITS = 7, 7
+MIN_DIGITS = 7
 BUCKETS = 1 << 12
 THRESHOLD = 0.9
 ROUNDS, DAMPING = 12, 0.5
 SMOOTHING = 1.0
+UNDECIDED = 0.1
+#: Characters of a word or number that its shape looks at.
+SHAPED = 64
 
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
@@ -43,10 +48,13 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _ANY = re.compile(r"[0-9@]")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_WORD = re.compile(r"[^\x20\x09-\x0D]++")
+_RUN = re.compile(r"\+?\(?[0-9](?:[ ().\-/]{0,3}+[0-9])*+")
+_GROUP = re.compile(r"[^\x20]++")
 _EDGE = "\"'()[]{}<>.,;:!?"
-NODE = ("start", "end", "label", "shape", "context", "allowed", "key")
-_EDGES_SCHEMA = "table string, bucket int, label int, other int, n long"
+NODE = {"start": pa.int32(), "end": pa.int32(), "label": pa.int32(), "shapes": pa.list_(pa.int32()), "checks": pa.int32(), "context": pa.int32(), "allowed": pa.int32(), "key": pa.int64()}
+_NODE_SQL = "start: int, end: int, label: int, shapes: array<int>, checks: int, context: int, allowed: int, key: bigint"
+_EDGES_SCHEMA = "table string, bucket int, label int, other int, n double"
 
 
 def luhn(digits: str) -> bool:
@@ -84,59 +92,108 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
+def _digits(text: str) -> str:
+    return "".join(c for c in text if "0" <= c <= "9")
+
+
 def _shape(token: str) -> str:
-    """Digits and letters by class, runs of over four cut short."""
-    out = re.sub(r"[0-9]", "0", re.sub(r"[^\W\d_]", "a", token))
-    return re.sub(r"(.)\1{4,}", r"\1\1\1\1+", out)[:32]
+    """Digits and letters by class, any separators as one, runs of over four cut short."""
+    out = re.sub(r"[0-9]", "0", re.sub(r"[^\W\d_]", "a", token[:SHAPED]))
+    return re.sub(r"(.)\1{4,}", r"\1\1\1\1+", re.sub(r"[ ().\-/]+", "-", out).strip("-"))[:32]
+
+
+def _shapes(token: str, label: int) -> list[str]:
+    """A node's shape; for a labelled phone number also those of it without its first groups: what its pattern asks for must not be all that is learned."""
+    out = [_shape(token)]
+    if label == 4:
+        groups = re.split(r"[ ().\-/]+", token)
+        out += [_shape("-".join(groups[i:])) for i in range(1, len(groups)) if len(_digits("".join(groups[i:]))) >= MIN_DIGITS]
+    return out
 
 
 def _allowed(token: str) -> int:
     """Bits of the labels that a token's digits allow: what fails a kind's own check is never of that kind."""
+    if "@" in token:
+        local, _, host = token.partition("@")
+        return 1 | (2 if local.strip() and host.strip() else 0)
     parts = [p for p in re.split(r"[^0-9]+", token) if p]
     digits = "".join(parts)
-    bits = 1 | (2 if "@" in token and not token.startswith("@") and not token.endswith("@") else 0)
-    if "@" not in token:
+    bits = 1
+    if len(digits) <= 19:
         bits |= 4 if len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) else 0
-        bits |= 8 if 14 <= len(digits) <= 19 and luhn(digits) else 0
-        bits |= 16 if MIN_PHONE_DIGITS <= len(digits) <= 15 else 0
+        bits |= 8 if len(digits) >= 14 and luhn(digits) else 0
+        bits |= 16 if MIN_DIGITS <= len(digits) <= 15 else 0
     return bits
 
 
 def _bucket(*parts: str) -> int:
-    return zlib.crc32("\x1f".join(parts).encode()) % BUCKETS
-
+    return zlib.crc32("\x1f".join(parts).encode("utf-8", "surrogatepass")) % BUCKETS
 
-def nodes(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int, int, int]]:
-    """(start, end, label, shape bucket, context bucket, allowed labels, key) of each node; label -1 where no pattern decides.
 
-    A pattern's span is one node; tokens that touch one make no node of their own.
+def _numbers(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Runs of digits within a part of the text; a run with several numbers of their own is taken apart at its blanks."""
+    for m in _RUN.finditer(text, start, end):
+        groups = [(m.start() + g.start(), m.start() + g.end()) for g in _GROUP.finditer(m[0])]
+        n = len(_digits(m[0]))
+        if n < MIN_DIGITS:
+            continue
+        alone = sum(len(_digits(text[a:b])) >= MIN_DIGITS for a, b in groups)
+        for a, b in groups if alone > 1 or n > 19 else [m.span()]:
+            around = text[a - 1 : a] + text[b : b + 1]
+            if len(_digits(text[a:b])) >= MIN_DIGITS and not any(c.isalnum() or c in "_@" for c in around):
+                yield a, b
+
+
+def _addresses(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Words with an ``@`` inside, and words beside one that stands alone."""
+    if text.find("@", start, end) < 0:
+        return
+    before, loose = None, None
+    for m in _WORD.finditer(text, start, end):
+        a, b = m.span()
+        while a < b and text[a] in _EDGE:
+            a += 1
+        while b > a and text[b - 1] in _EDGE:
+            b -= 1
+        if loose is not None:
+            if a < b:
+                yield loose, b
+            before = loose = None
+        elif m[0] == "@":
+            loose = before
+        elif a < b:
+            if text.find("@", a, b) >= 0:
+                yield a, b
+            before = a
+
+
+def nodes(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
+    """A ``NODE`` for each node: label -1 where nothing decides, the buckets of its shapes (its own first), of its checks and its context, allowed labels, key.
+
+    A pattern's span is one node; nothing that touches one makes a node of its own.
     """
     if not text or not _ANY.search(text):
         return []
-    found = [(a, b, k + 1) for a, b, k in spans]
-    ends = sorted((a, b) for a, b, _ in spans)
-    i = 0
-    for m in _TOKEN.finditer(text):
-        token = m[0].strip(_EDGE)
-        digits = sum("0" <= c <= "9" for c in token)
-        if not token or not ("@" in token or digits >= MIN_DIGITS):
-            continue
-        start = m.start() + m[0].index(token)
-        end = start + len(token)
-        while i < len(ends) and ends[i][1] <= m.start():
-            i += 1
-        if not any(a < m.end() and b > m.start() for a, b in ends[i : i + 4]):
-            found.append((start, end, -1))
+    found, at = [(a, b, k + 1) for a, b, k in spans], 0
+    for a, b in [*((a, b) for a, b, _ in spans), (len(text), len(text))]:
+        if a > at:
+            own = sorted({*_numbers(text, at, a), *_addresses(text, at, a)})
+            for i, (x, y) in enumerate(own):
+                touches = x == at > 0 or y == a < len(text) or (i and own[i - 1][1] > x)
+                if not touches:
+                    found.append((x, y, -1))
+        at = max(at, b)
     out = []
     for start, end, label in sorted(found):
         token = text[start:end]
-        digits = "".join(c for c in token if "0" <= c <= "9")
-        same = digits[-7:] if "@" not in token and len(digits) >= 7 else token.lower()
+        digits, allowed = _digits(token), _allowed(token)
+        label = 0 if label < 0 and allowed == 1 else label
+        same = digits[-7:] if "@" not in token and len(digits) >= 7 else "".join(token.lower().split())
         key = int.from_bytes(hashlib.blake2b(same.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
         before, after = text[max(0, start - 24) : start].split(), text[end : end + 24].split()
-        # A span's own prefix is no part of its shape: what the patterns ask for must not be all that is learned.
-        bare = token.split(")", 1)[-1].split(" ", 1)[-1].strip() if label == 4 else token
-        out.append((start, end, label, _bucket("s", _shape(bare)), _bucket("c", _shape(before[-1]) if before else "", _shape(after[0]) if after else ""), _allowed(token), key))
+        context = _bucket("c", before[-1].lower().strip(_EDGE) if before else "", _shape(after[0]) if after else "")
+        shapes = [_bucket("s", x) for x in _shapes(token, label)]
+        out.append((start, end, label, shapes, _bucket("n", str(min(len(digits), 20)), str(allowed)), context, allowed, key))
     return out
 
 
@@ -151,6 +208,8 @@ def _skips(keys: list[int]) -> list[tuple[int, int]]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32())]))
+    graph = pa.list_(pa.struct(list(NODE.items())))
     for batch in batches:
         spans, graphs = [], []
         for text in batch.column(1):
@@ -158,47 +217,48 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = base_spans(text)
             spans.append([{"start": a, "end": b, "kind": k} for a, b, k in own])
             graphs.append([dict(zip(NODE, n, strict=True)) for n in nodes(text, own)])
-        kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32())]))
-        graph = pa.list_(pa.struct([(n, pa.int64() if n == "key" else pa.int32()) for n in NODE]))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kinds), pa.array(graphs, graph)], ["id", "base", "nodes"])
 
 
 def _cooccurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts behind the potentials; a node that no pattern decides counts as label 0."""
+    """Counts behind the potentials, of nodes, and of pairs of which one at least is decided."""
     for batch in batches:
-        counts: dict[tuple[str, int, int, int], int] = {}
+        counts: dict[tuple[str, int, int, int], float] = {}
 
-        def add(*cell, counts=counts):
-            counts[cell] = counts.get(cell, 0) + 1
+        def add(*cell, n=1.0, counts=counts):
+            counts[cell] = counts.get(cell, 0.0) + n
 
         for graph in batch.column(0).to_pylist():
             labels = [max(n["label"], 0) for n in graph]
-            for n, y in zip(graph, labels, strict=True):
-                add("shape", n["shape"], y, 0)
-                add("context", n["context"], y, 0)
-            for a, b in zip(labels, labels[1:], strict=False):
-                add("chain", 0, a, b)
+            weights = [UNDECIDED if n["label"] < 0 else 1.0 for n in graph]
+            for n, y, w in zip(graph, labels, weights, strict=True):
+                for shape in n["shapes"]:
+                    add("shape", shape, y, 0, n=w)
+                add("checks", n["checks"], y, 0, n=w)
+                add("context", n["context"], y, 0, n=w)
+            for i in range(len(graph) - 1):
+                add("chain", 0, labels[i], labels[i + 1], n=weights[i] * weights[i + 1])
             for a, b in _skips([n["key"] for n in graph]):
-                add("skip", 0, labels[a], labels[b])
+                add("skip", 0, labels[a], labels[b], n=weights[a] * weights[b])
         if counts:
             cells = list(zip(*counts, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cells[0]), *(pa.array(c, pa.int32()) for c in cells[1:]), pa.array(list(counts.values()), pa.int64())], ["table", "bucket", "label", "other", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(cells[0]), *(pa.array(c, pa.int32()) for c in cells[1:]), pa.array(list(counts.values()), pa.float64())], ["table", "bucket", "label", "other", "n"])
 
 
 class Potentials:
-    def __init__(self, cells: list[tuple[str, int, int, int, int]]):
-        shape, context = np.zeros((BUCKETS, LABELS)), np.zeros((BUCKETS, LABELS))
-        chain, skip = np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS))
+    def __init__(self, cells: list[tuple[str, int, int, int, float]]):
+        own = {name: np.zeros((BUCKETS, LABELS)) for name in ("shape", "checks", "context")}
+        pair = {name: np.zeros((LABELS, LABELS)) for name in ("chain", "skip")}
         for table, bucket, label, other, n in cells:
-            if table in ("shape", "context"):
-                (shape if table == "shape" else context)[bucket, label] += n
+            if table in own:
+                own[table][bucket, label] += n
             else:
-                (chain if table == "chain" else skip)[label, other] += n
-        prior = shape.sum(axis=0) + SMOOTHING
+                pair[table][label, other] += n
+        prior = own["context"].sum(axis=0) + SMOOTHING  # a node counts once there
         prior /= prior.sum()
-        self.shape = np.log((shape + SMOOTHING * prior) / (shape.sum(axis=1, keepdims=True) + SMOOTHING))
-        self.context = np.log((context + 8 * prior) / (context.sum(axis=1, keepdims=True) + 8)) - np.log(prior)
-        self.chain, self.skip = self._pair(chain, prior, 0.0), self._pair(skip, prior, 4.0)
+        share = {name: np.log((t + s * prior) / (t.sum(axis=1, keepdims=True) + s)) for (name, t), s in zip(own.items(), (SMOOTHING, 8.0, 8.0), strict=True)}
+        self.shape, self.checks, self.context = share["shape"], share["checks"] - np.log(prior), share["context"] - np.log(prior)
+        self.chain, self.skip = self._pair(pair["chain"], prior, 0.0), self._pair(pair["skip"], prior, 4.0)
 
     @staticmethod
     def _pair(counts: np.ndarray, prior: np.ndarray, agree: float) -> np.ndarray:
@@ -212,7 +272,7 @@ class Potentials:
     def marginals(self, graphs: list[list[dict]]) -> np.ndarray:
         """Label probabilities of all nodes of several documents, by damped loopy belief propagation over their graphs side by side."""
         flat = [n for g in graphs for n in g]
-        own = self.shape[[n["shape"] for n in flat]] + self.context[[n["context"] for n in flat]]
+        own = self.shape[[n["shapes"][0] for n in flat]] + self.checks[[n["checks"] for n in flat]] + self.context[[n["context"] for n in flat]]
         own[(np.array([n["allowed"] for n in flat])[:, None] >> np.arange(LABELS)) & 1 == 0] = -30.0
         labels = np.array([n["label"] for n in flat])
         fixed = labels >= 0
@@ -280,10 +340,9 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    fields = ", ".join(f"{n}: {'bigint' if n == 'key' else 'int'}" for n in NODE)
-    scanned = written(rows.mapInArrow(_scan, f"id {id_type}, base array<struct<start: int, end: int, kind: int>>, nodes array<struct<{fields}>>"), "pii")
+    scanned = written(rows.mapInArrow(_scan, f"id {id_type}, base array<struct<start: int, end: int, kind: int>>, nodes array<struct<{_NODE_SQL}>>"), "pii")
     cells = scanned.where(F.size("nodes") > 0).select("nodes").mapInArrow(_cooccurrences, _EDGES_SCHEMA)
-    cells = cells.groupBy("table", "bucket", "label", "other").agg(F.sum("n").alias("n")).collect()  # at most 2 * BUCKETS * LABELS rows
+    cells = cells.groupBy("table", "bucket", "label", "other").agg(F.sum("n").alias("n")).collect()  # at most 3 * BUCKETS * LABELS rows and the pairs of labels
     shared = docs.sparkSession.sparkContext.broadcast(Potentials([tuple(c) for c in cells]))
     counts = ", ".join(f"n_{k} long" for k in KINDS)
     return scanned.mapInArrow(_decode(shared), f"id {id_type}, {counts}, base_sha256 string, spans string").withColumnRenamed("id", id_col)
@@ -294,7 +353,7 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
 
     Ids must be unique and not null; texts of other rows stay as they are.
     """
-    spans = find_pii(docs, id_col=id_col, text_col=text_col).where(F.col("spans") != "").select(F.col(id_col).alias("__id"), "spans")
+    spans = find_pii(docs, id_col=id_col, text_col=text_col).where("spans <> ''").select(F.col(id_col).alias("k"), "spans")
 
     @F.pandas_udf("string")
     def cut(texts, found):
@@ -311,5 +370,8 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
 
         return texts.combine(found, one)
 
-    joined = docs.join(spans, docs[id_col] == F.col("__id"), "left")
-    return joined.withColumn(text_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(cut(text_col, "spans"))).select(docs.columns)
+    rows, found = docs.alias("d"), spans.alias("p")
+    joined = rows.join(found, F.col(f"d.`{id_col}`") == F.col("p.k"), "left")
+    text = F.col(f"d.`{text_col}`")
+    redacted = F.when(F.col("p.spans").isNull(), text).otherwise(cut(text, F.col("p.spans")))
+    return joined.select(*[redacted.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns])
