@@ -20,13 +20,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import written
 from .wordhash import text_slices
 
 ORDER = 4
-#: Labelled texts of one language that a model is fitted on, about; and the share of them kept for calibration.
+#: Distinct labelled texts of one language that a model is fitted on, at most; and the share of them kept for calibration.
 SAMPLE_PER_LANG = 1500
 CALIBRATION_SHARE = 0.25
 #: A text is rejected if its cross-entropy lies further above its language's mean than this times the furthest calibration
@@ -243,18 +244,22 @@ def _predictions(shared):
 
 
 def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> LanguageModels:
-    """Models of the languages of ``labelled``, from about ``per_lang`` texts of each, chosen by the texts' hashes.
+    """Models of the languages of ``labelled``, from at most ``per_lang`` distinct texts of each, those of the least hashes.
 
     Rows with a null text or language are left out.  Without rows there is no language, and ``predict`` rejects all.
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}  # a row a language
     if not sizes:
         return LanguageModels({})
-    share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, per_lang / n)))])
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / float(1 << 40)
-    sample = rows.withColumn("u", drawn / share[F.col("lang")]).where("u < 1")
-    kept_back = F.col("u") < CALIBRATION_SHARE
+    # About a fifth more than asked for are drawn by hash, one row a text is kept of those, and the least of them make the sample.
+    share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(1.2 * per_lang / max(n, 1)))])
+    drawn = F.pmod("h", F.lit(1 << 40)) / float(1 << 40)
+    first = Window.partitionBy("lang").orderBy("u", "h")
+    sample = rows.withColumn("u", drawn).where(F.col("u") < share[F.col("lang")]).dropDuplicates(["lang", "h"]).withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_lang)
+    sample = written(sample.select("lang", "text", "h"), "sample")
+    kept_back = F.pmod(F.xxhash64("h"), F.lit(1000)) < int(CALIBRATION_SHARE * 1000)
     counted = sample.where(~kept_back | (F.lit(sum(sizes.values())) < 40)).select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
     table = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # bounded by the sample
     langs, codes, n = table.column("lang").to_pandas().to_numpy(), table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
