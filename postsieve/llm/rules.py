@@ -32,11 +32,13 @@ RULES: dict[str, tuple[str, tuple[float, float, float, float]]] = {
     "letters": ("n_letters / word_chars", (0.6, 0.85, 1, 2)),
     "sentences": ("n_marks / n_words", (0.01, 0.04, 0.3, 0.6)),
 }
-#: Prior shares of votes (bad, abstain, good) for bad and for good documents, which also name the two classes: a rule hardly
-#: ever votes against a good document.  They weigh as much as ``PRIOR_SHARE`` of all documents, or 20.
+#: Shares of votes (bad, abstain, good) of bad and of good documents that name the two classes and that estimation starts from: a rule
+#: hardly ever votes against a good document.  Afterwards they weigh as much as ``PRIOR_COUNT`` documents of a class, whatever the table's size.
 PRIOR = {"bad": (0.3, 0.1, 0.6), "good": (0.004, 0.1, 0.896)}
-PRIOR_SHARE = 0.5
-ROUNDS, SETTLED = 25, 1e-3
+PRIOR_COUNT = 20.0
+#: Windows of a text up to which hash and position are packed into one number; longer texts sort them as pairs.
+PACKED = 50_000
+ROUNDS, SETTLED = 40, 1e-2
 
 
 def _repeated(word_list: Column) -> Column:
@@ -48,17 +50,19 @@ def _repeated(word_list: Column) -> Column:
         return let(grams, of_grams)
 
     def of_grams(g: Column) -> Column:
-        # Hash and position in one number, so that a plain sort brings equal windows together.
+        """Positions in the order of their windows' hashes, so that equal windows stand together, in a plain sort of numbers where those have room."""
         n = F.greatest(F.size(g), F.lit(1)).cast("long")
         room = F.floor(F.lit(float(1 << 61)) / n).cast("long")
-        return let(F.sort_array(F.transform(g, lambda x, i: F.pmod(x, room) * n + i)), lambda packed: of_sorted(packed, g, n))
+        packed = F.transform(F.sort_array(F.transform(g, lambda x, i: F.pmod(x, room) * n + i)), lambda x: (x % n).cast("int"))
+        pairs = F.transform(F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("x"), i.alias("i")))), lambda p: p["i"])
+        return let(F.when(n > PACKED, pairs).otherwise(packed), lambda order: of_order(order, g))
 
-    def of_sorted(packed: Column, g: Column, n: Column) -> Column:
+    def of_order(order: Column, g: Column) -> Column:
         def same(x: Column, y: Column) -> Column:
-            return F.coalesce(F.get(g, (x % n).cast("int")) == F.get(g, (y % n).cast("int")), F.lit(False))
+            return F.coalesce(F.get(g, x) == F.get(g, y), F.lit(False))
 
-        again = F.filter(packed, lambda x, i: same(x, F.get(packed, i + 1)) | same(x, F.get(packed, i - 1)))
-        return let(F.sort_array(F.transform(again, lambda x: x % n)), covered)
+        again = F.filter(order, lambda x, i: same(x, F.get(order, i + 1)) | same(x, F.get(order, i - 1)))
+        return let(F.sort_array(again), covered)
 
     def covered(at: Column) -> Column:
         return F.aggregate(F.transform(at, lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(at, i + 1) - p, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda s, x: s + x)
@@ -113,8 +117,7 @@ def fit_votes(patterns: DataFrame, n_rules: int) -> list[float]:
 
     def weights_of(good: float, total: float, by_good: list[list[float]], by_all: list[list[float]]) -> list[float]:
         def share(counts: list[float], prior: tuple[float, ...]) -> list[float]:
-            strength = max(20.0, PRIOR_SHARE * total)
-            whole = [c + strength * p for c, p in zip(counts, prior, strict=True)]
+            whole = [c + PRIOR_COUNT * p for c, p in zip(counts, prior, strict=True)]
             return [x / sum(whole) for x in whole]
 
         out = [math.log((good + 8) / (total - good + 2))]
@@ -145,7 +148,7 @@ def judge_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     A rule whose denominator is 0 abstains.  Rows that repeat an id are judged each on its own; an empty table gives none.
     """
     voted = written(votes(measures(docs, id_col=id_col, text_col=text_col)), "votes")
-    patterns = written(voted.groupBy("votes").agg(F.count("*").alias("n")), "patterns")
+    patterns = written(voted.groupBy("votes").agg(F.count("*").alias("n")).coalesce(1), "patterns")  # at most 3**rules rows
     quality = _posterior(fit_votes(patterns, len(RULES)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = voted.withColumn("quality", quality).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("quality") >= threshold))

@@ -1,10 +1,13 @@
+import math
 import random
 import re
 from collections import Counter
 
 import pytest
+from pyspark.errors import NumberFormatException
 from pyspark.sql import functions as F
 
+from postsieve.llm import rules
 from postsieve.llm.linededup import dedup_lines, line_decisions
 from postsieve.llm.rules import judge_quality
 
@@ -64,6 +67,16 @@ def test_dedup_lines_texts(spark):
     found = [(r.doc_id, r.text) for r in dedup_lines(spark.createDataFrame(rows, schema), text_col="text").collect()]
     assert sorted(found, key=str) == sorted([(2, "\nnew"), (1, "a b c d e f\nshort"), (1, "a b c d e f\nshort"), (3, None), (4, ""), (None, "short"), (5, "")], key=str)
     assert dedup_lines(spark.createDataFrame([], schema)).count() == 0
+    clash = spark.createDataFrame([(1, "a b c d e f", "x", "y", 3), (2, "a b c d e f\nnew", "x", "y", 4)], "doc_id long, text string, __gone string, lines string, id int")
+    assert sorted((r.doc_id, r.text, r["__gone"], r.id) for r in dedup_lines(clash).collect()) == [(1, "a b c d e f", "x", 3), (2, "new", "x", 4)]
+    with pytest.raises(NumberFormatException):
+        line_decisions(spark.createDataFrame([("k1", "a b")], "doc_id string, text string")).count()
+
+
+def test_bound_for_lines_of_any_length(spark):
+    rows = [(1, "a"), (2, "b"), (3, "a b"), (4, "a c d"), (5, "x y z w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.id, r.line): r.near for r in line_decisions(df, min_words=1).collect()} == brute_lines(rows, least=1)
 
 
 def test_one_long_line(spark):
@@ -94,6 +107,57 @@ def test_counts_match_brute_force(spark):
         assert 0 <= r.quality <= 1 and not (r.kept and r.base_failed)
 
 
+def plain_em(patterns, n_rules):
+    """Expectation-maximisation over single documents, with the prior as documents of each class."""
+    prior = rules.PRIOR
+    docs = [v for v, n in patterns for _ in range(n)]
+    good = {j: list(prior["good"]) for j in range(n_rules)}
+    bad = {j: list(prior["bad"]) for j in range(n_rules)}
+    odds = 8 / 2
+    for _ in range(400):
+        post = []
+        for v in docs:
+            x = odds
+            for j in range(n_rules):
+                x *= good[j][v[j]] / bad[j][v[j]]
+            post.append(x / (1 + x))
+        total = sum(post)
+        odds = (total + 8) / (len(docs) - total + 2)
+        for j in range(n_rules):
+            for table, weight, name in ((good, post, "good"), (bad, [1 - x for x in post], "bad")):
+                counts = [rules.PRIOR_COUNT * p for p in prior[name]]
+                for v, w in zip(docs, weight, strict=True):
+                    counts[v[j]] += w
+                table[j] = [c / sum(counts) for c in counts]
+    return [math.log(odds)] + [math.log(good[j][v] / bad[j][v]) for j in range(n_rules) for v in range(3)]
+
+
+def test_em_against_a_plain_one(spark, monkeypatch):
+    monkeypatch.setattr(rules, "SETTLED", 1e-9)
+    monkeypatch.setattr(rules, "ROUNDS", 200)
+    rng = random.Random(9)
+    accuracy = [(0.9, 0.1), (0.85, 0.2), (0.95, 0.4), (0.7, 0.3)]
+    patterns = {}
+    for _ in range(600):
+        well = rng.random() < 0.75
+        v = tuple(1 if rng.random() < 0.1 else 2 * int(rng.random() < (g if well else b)) for g, b in accuracy)
+        patterns[v] = patterns.get(v, 0) + 1
+    rows = [(list(v), n) for v, n in patterns.items()]
+    found = rules.fit_votes(spark.createDataFrame(rows, "votes array<int>, n long"), 4)
+    assert found == pytest.approx(plain_em(rows, 4), abs=2e-3)
+
+
+def test_repeated_windows_of_very_long_texts(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(30)) for _ in range(n)) for n in (20, 400, 3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(rules, "PACKED", 100)  # the two ways agree
+    assert [r.n_repeat_words for r in judge_quality(df).orderBy("doc_id").collect()] == [brute_counts(t)[4] for t in texts]
+    monkeypatch.undo()
+    long = spark.createDataFrame([(1, " ".join(f"w{i % 70_000}" for i in range(120_000)))], "doc_id long, text string")
+    assert judge_quality(long).first().n_repeat_words == 2 * 50_000
+
+
 def test_clean_text_is_kept_and_shouting_is_not(spark):
     rng = random.Random(6)
 
