@@ -27,9 +27,9 @@ from .store import written
 MASKS = ("1110011", "11010101")
 #: Weight four, for items shorter than the window: with any one of 5 to 9 words replaced, or any two of 10 to 12, one of these fits between.
 SHORT_MASKS = ("1111", "10111", "11011", "11101")
-BROADCAST_SEEDS = 1_000_000
+BROADCAST_SEEDS = 500_000
 #: Ids of texts with a hit, 8 bytes each, up to which they are broadcast to the texts.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
 
 
 def _words(text: Column) -> Column:
@@ -37,11 +37,11 @@ def _words(text: Column) -> Column:
 
 
 def _seeds(words: Column, masks: Sequence[str]) -> Column:
-    """For each word, one hash per mask of the words under the mask's ones from there on; flat."""
+    """For each word, one hash per mask of the words under the mask's ones from there on; flat, null where the mask reaches past the end."""
     offsets = [[i for i, bit in enumerate(mask) if bit == "1"] for mask in masks]
 
     def at(hashes: Column) -> Column:
-        return F.flatten(F.transform(hashes, lambda h, i: F.array(*[F.xxhash64(F.lit(k), h, *[F.get(hashes, i + o) for o in own[1:]]) for k, own in enumerate(offsets)])))
+        return F.flatten(F.transform(hashes, lambda h, i: F.array(*[F.when(i + own[-1] < F.size(hashes), F.xxhash64(F.lit(k), h, *[F.get(hashes, i + o) for o in own[1:]])) for k, own in enumerate(offsets)])))
 
     return let(F.transform(words, lambda w: F.xxhash64(w)), at)
 
@@ -72,10 +72,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     k = len(masks)
     item_seeds = items.select("item", short.alias("short"), F.posexplode(_seeds(F.col("item_words"), masks)).alias("q", "seed"))
     item_seeds = item_seeds.where(F.col("short") | (F.expr(f"q % {k}") < n_long)).select("seed", "item", F.expr(f"q div {k}").cast("int").alias("item_at"))
-    item_seeds = written(item_seeds.distinct(), "seeds")
+    item_seeds = written(item_seeds.where("seed is not null").distinct(), "seeds")
     if item_seeds.count() <= broadcast_seeds:
         item_seeds = F.broadcast(item_seeds)
-    text_seeds = texts.select("id", F.posexplode(_seeds(_words(F.col("text")), masks)).alias("p", "seed"))
+    text_seeds = texts.select("id", F.posexplode(_seeds(_words(F.col("text")), masks)).alias("p", "seed")).where("seed is not null")
     hits = text_seeds.join(item_seeds, "seed").select("id", "item", (F.expr(f"p div {k}").cast("int") - F.col("item_at")).alias("start")).distinct()
     hits = written(hits, "hits")
 
