@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import n_words
@@ -60,8 +60,9 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "sour
     Sources weigh ``weights`` in turn, in the order of their names, null last.  A null text has size 0; a document of size
     0 is taken as often as its neighbours are.  Rows that repeat an id are documents of their own.  Where all sizes are 0 the targets are 0.
     """
-    sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col).cast("string")).alias("size"))
-    sizes = sizes.withColumn("digest", F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    text = F.col(text_col).cast("string")
+    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), F.md5(F.coalesce(text, F.lit(""))))))  # rows without an id lie apart too
+    sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"), digest.alias("digest"))
     sizes = written(sizes.withColumn("part", F.substring("digest", 1, PREFIX_DIGITS)), "sizes")
     targets = written(source_targets(sizes, weights, max_repeat, slope), "targets")
     parts = sizes.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
@@ -78,13 +79,29 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "sour
     return placed.withColumn("taken", F.col("size") * F.col("takes"))
 
 
+def with_positions(plan: DataFrame) -> DataFrame:
+    """``plan`` with positions, an array of the training position in (0, 1] of each take of its row: copy 0, 1, ..., the later the higher."""
+
+    def position(copy: Column) -> Column:
+        done = (copy * F.col("source_size") + F.col("before") + F.col("size") / 2) / F.nullif("target", F.lit(0.0))
+        y = F.least(F.coalesce(done, F.lit(0.0)), F.lit(1.0))
+        b = 1 + F.col("a")
+        return 2 * y / (b + F.sqrt(F.greatest(b * b - 4 * F.col("a") * y, F.lit(0.0))))
+
+    every = F.filter(F.sequence(F.lit(0), F.greatest(F.col("takes") - 1, F.lit(0))), lambda copy: copy < F.col("takes"))
+    return plan.withColumn("positions", F.transform(every, position))
+
+
 def positions(plan: DataFrame) -> DataFrame:
     """One row per take of ``plan_mix``: id, copy (0, 1, ...) and position in (0, 1]."""
-    takes = plan.where("takes > 0").select("id", "before", "size", "source_size", "target", "a", F.explode(F.sequence(F.lit(0), F.col("takes") - 1)).alias("copy"))
-    done = (F.col("copy") * F.col("source_size") + F.col("before") + F.col("size") / 2) / F.nullif("target", F.lit(0.0))
-    y = F.least(F.coalesce(done, F.lit(0.0)), F.lit(1.0))
-    b = 1 + F.col("a")
-    return takes.select("id", "copy", (2 * y / (b + F.sqrt(F.greatest(b * b - 4 * F.col("a") * y, F.lit(0.0))))).alias("position"))
+    return with_positions(plan).select("id", F.posexplode("positions").alias("copy", "position"))
+
+
+def curriculum(plan: DataFrame) -> DataFrame:
+    """``plan`` with positions, range-sorted by each row's first; rows without a take stand last."""
+    first = F.coalesce(F.get("positions", F.lit(0)), F.lit(2.0))
+    placed = with_positions(plan).withColumn("__first", first)
+    return placed.repartitionByRange("__first", F.xxhash64("id")).sortWithinPartitions("__first", "id").drop("__first")
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", position_col: str | None = None, **options) -> DataFrame:

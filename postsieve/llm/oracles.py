@@ -37,19 +37,26 @@ select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id
 """
 
 _MIX = f"""
-with sized as (select doc_id, source, len({WORDS.format("coalesce(text, '')")}) as size, md5(coalesce(cast(doc_id as varchar), '')) as digest from documents
+with sized as (select doc_id, source, len({WORDS.format("coalesce(text, '')")}) as size, md5(coalesce(cast(doc_id as varchar), 'null ' || md5(coalesce(text, '')))) as digest from documents
 ), ranked as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as rank from sized group by source
 ), weighed as (select *, rank % 3 + 1 as weight, source_size * 3 as cap from ranked
 ), steps as (
   select *, sum(source_size) over () as total, coalesce(sum(cap) over before_it, 0) as capped, sum(weight) over () - coalesce(sum(weight) over before_it, 0) as open_weight
   from weighed window before_it as (order by cap / weight, rank rows between unbounded preceding and 1 preceding)
 ), level as (select cast(total - capped as double) / cast(open_weight as double) as lv from steps where cast(total - capped as double) / cast(open_weight as double) <= cap / weight order by capped, 1 limit 1
-), targets as (select source, source_size, least(cast(cap as double), (select lv from level) * weight) as target from weighed
+), targets as (select source, source_size, rank, least(cast(cap as double), (select lv from level) * weight) as target from weighed
+), sloped as (select *, 0.5 * (1 - 2 * cast(rank as double) / greatest(max(rank) over (), 1)) as raw from targets
+), slopes as (select *, raw - coalesce(sum(raw * target) over () / nullif(sum(target) over (), 0), 0) as a from sloped
 ), placed as (
-  select doc_id, size, source_size, target, coalesce(sum(size) over (partition by s.source order by digest, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before_it, floor(coalesce(target / nullif(source_size, 0), 0)) as passes
-  from sized s join targets t on s.source is not distinct from t.source
+  select doc_id, size, source_size, target, a, coalesce(sum(size) over (partition by s.source order by digest, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before_it, floor(coalesce(target / nullif(source_size, 0), 0)) as passes
+  from sized s join slopes t on s.source is not distinct from t.source
+), taken as (select *, cast(least(passes + case when before_it + size / 2 <= target - passes * source_size then 1 else 0 end, 3) as bigint) as takes from placed
+), reached as (select *, least(coalesce((before_it + size / 2) / nullif(target, 0), 0), 1) as y0, least(coalesce(((takes - 1) * source_size + before_it + size / 2) / nullif(target, 0), 0), 1) as y1 from taken
 )
-select doc_id, cast(size as bigint) as size, source_size, target, cast(size * least(passes + case when before_it + size / 2 <= target - passes * source_size then 1 else 0 end, 3) as bigint) as taken from placed
+select doc_id, cast(size as bigint) as size, source_size, target, cast(size * takes as bigint) as taken,
+  case when takes > 0 then round(2 * y0 / (1 + a + sqrt(greatest((1 + a) * (1 + a) - 4 * a * y0, 0))), 6) end as first_position,
+  case when takes > 0 then round(2 * y1 / (1 + a + sqrt(greatest((1 + a) * (1 + a) - 4 * a * y1, 0))), 6) end as last_position
+from reached
 """
 
 ORACLES: dict[str, str] = {"op4_line_dedup": _LINES, "op8_minhash": _NEAR, "op10_mixing": _MIX}

@@ -70,8 +70,9 @@ def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.plan_mix(_table(spark, sf_dir, "documents"))
-    return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    placed = mixing.curriculum(mixing.plan_mix(_table(spark, sf_dir, "documents")))
+    ends = [F.round(F.try_element_at("positions", F.lit(i)), 6).alias(name) for i, name in ((1, "first_position"), (-1, "last_position"))]
+    return placed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", *ends)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

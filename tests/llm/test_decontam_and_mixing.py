@@ -1,11 +1,12 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from postsieve.llm.decontam import decontaminate, find_leaks
-from postsieve.llm.mixing import mix, plan_mix, positions
+from postsieve.llm.mixing import curriculum, mix, plan_mix, positions, with_positions
 
 
 def word(rng):
@@ -57,6 +58,27 @@ def test_short_items_amid_longer_texts(spark):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == want
 
 
+def test_exact_items_of_any_length_at_start_middle_and_end(spark):
+    """Items of 5 to 40 words: every exact copy, and at least 95 in 100 of those with a fifth of the words of some window replaced."""
+    rng = random.Random(13)
+    items = [(n, " ".join(word(rng) for _ in range(n))) for n in range(5, 41)]
+    docs, exact, near = [], set(), set()
+    for n, x in items:
+        for place in ("start", "middle", "end", "alone"):
+            for changed in (0, 1):
+                passage = x.split()
+                if changed:
+                    most = min(n, 13) - -(-80 * min(n, 13) // 100)
+                    for at in rng.sample(range(min(n, 13)), most):
+                        passage[at] = word(rng)
+                before = [word(rng) for _ in range(9)] if place in ("middle", "end") else []
+                after = [word(rng) for _ in range(9)] if place in ("middle", "start") else []
+                docs.append((len(docs), " ".join([*before, *passage, *after])))
+                (near if changed else exact).add((docs[-1][0], n))
+    found = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert exact <= found <= exact | near and len(found & near) >= 0.95 * len(near)
+
+
 def test_every_exact_passage_is_found_whatever_its_case(spark):
     rng = random.Random(5)
     item = " ".join(word(rng) for _ in range(20))
@@ -116,6 +138,20 @@ def test_positions_follow_the_schedule(spark):
     assert sum(r.a * r.target for r in plan.select("source", "a", "target").distinct().collect()) == pytest.approx(0, abs=1e-6)
 
 
+def test_positions_against_numeric_integration_and_inversion(spark):
+    rng = random.Random(21)
+    rows = [(i, "w " * rng.randrange(0, 40), f"s{rng.randrange(5)}") for i in range(500)] + [(None, "w w", "s1"), (None, "w w w", "s1")]
+    plan = plan_mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    grid = np.linspace(0, 1, 20_001)
+    for r in with_positions(plan).collect():
+        rate = 1 + r.a * (1 - 2 * grid)
+        area = np.concatenate([[0.0], np.cumsum((rate[1:] + rate[:-1]) / 2 * np.diff(grid))])
+        due = [min((copy * r.source_size + r.before + r["size"] / 2) / r.target, 1.0) for copy in range(r.takes)]
+        assert r.positions == pytest.approx(np.interp(due, area, grid), abs=1e-6)
+    firsts = [r.positions[0] if r.positions else 2.0 for r in curriculum(plan).collect()]
+    assert firsts == sorted(firsts) and len(firsts) == 502
+
+
 def test_mix_rows(spark):
     rows = [(1, "a b", "x", 1), (2, "c", "x", 2), (3, None, None, 3), (None, "d e f", "y", 4), (5, "", "y", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, position int")
