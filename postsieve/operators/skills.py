@@ -62,8 +62,12 @@ def section_weights(lines: DataFrame, doc: str = "doc_id", pos: str = "pos", lin
     return marked.withColumn("weight", F.when(F.col("__c").rlike(PREFERRED_INLINE), F.least("weight", F.lit(PREFERRED_WEIGHT))).otherwise(F.col("weight"))).drop("__c")
 
 
+#: Where a line ends, as far as Python's own splitter sees it.
+LINE_END = r"\R|[\x0b\x0c\x1c-\x1e\x85]"
+
+
 def description_lines(postings: DataFrame, doc: str, description: str = "description") -> DataFrame:
-    return postings.select(doc, F.posexplode(F.split(F.coalesce(description, F.lit("")), r"\R|[\x0b\x0c\x1c-\x1e\x85]")).alias("pos", "line"))
+    return postings.select(doc, F.posexplode(F.split(F.coalesce(description, F.lit("")), LINE_END)).alias("pos", "line"))
 
 
 def document_frequency(docs: DataFrame, lexicon: Mapping[str, str], text: str = "text", min_chars: int = 200) -> DataFrame:
@@ -79,17 +83,36 @@ def idf(df: DataFrame) -> DataFrame:
 
 
 def posting_skill_weights(postings: DataFrame, lexicon: Mapping[str, str], idf_table: DataFrame, hints: Sequence[tuple[str, Sequence[str]]] = (), doc: str = "doc_id") -> DataFrame:
-    """(doc, skill, weight): idf x best section x mentions, doubled for skills of the title."""
-    lines = section_weights(description_lines(postings, doc), doc)
-    in_lines = lines.select(doc, F.explode(extract_skills(F.col("line"), lexicon)).alias("skill"), "weight").groupBy(doc, "skill").agg(F.max("weight").alias("section"))
+    """(doc, skill, weight): idf x best section x mentions, doubled for skills of the title.
+
+    All but the idf is a function of the row: its lines are gone through once, with the weight of the last header and each lexicon key's best
+    section so far, so that nothing is shuffled.  Rows that repeat a document give their weights each.
+    """
+    keys = list(lexicon)
+    described = F.coalesce("description", F.lit(""))
+    lines = F.split(described, LINE_END)
+
+    def step(state: Column, line: Column) -> Column:
+        def with_clean(c: Column) -> Column:
+            carried = F.coalesce(header_weight(c), state["weight"])
+            own = F.when(c.rlike(PREFERRED_INLINE), F.least(carried, F.lit(PREFERRED_WEIGHT))).otherwise(carried)
+            t = F.lower(line)
+            hits = F.array(*[t.rlike(p) for p in lexicon.values()])
+            best = F.zip_with(state["best"], hits, lambda b, hit: F.when(hit, F.greatest(b, own)).otherwise(b))
+            return F.when(c == "", state).otherwise(F.struct(carried.alias("weight"), best.alias("best")))
+
+        return F.transform(F.array(clean_line(line)), with_clean)[0]
+
+    start = F.struct(F.lit(DEFAULT_WEIGHT).alias("weight"), F.array_repeat(F.lit(-1.0), len(keys)).alias("best"))
     titled = F.array_union(extract_skills(F.col("title"), lexicon), title_hints(F.col("title"), hints))
-    in_title = postings.select(doc, F.explode(titled).alias("skill")).withColumn("titled", F.lit(True))
-    counts = postings.select(doc, F.explode(count_skills(F.concat_ws("\n", "title", F.coalesce("description", F.lit(""))), lexicon)).alias("skill", "mentions"))
-    joined = in_lines.join(in_title, [doc, "skill"], "full").join(counts, [doc, "skill"], "left").join(F.broadcast(idf_table), "skill", "left")  # idf: a row a lexicon key
-    section = F.when(F.col("titled"), 1.0).otherwise(F.col("section"))
-    reps = 1 + 0.5 * F.log(F.least(F.greatest(F.coalesce("mentions", F.lit(1)), F.lit(1)), F.lit(MENTION_CAP)).cast("double"))
-    weight = F.coalesce("idf", F.lit(1.0)) * section * reps * F.when(F.col("titled"), TITLE_BOOST).otherwise(1.0)
-    return joined.where(section > 0).select(doc, "skill", weight.alias("weight"))
+    rows = postings.select(doc, F.aggregate(lines, start, step)["best"].alias("best"), titled.alias("titled"), count_skills(F.concat_ws("\n", "title", described), lexicon).alias("mentions"))
+    in_lines = F.filter(F.transform("best", lambda b, i: F.struct(F.get(F.array(*map(F.lit, keys)), i).alias("skill"), b.alias("section"))), lambda x: (x["section"] >= 0) & ~F.array_contains("titled", x["skill"]))
+    every = F.concat(in_lines, F.transform("titled", lambda k: F.struct(k.alias("skill"), F.lit(1.0).alias("section"))))
+    found = rows.select(doc, "titled", "mentions", F.explode(every).alias("e")).select(doc, "e.*", F.array_contains("titled", F.col("e.skill")).alias("in_title"), F.coalesce(F.col("mentions")[F.col("e.skill")], F.lit(1)).alias("n"))
+    found = found.where("section > 0").join(F.broadcast(idf_table), "skill", "left")  # idf: a row a lexicon key
+    reps = 1 + 0.5 * F.log(F.least(F.greatest("n", F.lit(1)), F.lit(MENTION_CAP)).cast("double"))
+    weight = F.coalesce("idf", F.lit(1.0)) * F.col("section") * reps * F.when(F.col("in_title"), TITLE_BOOST).otherwise(1.0)
+    return found.select(doc, "skill", weight.alias("weight"))
 
 
 def project_skill_join(weights: DataFrame, tags: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -97,6 +120,10 @@ def project_skill_join(weights: DataFrame, tags: DataFrame, doc: str = "doc_id")
     return weights.join(F.broadcast(tags), "skill").select(doc, "id", "skill", "weight", "depth")
 
 
+#: Projects that a pool may have, as it rides along with every posting.
+MOST_PROJECTS = 2_000
+
+
 def diversified_topk(docs: DataFrame, weights: DataFrame, projects: DataFrame, tags: DataFrame, k: int = 3, doc: str = "doc_id") -> DataFrame:
     """(doc, picks, scores, coverage, uncovered): greedy picks, a skill already covered counting 1 - 0.7 x its covered depth.
 
@@ -104,7 +131,9 @@ def diversified_topk(docs: DataFrame, weights: DataFrame, projects: DataFrame, t
     one a lexicon key); the pool rides along as one literal array, and the k rounds run within the row, without a shuffle.
     """
     pool = projects.join(tags.groupBy("id").agg(F.collect_list(F.struct("skill", "depth")).alias("tags"), F.sqrt(F.sum(F.col("depth") * F.col("depth"))).alias("norm")), "id")
-    listed = sorted(pool.collect(), key=lambda r: r.pos)  # a pool that a person keeps
+    listed = sorted(pool.limit(MOST_PROJECTS + 1).collect(), key=lambda r: r.pos)  # a pool that a person keeps
+    if len(listed) > MOST_PROJECTS:
+        raise ValueError(f"a pool of more than {MOST_PROJECTS} projects")
     one = lambda r: F.struct(F.lit(r.id).alias("id"), F.lit(1 if r.kind == "profile" else 0).alias("prefer"), F.lit(-r.pos).alias("order"), F.lit(float(r.norm)).alias("norm"), F.map_from_arrays(F.array(*[F.lit(t.skill) for t in r.tags]), F.array(*[F.lit(float(t.depth)) for t in r.tags])).alias("tags"))
     pool_column = F.array(*[one(r) for r in listed])
     gathered = weights.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("skill", "weight"))).alias("w"))
@@ -135,6 +164,15 @@ def top_of_map(weights: Column, k: int) -> Column:
 
 def replay_summary(selections: DataFrame) -> DataFrame:
     """Per project the share of selections that hold it, and of those that rank it first."""
-    ranked = selections.select(F.posexplode("picks").alias("rank", "id"))
+    # An outer explode: the filter that Spark infers from an inner one would repeat all rounds behind the picks.
+    ranked = selections.select(F.posexplode_outer("picks").alias("rank", "id")).where("id is not null")
     n = max(selections.count(), 1)
     return ranked.groupBy("id").agg(F.count("*").alias("n_picked"), F.count_if(F.col("rank") == 0).alias("n_first")).withColumn("share", F.col("n_picked") / n)
+
+
+def replay_overview(selections: DataFrame, top: int = 12) -> DataFrame:
+    """(kind, key, n, share): the mean coverage of all selections, and the ``top`` skills among each selection's three heaviest uncovered ones."""
+    n = max(selections.count(), 1)
+    mean = selections.agg(F.lit("coverage").alias("kind"), F.lit("").alias("key"), F.count("*").alias("n"), F.avg("coverage").alias("share"))
+    gaps = selections.select(F.explode_outer(F.slice("uncovered", 1, 3)).alias("key")).where("key is not null").groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(top)
+    return mean.union(gaps.select(F.lit("uncovered"), "key", "n", F.col("n") / n))
