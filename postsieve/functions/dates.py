@@ -47,3 +47,12 @@ def extract_tenant(url: Column, pattern: str = TENANT_URL) -> Column:
     """(tenant, server, site) of a board URL; null where it is none."""
     part = lambda i: F.regexp_extract(url, pattern, i)
     return F.when(url.rlike(pattern), F.struct(part(1).alias("tenant"), part(2).alias("server"), F.nullif(part(3), F.lit("")).alias("site")))
+
+
+#: Fixed value: a public posting URL of the hosted boards: tenant, server, an optional locale, site and path.
+DETAIL_URL = r"^https?://([^.]+)\.(wd\d+)\.myworkdayjobs\.com(?:/(?i:[a-z]{2}-[a-z]{2}))?/([^/]+)/(.+)$"
+
+
+def detail_url(url: Column) -> Column:
+    """The address of a posting's JSON from its public one; null for other addresses."""
+    return F.when(url.rlike(DETAIL_URL), F.regexp_replace(url, DETAIL_URL, "https://$1.$2.myworkdayjobs.com/wday/cxs/$1/$3/$4"))

@@ -24,6 +24,11 @@ def py_strip(c: Column) -> Column:
     return F.regexp_replace(c, _U + r"^\s+|\s+$", "")
 
 
+def has_text(c: Column) -> Column:
+    """Whether there is anything but white space of any Unicode kind; false for null.  The search ends at the first such character."""
+    return F.coalesce(c.rlike(_U + r"\S"), F.lit(False))
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(py_strip(c), F.lit(""))
 
@@ -96,7 +101,11 @@ def salary_text(low: Column, high: Column) -> Column:
     return F.when(has_low & has_high, F.concat(money(low), F.lit(" - "), money(high))).when(has_low, F.concat(money(low), F.lit("+"))).otherwise("")
 
 
-def sponsorship_label(verified: Column, yes: str = "Yes", no: str = "No history", unknown: str = "Unknown") -> Column:
+#: What a sheet says of a sponsor.
+SPONSORSHIP = ("Verified sponsor", "No H-1B history", "Unknown")
+
+
+def sponsorship_label(verified: Column, yes: str = SPONSORSHIP[0], no: str = SPONSORSHIP[1], unknown: str = SPONSORSHIP[2]) -> Column:
     return F.when(verified, yes).when(~verified, no).otherwise(unknown)
 
 
@@ -200,10 +209,41 @@ def keyword_coverage(text: Column, keywords: Column) -> tuple[Column, Column]:
     return share, missing
 
 
+#: A JSON text as strings, brackets and what stands between them.
+_JSON_PARTS = r'(?s)"(?:[^"\\]++|\\.)*+"?|[\[\]{}]|[^"\[\]{}]++'
+
+_JSON_SCALAR = r'^(?:"(?:[^"\\]++|\\.)*+"|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)$'
+
+
+def _balanced(text: Column) -> Column:
+    """From the first opening bracket to the one that closes it, brackets inside strings not counted; null if it never closes."""
+    parts = F.regexp_extract_all(F.regexp_extract(text, r"(?s)[\[{].*", 0), F.lit(_JSON_PARTS), F.lit(0))
+
+    def span(p: Column) -> Column:
+        opens, closes = p[0], F.when(p[0] == "{", "}").otherwise("]")
+
+        def step(state: Column, x: Column) -> Column:
+            depth = state["depth"] + (x == opens).cast("int") - (x == closes).cast("int")
+            done = state["end"] > 0
+            return F.struct(F.when(done, state["depth"]).otherwise(depth).alias("depth"), (state["at"] + 1).alias("at"), F.when(done, state["end"]).when(depth == 0, state["at"] + 1).otherwise(0).alias("end"))
+
+        end = F.aggregate(p, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end")), step)["end"]
+        return F.when(end > 0, F.array_join(F.slice(p, 1, end), ""))
+
+    return F.transform(F.array(parts), lambda p: F.when(F.size(p) > 0, span(p)))[0]
+
+
 def json_from_reply(c: Column) -> Column:
-    """The JSON inside a fenced block, or from the first bracket to the last; null for none."""
-    fenced = F.nullif(F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit(""))
-    return F.coalesce(py_strip(fenced), F.nullif(F.regexp_extract(c, r"(?s)([\{\[].*[\}\]])", 1), F.lit("")))
+    """The JSON of a reply: that of its first fenced block if it has one, as a whole, or else the first balanced object or array in it; null if that does not parse."""
+    fence = r"(?s)```(?:json)?\s*\n?(.*?)\n?```"
+    body = F.when(c.rlike(fence), py_strip(F.regexp_extract(c, fence, 1))).otherwise(py_strip(c))
+
+    def parsed(text: Column) -> Column:
+        # Spark's parser minds nothing that stands behind a value, so a whole text only passes as a scalar or as one balanced span.
+        span = F.transform(F.array(_balanced(text)), lambda t: F.when(F.try_parse_json(t).isNotNull(), t))[0]
+        return F.when(text.rlike(_JSON_SCALAR), text).otherwise(span)
+
+    return F.transform(F.array(body), parsed)[0]
 
 
 def dedup_tokens(tokens: Column) -> Column:

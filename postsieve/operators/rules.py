@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postsieve.functions.text import contains_any, first_contained, first_word, md_unescape, py_strip, word_any
+from postsieve.functions.text import contains_any, first_contained, first_word, has_text, md_unescape, quote, word_any
 
 #: Number words that a requirement may use.
 NUMBER_WORDS = {"four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10}
@@ -120,7 +120,7 @@ def _rules(cfg: GateConfig, title_only: bool) -> list[tuple[str, Column, Column]
     stop, years = desc_hard_stop(description, cfg), experience_stop(description, cfg.min_years)
     rules = [("stage1_location", location_excluded(location, cfg), F.concat(F.lit("Excluded location: '"), location, F.lit("'"))), *gate]
     rules.append(("stage1_salary", salary_below(high, cfg.salary_floor), F.concat(F.lit("Salary max $"), F.format_number(high, 0), F.lit(" below floor $"), F.format_number(F.lit(cfg.salary_floor), 0))))
-    rules.append(("stage1_no_desc", F.coalesce(py_strip(description), F.lit("")) == "", F.lit("No description")))
+    rules.append(("stage1_no_desc", ~has_text(description), F.lit("No description")))
     if cfg.stops:
         rules.append(("stage1_desc", stop.isNotNull(), F.concat(F.lit("Description hard-stop: '"), stop, F.lit("'"))))
     if cfg.min_years < 99:
@@ -146,20 +146,20 @@ def rule_gate(df: DataFrame, cfg: GateConfig, title_only: bool = False) -> DataF
 
 
 def split_by_description(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    has = F.coalesce(py_strip(F.col("description")), F.lit("")) != ""
+    has = has_text(F.col("description"))
     return df.where(has), df.where(~has)
 
 
 def promote_filled(pending: DataFrame, details: DataFrame, key: str, cfg: GateConfig) -> tuple[DataFrame, DataFrame]:
     """(rows that details have filled, through the whole gate; rows that stay pending)."""
-    landed = details.where(F.coalesce(py_strip(F.col("description")), F.lit("")) != "").groupBy(key).agg(F.max("description").alias("__d"))
+    landed = details.where(has_text(F.col("description"))).groupBy(key).agg(F.max("description").alias("__d"))
     filled = pending.join(landed, key).withColumn("description", F.col("__d")).select(pending.columns)
     return rule_gate(filled, cfg), pending.join(landed, key, "left_anti").select(pending.columns)
 
 
 def droppable_source(source: Column, cfg: GateConfig) -> Column:
     exact = source.isin(*cfg.droppable_sources) if cfg.droppable_sources else F.lit(False)
-    prefix = source.rlike("^(?:" + "|".join(cfg.droppable_prefixes) + ")") if cfg.droppable_prefixes else F.lit(False)
+    prefix = source.rlike("^(?:" + "|".join(map(quote, cfg.droppable_prefixes)) + ")") if cfg.droppable_prefixes else F.lit(False)
     return F.coalesce(exact | prefix, F.lit(False))
 
 
