@@ -43,12 +43,12 @@ def dedup_best_confidence(df: DataFrame) -> DataFrame:
     return _best(df, [fingerprint(F.col("company"), F.col("title"))], [F.coalesce("confidence", F.lit(0)), -F.col("seq")])
 
 
-#: Outcomes from least to most telling.
-OUTCOME_RANK = {"skipped": 0, "applied": 1, "reached_out": 2, "rejected": 3, "interview": 4, "offer": 5}
+#: How telling an outcome is; those not listed are the least.
+OUTCOME_RANK = {"offer": 6, "interview": 5, "phone_screen": 4, "reached_out": 3, "rejected": 2, "no_response": 1}
 
 
 def outcome_rank(c: Column) -> Column:
-    return F.coalesce(F.create_map(*[F.lit(x) for pair in OUTCOME_RANK.items() for x in pair])[c], F.lit(1))
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in OUTCOME_RANK.items() for x in pair])[c], F.lit(0))
 
 
 def dedup_outcomes(feedback: DataFrame) -> DataFrame:
@@ -81,11 +81,18 @@ def except_by_key(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return df.join(gone.select(key), key, "left_anti").select(df.columns)
 
 
-def best_board(hits: DataFrame) -> DataFrame:
-    """Boards (kind, name, token, total, relevant) that are the largest of their name or of their token, once per token, the most relevant first."""
+def best_board(hits: DataFrame, registered: DataFrame | None = None) -> DataFrame:
+    """Boards (kind, name, token, total, relevant) that are the largest of their name or of their token, once per token, the most relevant first.
+
+    Tokens of ``registered`` (kind, token) are left out, whatever the case.
+    """
     by_name = _best(hits, ["kind", F.lower("name")], [F.col("total"), -F.col("seq")])
     by_token = _best(hits, ["kind", F.lower("token")], [F.col("total"), -F.col("seq")])
-    return _best(by_name.union(by_token).distinct(), ["kind", F.lower("token")], [F.col("relevant"), F.col("total"), -F.col("seq")])
+    found = _best(by_name.union(by_token).distinct(), ["kind", F.lower("token")], [F.col("relevant"), F.col("total"), -F.col("seq")])
+    if registered is None:
+        return found
+    known = registered.select(F.col("kind").alias("__k"), F.lower("token").alias("__t"))
+    return found.join(known, (F.col("kind") == F.col("__k")) & (F.lower("token") == F.col("__t")), "left_anti")
 
 
 def row_number_by(df: DataFrame, partition: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:

@@ -27,6 +27,9 @@ UNSAFE_ROOTS = (
     "networks software technology technologies engineering science sciences health healthcare financial finance insurance bank energy security research "
     "institute university center centre association foundation prime core next smart"
 ).split()
+# A bracketed part of a name, and what follows a brand as its tagline.
+BRACKETED = r"\s*[\(\[][^\)\]]*[\)\]]"
+TAGLINE = r"(?is)\s*(?:\||,\s*(?:an?|part of)\s+|\s+-\s+|\s+–\s+|\s+—\s+).*$"
 MIN_ROOT = 4
 MAX_FORMS = 4
 
@@ -38,8 +41,7 @@ def _bind(value: Column, body) -> Column:
 
 def clean_company(c: Column) -> Column:
     """Without brackets, taglines and up to three legal suffixes; never emptied by a suffix."""
-    name = F.regexp_replace(c, r"\s*[\(\[][^\)\]]*[\)\]]", " ")
-    name = F.regexp_replace(name, r"(?is)\s*(?:\||,\s*(?:an?|part of)\s+|\s+-\s+|\s+–\s+|\s+—\s+).*$", "")
+    name = F.regexp_replace(F.regexp_replace(c, BRACKETED, " "), TAGLINE, "")
     name = F.btrim(F.regexp_replace(name, r"(?U)\s+", " "), F.lit(" ,.-|"))
 
     def peel(x: Column, times: int) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postsieve.functions.dates import extract_tenant
-from postsieve.functions.text import humanize_token, slug_candidates, word_any
+from postsieve.functions.text import humanize_token, quote, slug_candidates, word_any
 
 from .dedup import _best
 from .report import company_frequency
@@ -38,6 +38,13 @@ def merge_candidates(candidates: DataFrame, found: DataFrame, active: DataFrame,
     )
 
 
+def candidate_counts(candidates: DataFrame, found: DataFrame, active: DataFrame, rejected: DataFrame) -> DataFrame:
+    """One row: tenants of a run that are new, and those that were candidates before."""
+    able = exclude_registered(found.where("tenant is not null and tenant <> ''"), active, rejected).select("tenant").distinct()
+    marked = able.join(candidates.select("tenant", F.lit(True).alias("__old")), "tenant", "left")
+    return marked.agg(F.count_if(F.col("__old").isNull()).alias("n_new"), F.count_if("__old").alias("n_repeat"))
+
+
 def decide(df: DataFrame, bar: int = 6, max_attempts: int = 5) -> DataFrame:
     """``decision`` by alive (null: unknown), hits and promotion_attempts, and the attempts after it."""
     tries = F.col("promotion_attempts") + F.col("alive").isNull().cast("int")
@@ -56,7 +63,7 @@ def candidate_tokens(jobs: DataFrame, registered: DataFrame, n: int) -> DataFram
 def board_relevance(titles: DataFrame, domain_words: Sequence[str], exclusions: Sequence[str], least: int = 1) -> DataFrame:
     """(board, total, relevant) of boards with ``least`` relevant titles; exclusions here are plain substrings."""
     t = F.lower("title")
-    bad = t.rlike("|".join(exclusions)) if exclusions else F.lit(False)
+    bad = t.rlike("|".join(map(quote, exclusions))) if exclusions else F.lit(False)
     out = titles.groupBy("board").agg(F.count("*").alias("total"), F.count_if(word_any(t, domain_words) & ~bad).alias("relevant"))
     return out.where(F.col("relevant") >= least)
 

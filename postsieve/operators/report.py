@@ -8,9 +8,12 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postsieve.functions.dates import humanize_age
+from postsieve.functions.text import has_text, salary_text, sponsorship_label
+
 #: Outcomes that count as a call back, and those that count as any good sign.
-CALLBACKS = ("interview", "offer")
-POSITIVES = ("interview", "offer", "reached_out")
+CALLBACKS = ("phone_screen", "interview", "offer")
+POSITIVES = ("phone_screen", "interview", "offer", "reached_out")
 
 
 def _rates() -> list[Column]:
@@ -75,14 +78,21 @@ def score_breakdown(scored: DataFrame) -> DataFrame:
     return filled.unionByName(counts.where("confidence is null"))
 
 
-def funnel(gated: DataFrame, as_of: datetime, hours: int, trusted: Sequence[str]) -> DataFrame:
-    """One row of counters over rows that carry their gate stage, in one pass."""
+def funnel(gated: DataFrame, as_of: datetime, hours: int, trusted: Sequence[str], dropped: Column | None = None, confidence: Column | None = None, min_confidence: int = 3) -> DataFrame:
+    """One row of counters over rows that carry their gate stage, in one pass.
+
+    ``dropped`` tells rows that the sponsor check took out, which count as fresh and in none of the later counters.  ``confidence`` is the scorer's, null
+    for unscored rows, which are written; rows below ``min_confidence`` are not.
+    """
     from .dedup import is_fresh
 
     fresh = is_fresh(as_of, hours, trusted)
-    has = F.coalesce(F.trim("description"), F.lit("")) != ""
-    passed = F.col("stage") == "stage1_pass"
-    return gated.agg(F.count("*").alias("scraped"), F.count_if(fresh).alias("fresh"), F.count_if(~fresh).alias("stale"), F.count_if(fresh & has).alias("with_description"), F.count_if(fresh & ~has).alias("without_description"), F.count_if(fresh & passed).alias("passed"), F.count_if(fresh & ~passed).alias("rejected"))
+    gone = F.lit(False) if dropped is None else F.coalesce(dropped, F.lit(False))
+    score = F.lit(None).cast("int") if confidence is None else confidence
+    here, has, low = fresh & ~gone, has_text(F.col("description")), F.coalesce(score < min_confidence, F.lit(False))
+    passed = here & (F.col("stage") == "stage1_pass")
+    counters = {"fresh": fresh, "stale": ~fresh, "sponsor_dropped": fresh & gone, "with_description": here & has, "without_description": here & ~has, "passed": passed, "rejected": here & (F.col("stage") != "stage1_pass"), "below_cutoff": passed & low, "written": passed & ~low}
+    return gated.agg(F.count("*").alias("scraped"), *[F.count_if(c).alias(name) for name, c in counters.items()])
 
 
 def stage_counts(audit: DataFrame, run_date: str | None = None) -> DataFrame:
@@ -99,6 +109,44 @@ def outcome_counts(feedback: DataFrame) -> DataFrame:
     return feedback.groupBy("outcome").agg(F.count("*").alias("n"), F.min("date_applied").alias("first"), F.max("date_applied").alias("last"))
 
 
+def outcome_overall(feedback: DataFrame) -> DataFrame:
+    """One row over all rows but skipped ones: apps, callbacks, positives, their rates (0 for no row), first and last date."""
+    n = F.greatest(F.count("*"), F.lit(1))
+    callbacks, positives = F.count_if(F.col("outcome").isin(*CALLBACKS)), F.count_if(F.col("outcome").isin(*POSITIVES))
+    dated = F.nullif("date_applied", F.lit(""))
+    return feedback.where("outcome is null or outcome <> 'skipped'").agg(F.count("*").alias("apps"), callbacks.alias("callbacks"), positives.alias("positives"), (callbacks / n).alias("callback_rate"), (positives / n).alias("positive_rate"), F.min(dated).alias("first"), F.max(dated).alias("last"))
+
+
+def order_outcomes(counts: DataFrame) -> DataFrame:
+    return counts.orderBy(F.desc("n"), "outcome")
+
+
+#: The columns of the daily sheet and of the audit sheet, in order.
+DAILY = ("company", "title", "location", "confidence", "status", "interview_score", "risk_flags", "apply_link", "posted", "source", "reasoning", "suggested_angle", "match_signals", "sponsorship", "salary_range", "notes")
+AUDIT = ("company", "title", "stage", "reason", "source", "url")
+
+
+def daily_rows(scored: DataFrame, as_of: datetime) -> DataFrame:
+    """Sheet rows of scored postings: sixteen columns, status and notes empty for a person to fill."""
+    listed = lambda name: F.coalesce(F.array_join(name, ", "), F.lit(""))
+    made = {
+        "status": F.lit(""), "notes": F.lit(""), "interview_score": F.col("interview_likelihood"), "risk_flags": listed("risk_flags"), "match_signals": listed("match_signals"), "apply_link": F.col("url"),
+        "posted": humanize_age(F.col("posted_at"), F.lit(as_of)), "sponsorship": sponsorship_label(F.col("verified")), "salary_range": salary_text(F.col("salary_min"), F.col("salary_max")),
+    }
+    return scored.select(*[made.get(c, F.col(c)).alias(c) for c in DAILY])
+
+
+def below_cutoff(scored: DataFrame, min_confidence: int = 3, stage: str = "stage2_score") -> DataFrame:
+    """Scored rows under the cutoff, with stage and reason."""
+    reason = F.concat(F.lit("Confidence "), F.col("confidence").cast("string"), F.lit(f"/5 (Daily needs {min_confidence}+): "), F.coalesce("reasoning", F.lit("")))
+    return scored.where(F.col("confidence") < min_confidence).withColumn("stage", F.lit(stage)).withColumn("reason", reason)
+
+
+def audit_sheet(rejects: DataFrame) -> DataFrame:
+    """Sheet rows of rejections: six columns."""
+    return rejects.select(*AUDIT)
+
+
 def company_frequency(jobs: DataFrame, limit: int) -> DataFrame:
     """The ``limit`` most frequent companies with names longer than two."""
     return jobs.where(F.length("company") > 2).groupBy("company").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "company").limit(limit)

@@ -8,14 +8,14 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postsieve.functions.text import blank_to_null, fingerprint, map_values, py_strip
+from postsieve.functions.text import blank_to_null, fingerprint, has_text, map_values, py_strip, quote
 
 from .dedup import _best
 
 #: What a status in a sheet means as an outcome.
 STATUS_MAP = {
-    "applied": "applied", "interview": "interview", "phone screen": "interview", "offer": "offer",
-    "rejected": "rejected", "reached out": "reached_out", "no response": "applied", "skipped": "skipped",
+    "applied": "applied", "skipped": "skipped", "phone screen": "phone_screen", "interview": "interview", "offer": "offer",
+    "rejected": "rejected", "no response": "no_response", "reached out": "reached_out",
 }
 
 
@@ -34,7 +34,14 @@ def merge_latest(target: DataFrame, rows: DataFrame, key: str, column: str, orde
 
 
 def audit_rows(df: DataFrame, as_of: datetime, verdict: Column) -> DataFrame:
-    return df.select(fingerprint(F.col("company"), F.col("title")).alias("job_fingerprint"), "company", "title", "source", "stage", verdict.alias("verdict"), "reason", F.lit(as_of).cast("date").alias("run_date"), F.lit(as_of).alias("created_at"))
+    """Rows for the audit table; the confidence is null where ``df`` has none."""
+    confidence = F.col("confidence").cast("int") if "confidence" in df.columns else F.lit(None).cast("int").alias("confidence")
+    return df.select(fingerprint(F.col("company"), F.col("title")).alias("job_fingerprint"), "company", "title", "source", "stage", verdict.alias("verdict"), "reason", confidence, F.lit(as_of).cast("date").alias("run_date"), F.lit(as_of).alias("created_at"))
+
+
+def append_audit(rows: DataFrame, path: str) -> None:
+    """Append to the audit table, one folder a run date."""
+    rows.write.mode("append").partitionBy("run_date").parquet(path)
 
 
 def upsert_verdict(cache: DataFrame, rows: DataFrame) -> DataFrame:
@@ -47,25 +54,46 @@ def valid_verdicts(cache: DataFrame, as_of: datetime, positive_days: int = 30, n
     return cache.where(age < F.when(F.col("verified"), positive_days).otherwise(negative_days))
 
 
+def _saying(sheet: DataFrame) -> DataFrame:
+    return sheet.where(has_text(F.col("status")) & (F.lower(py_strip(F.col("status"))) != "ready to apply"))
+
+
+def outcome_matches(feedback: DataFrame, materials: DataFrame, tracker: DataFrame) -> DataFrame:
+    """(sheet, matched, unmatched): rows of each sheet that say something, by whether their fingerprint has feedback."""
+    sheets = materials.withColumn("sheet", F.lit("materials")).unionByName(tracker.withColumn("sheet", F.lit("tracker")))
+    fp = fingerprint(F.col("company"), F.col("title"))
+    known = feedback.select(fp.alias("__fp")).distinct().withColumn("__k", F.lit(True))
+    marked = _saying(sheets).withColumn("__fp", fp).join(known, "__fp", "left")
+    return marked.groupBy("sheet").agg(F.count_if("__k").alias("matched"), F.count_if(F.col("__k").isNull()).alias("unmatched"))
+
+
 def apply_outcomes(feedback: DataFrame, materials: DataFrame, tracker: DataFrame, status_map: Mapping[str, str] = STATUS_MAP) -> DataFrame:
     """``feedback`` with the outcome of its fingerprint's last sheet row; the tracker overrides the materials.
 
     Sheets have seq, company, title and status; blank and ``ready to apply`` say nothing.
     """
     sheets = materials.withColumn("__p", F.lit(0)).unionByName(tracker.withColumn("__p", F.lit(1)))
-    said = sheets.where(blank_to_null(F.col("status")).isNotNull() & (F.lower(py_strip(F.col("status"))) != "ready to apply"))
+    said = _saying(sheets)
     latest = said.groupBy(fingerprint(F.col("company"), F.col("title")).alias("__fp")).agg(F.max_by(map_values(F.col("status"), status_map), F.struct("__p", "seq")).alias("__o"))
     keyed = feedback.withColumn("__fp", fingerprint(F.col("company"), F.col("title")))
     return keyed.join(latest, "__fp", "left").withColumn("outcome", F.coalesce("__o", "outcome")).select(feedback.columns)
 
 
 def promote_applied(materials: DataFrame, tracker: DataFrame, as_of: datetime) -> DataFrame:
-    """Rows marked Applied that the tracker does not hold, once each, with the date and a follow-up a week later."""
+    """Tracker rows of ten columns for rows marked Applied that the tracker does not hold, once each, with the date and a follow-up a week later.
+
+    ``materials`` has seq, company, title, status and generated, and may have location, apply_link and confidence.
+    """
     fp = fingerprint(F.col("company"), F.col("title"))
     done = materials.where(F.col("status") == "Applied").withColumn("__fp", fp)
     fresh = _best(done, ["__fp"], [-F.col("seq")]).join(tracker.select(fp.alias("__fp")), "__fp", "left_anti")
     applied = F.coalesce(F.col("generated").cast("date"), F.lit(as_of).cast("date"))
-    return fresh.select("company", "title", applied.alias("date_applied"), F.date_add(applied, 7).alias("follow_up"), F.lit("No").alias("responded"))
+    given = lambda name: F.col(name) if name in materials.columns else F.lit(None)
+    text = lambda name: F.coalesce(given(name).cast("string"), F.lit("")).alias(name)
+    return fresh.select(
+        applied.alias("date_applied"), "company", "title", text("location"), text("apply_link"), F.lit("").alias("status"),
+        F.date_add(applied, 7).alias("follow_up"), F.lit("No").alias("follow_up_sent"), F.lit("").alias("notes"), given("confidence").cast("int").alias("confidence"),
+    )
 
 
 def add_columns(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
@@ -93,7 +121,7 @@ def applied_with_description(feedback: DataFrame, jobs: DataFrame, since: str, m
 
 
 def failed_only(scored: DataFrame, prefixes: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    failed = F.coalesce(F.col("reasoning").rlike("^(?:" + "|".join(prefixes) + ")"), F.lit(False))
+    failed = F.coalesce(F.col("reasoning").rlike("^(?:" + "|".join(map(quote, prefixes)) + ")"), F.lit(False))
     return scored.where(failed), scored.where(~failed)
 
 

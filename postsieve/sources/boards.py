@@ -6,9 +6,10 @@ gives the same columns; a payload that can't be read gives no row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,6 +99,23 @@ def union_sources(sources: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     return out
 
 
+def union_landed(sources: Sequence[tuple[str, Callable[[], DataFrame], str, Callable[[DataFrame], DataFrame]]]) -> tuple[DataFrame | None, list[tuple[str, DataFrame | str]]]:
+    """(rows of all sources, errors) of (name, raw rows, payload schema, normaliser): what one source can't read stops no other.
+
+    Raw rows come from a function; where it fails, the source has no rows and its error is the text.  Payloads that don't read under the schema are rows
+    of the source's errors (source, token, payload).  Rows carry ``source_ord``, their source's place in the list.
+    """
+    good, errors = [], []
+    for name, raw, schema, normalise in sources:
+        try:
+            read, broken = split_errors(raw(), schema)
+            good.append((name, normalise(read)))
+            errors.append((name, broken.select(F.lit(name).alias("source"), "token", "payload")))
+        except AnalysisException as e:
+            errors.append((name, f"{name}: {e.getCondition()}"))
+    return union_sources(good), errors
+
+
 def split_errors(raw: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows whose payload reads under ``schema``, the others), so that one broken payload stops nothing."""
     marked = raw.withColumn("__ok", F.from_json("payload", schema, {"mode": "PERMISSIVE"}).isNotNull() & F.try_parse_json("payload").isNotNull())
