@@ -18,8 +18,8 @@ VIEWS = {
           cast(floor(l_extendedprice * 0.8) as bigint) as salary_min, cast(floor(l_extendedprice) as bigint) as salary_max,
           case l_returnflag when 'A' then 'linkedin' when 'N' then 'greenhouse-' || lower(replace(p_brand, '#', '')) else 'hackernews' end as source,
           case when l_linenumber % 5 = 0 then null else l_shipdate end as posted_at
-        from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey
-        join documents d on d.doc_id = l_partkey % 200""",
+        from (select *, l_partkey % (select max(doc_id) + 1 from documents) as doc_key from lineitem) li
+        join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey left join documents d on d.doc_id = doc_key""",
     "f_requirements": """
         select seq, kind, n, lo, case kind when 0 then 'wants ' || cast(n as string) || '+ years' when 1 then 'at least ' || cast(n as string) || ' years'
           when 2 then cast(lo as string) || '-' || cast(n as string) || ' years of experience' when 3 then 'with over ' || cast(n as string) || ' years of experience'

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -46,9 +48,9 @@ def _latest(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def funnel_slice(s, d):
-    fresh, stale = dedup.split_fresh(_latest(s, d), AS_OF, HOURS, TRUSTED)
-    both = rules.rule_gate(fresh, GATE).select("stage").union(stale.select(F.lit("stale")))
-    return both.groupBy("stage").agg(F.count("*").alias("n"))
+    gated = rules.rule_gate(_latest(s, d), GATE)
+    stage = F.when(dedup.is_fresh(AS_OF, HOURS, TRUSTED), F.col("stage")).otherwise("stale")
+    return gated.groupBy(stage.alias("stage")).agg(F.count("*").alias("n"))
 
 
 @query
@@ -58,9 +60,9 @@ def dedup_prefer_fresh(s, d):
 
 @query
 def split_fresh(s, d):
-    rows = view(s, d, "f_postings").select("source", "posted_at")
+    rows = view(s, d, "f_postings").select("seq", "source", "posted_at")
     fresh, stale = dedup.split_fresh(rows, AS_OF, HOURS, TRUSTED)
-    return fresh.withColumn("fresh", F.lit(True)).union(stale.withColumn("fresh", F.lit(False))).groupBy("source", "fresh").agg(F.count("*").alias("n"))
+    return fresh.withColumn("fresh", F.lit(True)).union(stale.withColumn("fresh", F.lit(False))).select("seq", "source", "fresh")
 
 
 @query
@@ -73,7 +75,7 @@ def title_gate(s, d):
 
 @query
 def rule_gate(s, d):
-    return rules.rule_gate(view(s, d, "f_postings"), GATE).groupBy("stage", "reason").agg(F.count("*").alias("n"))
+    return rules.rule_gate(view(s, d, "f_postings"), GATE).select("seq", "stage", "reason")
 
 
 @query
@@ -89,8 +91,7 @@ def title_only_gate(s, d):
 
 @query
 def experience_stop(s, d):
-    rows = view(s, d, "f_requirements").withColumn("stop", rules.experience_stop(F.col("text"), 4))
-    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.count("stop").alias("stopped"))
+    return view(s, d, "f_requirements").select("seq", "kind", rules.experience_stop(F.col("text"), 4).alias("stop"))
 
 
 @query
@@ -117,7 +118,9 @@ def sponsor_stats(s, d):
 
 @query
 def funnel_counts(s, d):
-    return report.funnel(rules.rule_gate(_latest(s, d), GATE), AS_OF, HOURS, TRUSTED)
+    rows = rules.rule_gate(_latest(s, d), GATE).withColumn("verified", F.col("seq") % 3 != 1)
+    dropped = ~F.col("verified") & rules.droppable_source(F.col("source"), GATE)
+    return report.funnel(rows, AS_OF, HOURS, TRUSTED, dropped, F.when(F.col("seq") % 7 != 0, F.col("seq") % 5 + 1))
 
 
 # Scored rows
@@ -155,14 +158,15 @@ def score_breakdown(s, d):
 
 @query
 def daily_rows(s, d):
-    best = dedup.dedup_best_confidence(_scored(s, d))
-    return best.select(_fp(), T.salary_text(F.col("salary_min"), F.col("salary_max")).alias("salary"), D.humanize_age(F.col("posted_at"), F.lit(AS_OF)).alias("age"), T.sponsorship_label(F.when(F.col("seq") % 3 == 0, True).when(F.col("seq") % 3 == 1, False)).alias("sponsor"), F.array_join(T.cap_list(F.split("title", " "), 1), ", ").alias("signals"))
+    words = F.split("title", " ")
+    best = dedup.dedup_best_confidence(_scored(s, d)).withColumns({"url": F.concat(F.lit("https://p.example/"), "seq"), "reasoning": F.col("title"), "suggested_angle": F.lit(None).cast("string"), "risk_flags": words, "match_signals": T.cap_list(words, 1)})
+    return report.daily_rows(best.withColumn("verified", F.when(F.col("seq") % 3 == 0, True).when(F.col("seq") % 3 == 1, False)), AS_OF)
 
 
 @query
 def below_cutoff_audit(s, d):
-    best = dedup.dedup_best_confidence(_scored(s, d)).where("confidence < 3")
-    return best.select(_fp(), F.format_string("Confidence %d/5 (Daily needs 3+): %s", "confidence", "title").alias("reason"))
+    scored = _scored(s, d).withColumn("reasoning", F.col("title")).withColumn("url", F.concat(F.lit("https://p.example/"), "seq"))
+    return report.audit_sheet(report.below_cutoff(scored))
 
 
 @query
@@ -240,8 +244,10 @@ def failed_only(s, d):
 
 @query
 def stale_verdicts(s, d):
-    cache = view(s, d, "f_employers").select(F.lower(F.replace("company", F.lit("#"), F.lit(" "))).alias("company_key"), F.col("company").alias("company_raw"), (F.col("seq") % 2 == 0).alias("verified")).distinct()
-    return entity.stale_verdicts(cache, view(s, d, "f_employers").where("seq % 3 = 0"))
+    names = view(s, d, "f_employers").select("company", F.regexp_replace("brand", "#", " ").alias("b"), (F.col("seq") % 6).alias("kind"), (F.substring("brand", 7, 9).cast("int") % 2 == 1).alias("odd"))
+    key = F.lower(F.when(F.col("kind").isin(0, 2), F.concat("b", F.lit(" global services"))).otherwise(F.col("b")))
+    cache = names.select(key.alias("company_key"), F.col("company").alias("company_raw"), ((F.col("kind") == 5) & F.col("odd")).alias("verified")).distinct()
+    return entity.stale_verdicts(cache, view(s, d, "f_employers").where("seq % 4 < 3"))
 
 
 @query
@@ -265,10 +271,17 @@ def apply_outcomes(s, d):
     return state.apply_outcomes(feedback, materials, tracker).select("id", "outcome")
 
 
+@query
+def outcome_matches(s, d):
+    feedback, materials, tracker = _sheets(s, d)
+    return state.outcome_matches(feedback.where("company <> 'MACHINERY'"), materials, tracker)
+
+
 @query
 def promote_applied(s, d):
     _, materials, tracker = _sheets(s, d)
-    return state.promote_applied(materials.where("seq % 3 <> 0"), tracker.where("seq % 7 = 0"), AS_OF)
+    given = materials.where("seq % 5 <> 0").withColumn("location", F.lit("Remote")).withColumn("confidence", F.col("seq") % 5)
+    return state.promote_applied(given, tracker.where("company like 'B%'"), AS_OF)
 
 
 @query
@@ -355,27 +368,7 @@ def _lines(s, d):
 
 @query
 def section_weights(s, d):
-    return skills.section_weights(_lines(s, d)).groupBy("weight").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
-
-
-def _ascii_docs(s, d):
-    return table(s, d, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-
-
-@query
-def extract_skills(s, d):
-    return _ascii_docs(s, d).select("doc_id", F.array_join(F.sort_array(skills.extract_skills(F.col("text"), TEXT_LEXICON)), ",").alias("skills"))
-
-
-@query
-def count_skills(s, d):
-    return _ascii_docs(s, d).select("doc_id", F.explode(skills.count_skills(F.col("text"), TEXT_LEXICON)).alias("skill", "n"))
-
-
-@query
-def document_frequency(s, d):
-    df = skills.document_frequency(_ascii_docs(s, d), TEXT_LEXICON)
-    return df.join(skills.idf(df), "skill").select("skill", "df", "n_docs", F.round("idf", 9).alias("idf"))
+    return skills.section_weights(_lines(s, d)).select("doc_id", "pos", "weight")
 
 
 def _weights(s, d):
@@ -392,11 +385,7 @@ def posting_skill_weights(s, d):
 
 @query
 def diversified_topk(s, d):
-    docs, weights = _weights(s, d)
-    projects = s.createDataFrame([(p, p, kind, i) for i, (p, kind, _) in enumerate(POOL)], "id string, name string, kind string, pos int")
-    tags = s.createDataFrame([(p, k, v) for p, _, t in POOL for k, v in t.items()], "id string, skill string, depth double")
-    out = skills.diversified_topk(docs, weights, projects, tags)
-    return out.select("doc_id", F.array_join("picks", ",").alias("picks"), F.round("coverage", 6).alias("coverage"), F.array_join("uncovered", ",").alias("uncovered"))
+    return _picks(s, d).select("doc_id", F.array_join("picks", ",").alias("picks"), F.round("coverage", 6).alias("coverage"), F.array_join("uncovered", ",").alias("uncovered"))
 
 
 @query
@@ -407,16 +396,21 @@ def project_skill_join(s, d):
     return joined.groupBy("id", "skill").agg(F.count("*").alias("n"), F.round(F.sum(F.col("weight") * F.col("depth")), 6).alias("score"))
 
 
+def _picks(s, d):
+    docs, weights = _weights(s, d)
+    projects = s.createDataFrame([(p, p, kind, i) for i, (p, kind, _) in enumerate(POOL)], "id string, name string, kind string, pos int")
+    tags = s.createDataFrame([(p, k, v) for p, _, t in POOL for k, v in t.items()], "id string, skill string, depth double")
+    return skills.diversified_topk(docs, weights, projects, tags)
+
+
 @query
 def replay_summary(s, d):
-    picks = table(s, d, "orders").select(F.array(F.concat(F.lit("p"), F.col("o_orderkey") % 5), F.concat(F.lit("q"), F.col("o_custkey") % 3)).alias("picks"))
-    return skills.replay_summary(picks).withColumn("share", F.round("share", 9))
+    return skills.replay_summary(_picks(s, d)).withColumn("share", F.round("share", 9))
 
 
 @query
-def keyword_coverage(s, d):
-    share, missing = T.keyword_coverage(F.col("text"), F.array(F.lit("the"), F.lit(" rights "), F.lit("Apache"), F.lit("")))
-    return _ascii_docs(s, d).select("doc_id", F.round(share, 9).alias("share"), F.array_join(missing, ",").alias("missing"))
+def replay_overview(s, d):
+    return skills.replay_overview(_picks(s, d)).withColumn("share", F.round("share", 6))
 
 
 # Reports
@@ -466,7 +460,12 @@ def before_after(s, d):
 
 @query
 def outcome_counts(s, d):
-    return report.outcome_counts(view(s, d, "f_feedback"))
+    return report.order_outcomes(report.outcome_counts(view(s, d, "f_feedback")))
+
+
+@query
+def outcome_overall(s, d):
+    return report.outcome_overall(view(s, d, "f_feedback")).withColumns({c: F.round(c, 9) for c in ("callback_rate", "positive_rate")})
 
 
 @query
@@ -549,14 +548,21 @@ def slug_candidates(s, d):
 
 
 @query
-def sanitize_ascii(s, d):
-    return _ascii_docs(s, d).select("doc_id", F.md5(T.sanitize_ascii(F.concat(F.col("text"), F.lit(" > 5 & more , x <b> < $3")))).alias("digest"))
+def json_from_reply(s, d):
+    """Replies in a fence, amid text with brackets of its own, nested, with brackets and quotes inside strings, and without JSON that reads."""
+    shapes = [
+        F.concat(F.lit("said ```json\n"), "props", F.lit("\n``` end {")), F.concat(F.lit("see "), "props", F.lit(" and {\"k\": -1} ok")), F.lit("none"), F.concat(F.lit(" "), "props", F.lit("\n")),
+        F.concat(F.lit("x {\"k\": "), F.get_json_object("props", "$.k"), F.lit(", \"t\": \"} \\\" ]\", \"u\": {\"v\": [1]}} y]")), F.concat(F.lit("cut {\"k\": 1, \"t\": ["), "props"), F.concat(F.lit("{not json} "), "props"),
+    ]
+    reply = F.element_at(F.array(*shapes), (F.col("event_id") % len(shapes) + 1).cast("int"))
+    rows = table(s, d, "events").select("event_id", T.json_from_reply(reply).alias("json"))
+    return rows.select("event_id", F.from_json("json", "k bigint")["k"].alias("k"))
 
 
 @query
-def json_from_reply(s, d):
-    rows = table(s, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("said ```json\n"), "props", F.lit("\n``` end"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("see "), "props", F.lit(" ok"))).otherwise("none").alias("reply"))
-    return rows.select("event_id", F.from_json(T.json_from_reply(F.col("reply")), "k bigint")["k"].alias("k"))
+def detail_url(s, d):
+    shown = F.concat(F.lit("https://t"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 5 == 0, ".web").otherwise(".wd3"), F.lit(".myworkdayjobs.com"), F.when(F.col("page_id") % 2 == 0, "/en-US").otherwise(""), F.lit("/Site/job/a/b_1"))
+    return table(s, d, "pages").select("page_id", D.detail_url(shown).alias("url"))
 
 
 @query
@@ -584,12 +590,20 @@ def discover_tenants(s, d):
     return registry.discover_tenants(table(s, d, "pages").select(F.col("page_id").alias("seq"), "url")).select("tenant", "server")
 
 
-@query
-def merge_candidates(s, d):
+def _candidates(s, d):
     pages = table(s, d, "pages").select("page_id", D.extract_tenant(F.col("url")).alias("t")).select("page_id", "t.tenant", "t.server")
     old = pages.where("page_id % 2 = 0 and tenant is not null").groupBy("tenant").agg(F.min("server").alias("server")).withColumn("first_seen", F.lit(date(2024, 1, 1))).withColumn("last_seen", F.lit(date(2024, 1, 2))).withColumn("n_seen", F.lit(3)).withColumn("promotion_attempts", F.lit(1))
-    none = pages.limit(0)
-    return registry.merge_candidates(old, pages.where("page_id % 3 = 0"), none, pages.where("page_id = 1"), date(2024, 2, 1))
+    return old, pages.where("page_id % 3 = 0"), pages.limit(0), pages.where("page_id = 1")
+
+
+@query
+def merge_candidates(s, d):
+    return registry.merge_candidates(*_candidates(s, d), date(2024, 2, 1))
+
+
+@query
+def candidate_counts(s, d):
+    return registry.candidate_counts(*_candidates(s, d))
 
 
 @query
@@ -611,7 +625,8 @@ def domain_hits(s, d):
 @query
 def best_board(s, d):
     hits = table(s, d, "part").select(F.col("p_type").alias("kind"), F.col("p_name").alias("name"), F.col("p_brand").alias("token"), F.col("p_size").alias("total"), (F.col("p_partkey") % 11).alias("relevant"), F.col("p_partkey").alias("seq"))
-    return dedup.best_board(hits).select("kind", "token", "relevant", "total", "seq")
+    registered = table(s, d, "part").where("p_size = 7").select(F.col("p_type").alias("kind"), F.upper("p_brand").alias("token")).distinct()
+    return dedup.best_board(hits, registered).select("kind", "token", "relevant", "total", "seq")
 
 
 @query
@@ -676,6 +691,65 @@ def relative_feed(s, d):
     return boards.normalize_workday(raw, AS_OF, 48).groupBy("source", "location", "posted_at").agg(F.count("*").alias("n"))
 
 
+def _one_payload(parts, item, wrap):
+    return parts.groupBy(F.col("p_brand").alias("token")).agg(F.to_json(wrap(F.collect_list(item))).alias("payload")).withColumn("name", F.lit(None).cast("string"))
+
+
+@query
+def ashby_feed(s, d):
+    item = F.struct(F.col("p_name").alias("title"), F.col("p_type").alias("location"), F.when(F.col("p_size") % 2 == 0, " ").otherwise(F.col("p_type")).alias("descriptionPlain"), F.concat(F.lit("<p>"), "p_name", F.lit("</p>")).alias("descriptionHtml"), F.lit("https://a.example/x").alias("applyUrl"), F.when(F.col("p_size") % 3 == 0, "soon").otherwise("2000-01-02").alias("publishedAt"), F.lit("2000-03-04T05:06:07Z").alias("updatedAt"))
+    rows = boards.normalize_ashby(_one_payload(table(s, d, "part"), item, lambda x: F.struct(x.alias("jobs"))))
+    return rows.groupBy("title", "company", "location", "description", "url", "source", "posted_at").agg(F.count("*").alias("n"))
+
+
+@query
+def remote_feed(s, d):
+    item = F.struct(F.when(F.col("p_size") % 7 != 0, F.col("p_name")).alias("position"), F.col("p_brand").alias("company"), F.when(F.col("p_size") % 2 == 0, "").otherwise("Lima").alias("location"), F.concat(F.lit("<b>"), "p_type", F.lit("</b>")).alias("description"), F.when(F.col("p_size") % 3 == 0, 0).otherwise(F.col("p_size")).alias("salary_min"), F.lit(946782245).alias("epoch"))
+    rows = boards.normalize_remoteok(_one_payload(table(s, d, "part"), item, lambda x: x))
+    return rows.groupBy("title", "company", "location", "description", "salary_min", "salary_max", "source", "posted_at").agg(F.count("*").alias("n"))
+
+
+@query
+def union_landed(s, d):
+    """Two feeds, one with payloads that don't read and one that isn't there: rows by source, and the errors."""
+    item = F.struct(F.col("p_name").alias("title"), F.col("p_type").alias("location"))
+    raw = _one_payload(table(s, d, "part"), item, lambda x: F.struct(x.alias("jobs")))
+    broken = raw.withColumn("payload", F.when(F.col("token").endswith("1"), F.substring("payload", 1, 40)).otherwise(F.col("payload")))
+    schema = "jobs array<struct<title: string>>"
+    rows, errors = boards.union_landed([("ashby", lambda: broken, schema, boards.normalize_ashby), ("gone", lambda: table(s, d, "no_such_feed"), schema, boards.normalize_ashby), ("again", lambda: raw, schema, boards.normalize_ashby)])
+    failed = [e.groupBy("source").agg(F.count("*").alias("n")).select("source", F.lit("payload").alias("kind"), "n") for _, e in errors if not isinstance(e, str)]
+    out = rows.groupBy("source_ord").agg(F.count("*").alias("n")).select(F.col("source_ord").cast("string").alias("source"), F.lit("rows").alias("kind"), "n")
+    for df in failed:
+        out = out.union(df)
+    return out.union(s.range(1).select(F.lit("gone"), F.lit("source"), F.lit(sum(isinstance(e, str) for _, e in errors)).cast("long")))
+
+
+@query
+def filer_index(s, d):
+    """The index written as text and read back."""
+    path = _shared(s, "filers")
+    filings.write_filer_index(entity.distinct_filers(view(s, d, "f_filers")), path, date(2024, 1, 1), ["a", "b"])
+    return filings.read_filer_index(s, path)
+
+
+@query
+def outcome_log(s, d):
+    """A log of outcomes as CSV, read back."""
+    path = _shared(s, "log")
+    view(s, d, "f_feedback").select("id", "title", "outcome").write.csv(path, header=True)
+    return filings.read_outcome_log(s, path).select(F.col("id").cast("long").alias("id"), "title", "outcome")
+
+
+@query
+def audit_table(s, d):
+    """Audit rows appended by run date in two runs, read back."""
+    path = _shared(s, "audit")
+    gated = rules.rule_gate(view(s, d, "f_postings"), GATE).where("stage <> 'stage1_pass'")
+    for day in (date(2000, 12, 2), date(2000, 12, 3)):
+        state.append_audit(state.audit_rows(gated.where(f"seq % 2 = {day.day % 2}"), datetime(day.year, day.month, day.day), F.lit("REJECT")), path)
+    return s.read.parquet(path).groupBy("job_fingerprint", "stage", "run_date").agg(F.count("*").alias("n"), F.count("confidence").alias("n_confidence"))
+
+
 @query
 def scraped_table(s, d):
     rows = table(s, d, "customer").select(F.when(F.col("c_custkey") % 5 == 0, " ").otherwise(F.col("c_name")).alias("title"), F.col("c_mktsegment").alias("company"), F.when(F.col("c_custkey") % 2 == 0, "nan").otherwise("x").alias("location"), F.lit("").alias("description"), F.col("c_acctbal").alias("salary_min"), F.when(F.col("c_custkey") % 3 == 0, float("nan")).otherwise(F.col("c_acctbal")).alias("salary_max"), F.lit(None).cast("string").alias("url"), F.lit("2000-01-02").alias("posted_at"))
@@ -708,14 +782,20 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _shared(s: SparkSession, name: str) -> str:
+    """A new folder in the one that ``spark.checkpoint.dir`` names; on one machine without that setting, a temporary folder."""
+    home = s.conf.get("spark.checkpoint.dir", None)
+    if not home:
+        if not s.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        home = "file://" + tempfile.mkdtemp(prefix="postsieve-")
+    return f"{home.rstrip('/')}/postsieve/{name}-{uuid.uuid4().hex}"
+
+
 def _to_table(stream: DataFrame, name: str) -> DataFrame:
     """What an available-now run of the stream appends."""
-    import tempfile
-    import uuid
-
     s = stream.sparkSession
-    home = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="postsieve-stream-")
-    path = f"{home}/postsieve/stream-{name}-{uuid.uuid4().hex}"
+    path = _shared(s, f"stream-{name}")
     stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start(f"{path}/rows").awaitTermination()
     return s.read.schema(stream.schema).parquet(f"{path}/rows")
 
@@ -728,12 +808,8 @@ def stream_first_seen(s, d):
 
 def _to_whole_table(stream: DataFrame, name: str) -> DataFrame:
     """What an available-now run of the stream's aggregate comes to with all windows, open ones too."""
-    import tempfile
-    import uuid
-
     s = stream.sparkSession
-    home = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="postsieve-stream-")
-    path = f"{home}/postsieve/stream-{name}-{uuid.uuid4().hex}"
+    path = _shared(s, f"stream-{name}")
     last = []
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -751,11 +827,6 @@ def _stage_counts(s, d):
 
 @query
 def stream_stage_counts(s, d):
-    return _to_table(_stage_counts(s, d), "counts").where("day < '2024-01-20'")
-
-
-@query
-def stream_stage_counts_full(s, d):
     return _to_whole_table(_stage_counts(s, d), "counts")
 
 
@@ -766,12 +837,25 @@ def _usage_windows(s, d):
 
 @query
 def stream_usage(s, d):
-    return _to_table(_usage_windows(s, d), "usage").where("start < '2024-01-18'")
+    return _to_whole_table(_usage_windows(s, d), "usage")
 
 
 @query
-def stream_usage_full(s, d):
-    return _to_whole_table(_usage_windows(s, d), "usage")
+def stream_split_fresh(s, d):
+    """Fresh and stale rows of a stream in tables of their own."""
+    path = _shared(s, "split")
+    rows = _stream(s, d).select("event_id", F.when(F.col("event_type") != "view", F.col("ts")).alias("posted_at"), F.when(F.col("user_id") % 2 == 0, "linkedin").otherwise("other").alias("source"))
+    write = flows.split_fresh_to(EVENTS_AS_OF, 24 * 7, TRUSTED, f"{path}/fresh", f"{path}/stale")
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    read = lambda side: s.read.schema("event_id long").parquet(f"{path}/{side}/batch=*").select("event_id", F.lit(side == "fresh").alias("fresh"))
+    return read("fresh").union(read("stale"))
+
+
+@query
+def stream_verdict_ttl(s, d):
+    """The changes of what is known of a key, from verdicts that never differ and are at most 29 days old: the first of each."""
+    rows = _stream(s, d).where("ts < '2024-01-30'").select(F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("company_key"), F.lit(True).alias("verified"), "ts")
+    return _to_table(flows.verdict_ttl(rows), "verdicts")
 
 
 # The text operators over whole documents, whatever their language and characters
@@ -781,27 +865,38 @@ WHOLE_LEXICON = {n: rf"(?<![\p{{L}}\p{{N}}_]){n}(?![\p{{L}}\p{{N}}_])" for n in
 
 
 @query
-def extract_skills_full(s, d):
+def extract_skills(s, d):
     return table(s, d, "documents").select("doc_id", F.array_join(F.sort_array(skills.extract_skills(F.col("text"), WHOLE_LEXICON)), ",").alias("skills"))
 
 
 @query
-def count_skills_full(s, d):
+def count_skills(s, d):
     return table(s, d, "documents").select("doc_id", F.explode(skills.count_skills(F.col("text"), WHOLE_LEXICON)).alias("skill", "n"))
 
 
 @query
-def document_frequency_full(s, d):
+def document_frequency(s, d):
     df = skills.document_frequency(table(s, d, "documents"), WHOLE_LEXICON)
     return df.join(skills.idf(df), "skill").select("skill", "df", "n_docs", F.round("idf", 9).alias("idf"))
 
 
 @query
-def keyword_coverage_full(s, d):
+def keyword_coverage(s, d):
     share, missing = T.keyword_coverage(F.coalesce("text", F.lit("")), F.array(F.lit("the"), F.lit(" rights "), F.lit("Apache"), F.lit("")))
     return table(s, d, "documents").select("doc_id", F.round(share, 9).alias("share"), F.array_join(missing, ",").alias("missing"))
 
 
+@query
+def sanitize_ascii(s, d):
+    marked = F.concat("text", F.lit(" \u2014 \u201cq\u201d at least  2 \u2265 5 \ufb01n \u2026 > 5 & more , x <b> < $3"))
+    return table(s, d, "documents").select("doc_id", F.md5(T.sanitize_ascii(marked)).alias("digest"))
+
+
 @query
 def sanitize_ascii_full(s, d):
     return table(s, d, "documents").select("doc_id", F.md5(T.sanitize_ascii(F.col("text"))).alias("digest"))
+
+
+# Earlier names of the queries over whole tables.
+for _name in ("extract_skills", "count_skills", "document_frequency", "keyword_coverage", "stream_stage_counts", "stream_usage"):
+    QUERIES[f"{_name}_full"] = QUERIES[_name]

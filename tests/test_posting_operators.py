@@ -210,3 +210,53 @@ def test_reports(spark):
     assert [(r.confidence, r.n) for r in report.score_breakdown(spark.createDataFrame([(5,), (None,)], "confidence int")).orderBy("confidence").collect()] == [(None, 1), (1, 0), (2, 0), (3, 0), (4, 0), (5, 1)]
     picks = spark.createDataFrame([(["p", "q"],), (["p"],)], "picks array<string>")
     assert {r.id: (r.n_picked, r.n_first, r.share) for r in skills.replay_summary(picks).collect()} == {"p": (2, 2, 1.0), "q": (1, 0, 0.5)}
+
+
+def test_first_balanced_json(spark):
+    from postsieve.functions import text as T
+
+    cases = [
+        ('{"a": 1}', '{"a": 1}'), ('a {"a":1} and {"b":2} end', '{"a":1}'), ('```json\n{"a": [1, 2]}\n```', '{"a": [1, 2]}'), ('x ```\n[1]\n``` {"b": 1}', "[1]"),
+        ('see {"t": "} \\" ]", "u": {"v": []}} }', '{"t": "} \\" ]", "u": {"v": []}}'), ("[1, [2]] x", "[1, [2]]"), ("{cut", None), ("{bad} {\"a\": 1}", None), ("none", None), ("", None), (None, None), ("```json\n```", None), ('é {"k": "ü😀{"} z', '{"k": "ü😀{"}'),
+    ]
+    found = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, c string").select("i", T.json_from_reply(F.col("c")).alias("j")).collect()
+    assert {r.i: r.j for r in found} == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_detail_url(spark):
+    from postsieve.functions import dates as D
+
+    cases = {
+        "https://acme.wd5.myworkdayjobs.com/Jobs/job/Lima/Dev_R1": "https://acme.wd5.myworkdayjobs.com/wday/cxs/acme/Jobs/job/Lima/Dev_R1",
+        "https://acme.wd12.myworkdayjobs.com/en-US/Jobs/job/x": "https://acme.wd12.myworkdayjobs.com/wday/cxs/acme/Jobs/job/x",
+        "https://acme.wd12.myworkdayjobs.com/EN-gb/Jobs/job/x": "https://acme.wd12.myworkdayjobs.com/wday/cxs/acme/Jobs/job/x",
+        "https://acme.example.com/Jobs/job/x": None, "https://acme.wd5.myworkdayjobs.com/Jobs": None, "": None,
+    }
+    found = spark.createDataFrame([(u,) for u in cases], "u string").select("u", D.detail_url(F.col("u")).alias("d")).collect()
+    assert {r.u: r.d for r in found} == cases
+
+
+def test_blank_descriptions_agree_in_gate_and_funnel(spark):
+    from datetime import datetime
+
+    from postsieve.operators import report, rules
+
+    rows = [("widget", "a", "x", d, None, "linkedin", None) for d in ("\n \t\n", "\u00a0\u2003", "", None, "text", " \n y")]
+    df = spark.createDataFrame(rows, "title string, company string, location string, description string, salary_max long, source string, posted_at timestamp")
+    gated = rules.rule_gate(df, rules.GateConfig(domain_words=("widget",)))
+    assert gated.where("stage = 'stage1_no_desc'").count() == 4
+    row = report.funnel(gated, datetime(2000, 1, 1), 24, ("linkedin",)).first()
+    assert (row.with_description, row.without_description, row.passed, row.written, row.below_cutoff, row.sponsor_dropped) == (2, 4, 2, 2, 0, 0)
+
+
+def test_batches_do_not_depend_on_the_parts(spark, monkeypatch):
+    from postsieve.operators import reconcile
+
+    df = spark.createDataFrame([(i * i, "a" if i % 3 else None, "d" * 9) for i in range(60)], "seq long, source string, description string")
+    found = []
+    for parts in (1, 7, 4096):
+        monkeypatch.setattr(reconcile, "PARTS", parts)
+        found.append(sorted((r.seq, r.batch_no, r.idx) for r in reconcile.batch_index(df, 4, chars=5).collect()))
+    assert found[0] == found[1] == found[2]
+    assert [x for x in found[0] if x[0] % 9 == 0] == [((3 * i) ** 2, i // 4, i % 4) for i in range(20)]
+    assert reconcile.batch_index(df.limit(0)).count() == 0
