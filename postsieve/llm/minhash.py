@@ -40,6 +40,8 @@ from .store import written
 SKETCH_BITS, SKETCHED = 40, 32
 #: Points of a bucket up to which all its pairs are tested; those of larger ones meet by rare shingles.
 CROWDED = 64
+#: Counts by which shingles are ordered from rare to frequent.
+CELLS = 1 << 18
 #: Points of one rare shingle that a task pairs with as many others.
 BLOCK = 2_000
 
@@ -125,20 +127,58 @@ def _similar(a: Column, b: Column, percent: int) -> Column:
     return let(F.size(F.array_intersect(a, b)).cast("long"), lambda s: 100 * s >= percent * (F.size(a) + F.size(b) - s))
 
 
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of the sets that a task has read fall in each cell of the table of frequencies."""
+    total = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        total += np.bincount(_cells(batch.column(0).flatten().to_numpy()), minlength=CELLS)
+    seen = np.flatnonzero(total)
+    if len(seen):
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["cell", "c"])
+
+
+def _cells(shingles: np.ndarray) -> np.ndarray:
+    return (shingles.view(np.uint64) % np.uint64(CELLS)).astype(np.int64)
+
+
+def _prefixes(shared, percent: int):
+    """The rows of a point (id, n, s1, s2, component, shingles) for the shingles of its prefix that other sets may have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            lists, row, found, place = batch.column("shingles"), [], [], []
+            values, offsets = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            for i, (x, y) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+                own, n = values[x:y], int(y - x)
+                counts = table[_cells(own)]
+                at = np.lexsort((own, counts))[: n - -(-percent * n // 100) + 1]
+                kept = np.flatnonzero(counts[at] > 1)  # in a cell of its own a shingle is alone
+                row.append(np.full(len(kept), i))
+                found.append(own[at[kept]])
+                place.append(kept)
+            if row:
+                taken = batch.select(["id", "n", "s1", "s2", "component"]).take(pa.array(np.concatenate(row)))
+                n, k = taken.column("n").to_numpy(), np.concatenate(place)
+                short = k <= n - -(-2 * percent * n // (100 + percent))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.concatenate(found), pa.int64()), pa.array(k, pa.int64()), pa.array(short)], [*taken.schema.names, "shingle", "place", "short"])
+
+    return run
+
+
 def _rare_shingles(pool: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows of ``pool`` (id, n, ...) once per shingle of its prefix: shingle, place (from 0, rarest first) and short.
+    """The rows of ``pool`` (id, n, s1, s2, component) once per shingle of its prefix: shingle, place (from 0, rarest first) and short.
 
-    Sets that are similar enough have their first common shingle inside the prefix of both, and where ``short`` holds in the smaller one.
+    Sets that are similar enough have their first common shingle, in any order that all sets keep, inside the prefix of both, and where ``short`` holds in the
+    smaller one.  The order is by how many shingles share a cell of a table of ``CELLS`` counts, then by hash: the table is of fixed size, so that no shingle is joined to
+    its count.
     """
-    each = written(sets.join(pool.select("id"), "id").select("id", F.explode("shingles").alias("shingle")), "each")
-    shared = each.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").withColumn("m", F.col("c"))
-    counted = join_hot(each, shared, ["shingle"], count="m", total=each.count(), spread=["id"])
-    ranked = counted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "shingle"))).alias("l"))
-    ranked = pool.join(ranked, "id").withColumn("alone", F.col("n") - F.size("l"))  # shingles that no other set has come first
-    reach = F.expr(f"n - ({percent} * n + 99) div 100 + 1 - alone").cast("int")
-    placed = ranked.select(*pool.columns, "alone", F.posexplode(F.slice("l", F.lit(1), F.greatest(reach, F.lit(0)))).alias("k", "s"))
-    placed = placed.select(*pool.columns, F.col("s.shingle").alias("shingle"), (F.col("alone") + F.col("k")).alias("place"))
-    return placed.withColumn("short", F.expr(f"place <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent}"))
+    found = written(pool.join(sets, "id"), "pool")
+    counts = found.select("shingles").mapInArrow(_frequencies, "cell int, c long").groupBy("cell").agg(F.sum("c").alias("c")).toPandas()  # at most CELLS rows
+    table = np.zeros(CELLS, np.int64)
+    table[counts["cell"]] = counts["c"]
+    shared = pool.sparkSession.sparkContext.broadcast(table)
+    return found.mapInArrow(_prefixes(shared, percent), "id long, n long, s1 long, s2 long, component long, shingle long, place long, short boolean")
 
 
 def _meetings(rare: DataFrame, percent: int, block: int) -> DataFrame:
