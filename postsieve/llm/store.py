@@ -12,6 +12,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; where that is unset (tests on one machine), a temporary folder that becomes it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="postsieve-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
