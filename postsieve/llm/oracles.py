@@ -59,4 +59,54 @@ select doc_id, cast(size as bigint) as size, source_size, target, cast(size * ta
 from reached
 """
 
-ORACLES: dict[str, str] = {"op4_line_dedup": _LINES, "op8_minhash": _NEAR, "op10_mixing": _MIX}
+
+#: crc32 of a column of ASCII texts, from a one-row table ``crc`` of 256 remainders.
+_CRC = """crc as (select list(list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as tab from range(256) as t(i))"""
+_CRC_OF = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length({0}) + 1), lambda i: ascii(substr({0}, i, 1))::bigint)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])))"
+
+_REPAIR = f"""
+with recursive {_CRC}, hits as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {_CRC_OF.format("(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))")} % 20 as hit from conversations, crc
+), damaged as (
+  select conv_id, turn, case when hit = 4 then 'user' else role end as role, case hit when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(case when hit = 3 then [0, 1] else [0] end) as copy from hits where hit <> 0
+), placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, md5(length(role) || ':' || role || text), copy) as i from damaged
+), judged as (
+  select *, trim(text, ' \t\n\x0b\x0c\r') as body, row_number() over (partition by conv_id, role, text order by i) > 1 as again, lag(role) over (partition by conv_id order by i) as before from placed
+), flags as (
+  select *, substr(role, 1, 1) as letter, body = '' as blank, body <> '' and again as duplicate, body <> '' and not again and right(body, 1) not in ('.', '!', '?') as truncated from judged
+), facts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count_if(blank) as blank, count_if(duplicate) as duplicate, count_if(truncated) as truncated,
+    count_if(before is not null and substr(before, 1, 1) || letter not in ('su', 'ua', 'au')) as illegal, max(i) as n from flags group by conv_id
+), steps as (  -- state: 0 nothing yet, 1 behind a system, 2 user, 3 assistant row; inserts of up to two rows
+  select * from (values (0, 0, '', 0), (0, 2, 'I', 3), (0, 3, 'II', 6), (1, 1, '', 0), (1, 2, 'I', 3), (1, 3, 'II', 6), (2, 2, '', 0), (2, 3, 'I', 3), (3, 3, '', 0), (3, 2, 'I', 3)) as t(a, b, ins, paid)
+), reached as (
+  select conv_id, 0::bigint as i, b as state, paid as cost, ins as audit from facts, steps where a = 0
+  union all
+  select conv_id, i, state, b.c as cost, b.a as audit from (
+    select r.conv_id, r.i + 1 as i, s.b as state, min({{'c': r.cost + e.paid + s.paid, 'a': r.audit || e.edit || s.ins}}) as b
+    from reached r join flags f on f.conv_id is not distinct from r.conv_id and f.i = r.i + 1, lateral (
+      select r.state as "to", 4 as paid, 'D' as edit
+      union all select case letter when 's' then 1 when 'u' then 2 else 3 end, case when truncated then 3 else 0 end, 'K' where not blank and not duplicate and ((r.state = 0 and letter in ('s', 'u')) or (r.state in (1, 3) and letter = 'u') or (r.state = 2 and letter = 'a'))
+      union all select case when r.state = 2 then 3 else 2 end, case when truncated then 6 else 3 end, 'R' where not blank and not duplicate
+    ) e join steps s on s.a = e."to" group by r.conv_id, r.i, s.b
+  )
+), best as (
+  select f.conv_id, min({{'c': r.cost, 'a': r.audit}}) as b from facts f join reached r on r.conv_id is not distinct from f.conv_id and r.i = f.n where r.state in (0, 3) group by f.conv_id
+), solved as (select conv_id, b.c::bigint as cost, b.a as audit from best
+), edits as (
+  select conv_id, k, substr(audit, k, 1) as edit, count(*) filter (substr(audit, k, 1) <> 'I') over (partition by conv_id order by k) as i from (select conv_id, audit, unnest(range(1, length(audit) + 1)) as k from solved)
+), kept as (
+  select e.conv_id, e.k, e.edit, f.role, case when e.edit = 'I' then '' else f.text end as text, row_number() over (partition by e.conv_id order by e.k) as place,
+    max(case when e.edit = 'K' and f.letter = 's' then 1 else 0 end) over (partition by e.conv_id) as led
+  from edits e left join flags f on f.conv_id is not distinct from e.conv_id and f.i = e.i where e.edit <> 'D'
+), lines as (
+  select conv_id, sha256(string_agg(case when edit = 'K' then role when (place - led) % 2 = 1 then 'user' else 'assistant' end || ':' || text, chr(10) order by place)) as sha from kept group by conv_id
+)
+select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(cost, 0) as cost, coalesce(audit, '') as audit, coalesce(sha, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join facts f on f.conv_id is not distinct from c.conv_id left join solved s on s.conv_id is not distinct from c.conv_id left join lines l on l.conv_id is not distinct from c.conv_id
+"""
+
+ORACLES: dict[str, str] = {"op4_line_dedup": _LINES, "op8_minhash": _NEAR, "op10_mixing": _MIX, "op13_conversation_repair": _REPAIR}
