@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import beside_text
 from .store import written
 from .wordhash import text_slices
 
@@ -30,6 +31,8 @@ ORDER = 4
 #: Distinct labelled texts of one language that a model is fitted on, at most; and the share of them kept for calibration.
 SAMPLE_PER_LANG = 1500
 CALIBRATION_SHARE = 0.25
+#: Texts of a language that are learned from before any is kept back.
+LEAST_LEARNED = 5
 #: A text is rejected if its cross-entropy lies further above its language's mean than this times the furthest calibration
 #: text of at least ``STEADY`` characters, and more than halfway to chance; shorter texts have 4 standard deviations more.
 REJECT_SLACK = 1.5
@@ -246,7 +249,8 @@ def _predictions(shared):
 def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> LanguageModels:
     """Models of the languages of ``labelled``, from at most ``per_lang`` distinct texts of each, those of the least hashes.
 
-    Rows with a null text or language are left out.  Without rows there is no language, and ``predict`` rejects all.
+    Rows with a null text or language are left out; every other language with a character in its texts is learned.  Texts are kept back for calibration
+    only of languages that have ``LEAST_LEARNED`` others.  Without rows there is no language, and ``predict`` rejects all.
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     rows = rows.withColumn("h", F.xxhash64("text"))
@@ -258,14 +262,15 @@ def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     drawn = F.pmod("h", F.lit(1 << 40)) / float(1 << 40)
     first = Window.partitionBy("lang").orderBy("u", "h")
     sample = rows.withColumn("u", drawn).where(F.col("u") < share[F.col("lang")]).dropDuplicates(["lang", "h"]).withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_lang)
-    sample = written(sample.select("lang", "text", "h"), "sample")
-    kept_back = F.pmod(F.xxhash64("h"), F.lit(1000)) < int(CALIBRATION_SHARE * 1000)
-    counted = sample.where(~kept_back | (F.lit(sum(sizes.values())) < 40)).select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
+    drawn_back = F.pmod(F.xxhash64("h"), F.lit(1000)) < int(CALIBRATION_SHARE * 1000)
+    others = F.count_if(~drawn_back).over(Window.partitionBy("lang"))  # at most per_lang rows
+    sample = written(sample.select("lang", "text", (drawn_back & (others >= LEAST_LEARNED)).alias("back")), "sample")
+    counted = sample.where("not back").select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
     table = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # bounded by the sample
     langs, codes, n = table.column("lang").to_pandas().to_numpy(), table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
     models = LanguageModels({sys.intern(lang): (codes[langs == lang], n[langs == lang]) for lang in set(langs)})
     spark = labelled.sparkSession
-    held = sample.where(kept_back).select("lang", "text").mapInArrow(_entropies(spark.sparkContext.broadcast(models)), "lang string, entropy array<double>, n long").toArrow()
+    held = sample.where("back").select("lang", "text").mapInArrow(_entropies(spark.sparkContext.broadcast(models)), "lang string, entropy array<double>, n long").toArrow()
     known = [i for i, lang in enumerate(held.column("lang").to_pylist()) if lang in models.langs]
     if known:
         entropy = np.array([held.column("entropy")[i].as_py() for i in known])
@@ -276,10 +281,11 @@ def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
 def predict(docs: DataFrame, models: LanguageModels, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of each row (all but the text if None), with lang_pred, score (0 to 1), cross_entropy (nats per character) and rejected.
 
-    A null text, or one without a letter, is ``und`` with score 0 and rejected.  Texts may be of any length.
+    A null text, or one without a letter, is ``und`` with score 0 and rejected.  Texts may be of any length.  Kept columns can't be named like an output.
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    given = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]), "lang_pred string, score double, cross_entropy double, rejected boolean"])
-    return given.mapInArrow(_predictions(shared), schema)
+    outputs = {"lang_pred": "string", "score": "double", "cross_entropy": "double", "rejected": "boolean"}
+    given = beside_text(docs, keep, text_col, outputs)
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields[:-1]), *(f"{k} {v}" for k, v in outputs.items())])
+    return given.mapInArrow(_predictions(shared), schema).toDF(*keep, *outputs)

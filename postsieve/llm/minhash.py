@@ -89,19 +89,24 @@ def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values, pa.int64()))
 
 
+def _contents(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Size and 128 bits of hash of each set: equal for equal sets, and only for those."""
+    mixed = [wordhash.mix(s) for s in sets]
+    sums = np.array([s.sum(dtype=np.uint64) for s in mixed], np.uint64).view(np.int64)
+    parities = np.array([np.bitwise_xor.reduce(s, initial=np.uint64(0)) for s in mixed], np.uint64).view(np.int64)
+    return [pa.array([len(s) for s in sets], pa.int64()), pa.array(sums), pa.array(parities)]
+
+
 def _profile(shingle: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in wordhash.text_slices(batch.column(1)):
                 sets = list(wordhash.shingle_sets(*wordhash.word_hashes(data, offsets), shingle))
                 hashes, sketch = _signatures(sets, bands, rows)
-                mixed = [wordhash.mix(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(np.array([s.sum(dtype=np.uint64) for s in mixed], np.uint64).view(np.int64)),
-                        pa.array(np.array([np.bitwise_xor.reduce(s, initial=np.uint64(0)) for s in mixed], np.uint64).view(np.int64)),
+                        *_contents(sets),
                         _lists(hashes.ravel(), np.full(b - a, bands)),
                         pa.array(sketch[:, 0]),
                         pa.array(sketch[:, 1]),
@@ -118,7 +123,7 @@ def _sets(shingle: int):
             for a, b, data, offsets in wordhash.text_slices(batch.column(1)):
                 sets = list(wordhash.shingle_sets(*wordhash.word_hashes(data, offsets), shingle))
                 values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _lists(values.view(np.int64), np.array([len(s) for s in sets]))], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *_contents(sets), _lists(values.view(np.int64), np.array([len(s) for s in sets]))], ["first", "n_shingles", "c1", "c2", "shingles"])
 
     return run
 
@@ -201,7 +206,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Two documents are linked if ``100 * |A & B| >= percent * |A | B|`` for their sets of distinct ``shingle``-word
     sequences, over ASCII-lower-cased words ``[^\\x20\\x09-\\x0D]+``.  A text of fewer words is one shingle.
     A null or blank text has no shingle and no link.  A row with a null id has no link either: its component_id is
-    null and it is kept.  Rows that repeat an id get the same component.  Other columns are not read.
+    null and it is kept.  Rows that repeat an id are one document, which links wherever one of its texts does.  Other columns are not read.
     Ids are whole numbers; an id that does not read as one raises CAST_INVALID_INPUT.
     ``crowded`` and ``block`` change the work, not the result.
     """
@@ -210,16 +215,31 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     linkable = profile.where("id is not null and n_shingles > 0")
     content = ["c1", "c2", "n_shingles"]
-    classes = linkable.groupBy(*content).agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    member = written(join_hot(linkable.select("id", *content), classes, content, count="copies", total=profile.count(), spread=["id"]).select("id", "rep").distinct(), "members")
-    points = written(linkable.join(member.where("id = rep").select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "n_shingles", "bands", "s1", "s2"), "points")
+    # A point is a class of rows with equal sets, whose first id stands for it; it has a number of its own, as one id may stand for several.
+    classes = linkable.groupBy(*content).agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+    classes = written(classes.withColumn("point", F.monotonically_increasing_id()), "classes")
+    n_rows = profile.count()
+    member = written(join_hot(linkable.select("id", *content), classes.drop("first"), content, count="copies", total=n_rows, spread=["id"]).select("id", "point").distinct(), "members")
+    one_row = [*content, "first"]
+    firsts = linkable.withColumnRenamed("id", "first").join(classes, one_row).dropDuplicates(one_row)
+    points = written(firsts.select(F.col("point").alias("id"), "n_shingles", "bands", "s1", "s2"), "points")
+    texts_of = member.groupBy("id").agg(F.min("point").alias("u"), F.max("point").alias("w"), F.count("*").alias("n")).where("u < w").drop("w")
+    same = written(join_hot(member, texts_of, ["id"], count="n", total=n_rows, spread=["point"]).where("u <> point").select("u", F.col("point").alias("v")), "same")
 
     met = points.select("id", F.explode("bands").alias("bucket"))
     shared = met.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("others")).where("least < most").select("bucket", "others", F.col("others").alias("m"))
     met = written(join_hot(met, shared, ["bucket"], count="m", total=bands * points.count(), spread=["id"]), "buckets")
     facts = points.select("id", F.col("n_shingles").alias("n"), "s1", "s2").join(met.groupBy("id").agg(F.sum("others").alias("weight")), "id")
     met = written(met.select("bucket", "id").join(facts, "id"), "points")
-    sets = written(source.join(facts.select("id"), "id", "left_semi").mapInArrow(_sets(shingle), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
+    used = classes.join(facts.select(F.col("id").alias("point")), "point").select("first", *content, "point")
+    found = source.join(used.select(F.col("first").alias("id")).distinct(), "id", "left_semi").mapInArrow(_sets(shingle), "first long, n_shingles long, c1 long, c2 long, shingles array<long>")
+    sets = written(found.join(used, one_row).dropDuplicates(one_row).select(F.col("point").alias("id"), "shingles"), "sets")
+
+    def components(*tests: DataFrame) -> DataFrame:
+        links = same
+        for tested in tests:
+            links = links.union(tested.where("linked").select("u", "v"))
+        return connected_components(links)
 
     def near(edges: DataFrame) -> DataFrame:
         """(u, v) of the edges from points to centres that sizes and sketches don't rule out."""
@@ -249,12 +269,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     point = F.struct("id", "n", "s1", "s2", "component")
     alone = met.withColumn("component", F.col("id"))
     tested = confirmed(star(alone, F.min(point), F.max(F.struct("weight", point.alias("p")))["p"]))
-    component = connected_components(tested.where("linked").select("u", "v"))
+    component = components(tested)
     placed = still_open(met.drop("weight"), component)
     tried = confirmed(star(placed, F.max(F.struct(F.xxhash64("id", "bucket").alias("o"), point.alias("p")))["p"]).join(tested, ["u", "v"], "left_anti"))
     tested = tested.union(tried)
     if not tried.where("linked").isEmpty():
-        component = connected_components(tested.where("linked").select("u", "v"))
+        component = components(tested)
         placed = still_open(placed.drop("component", "m"), component)
 
     few = placed.where(F.col("m") <= crowded)
@@ -266,10 +286,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         edges = edges.union(near(_meetings(rare, percent, block))).distinct()
     tried = confirmed(edges.join(tested, ["u", "v"], "left_anti"))
     if not tried.where("linked").isEmpty():
-        component = connected_components(tested.union(tried).where("linked").select("u", "v"))
+        component = components(tested, tried)
 
-    out = profile.select("id", "n_shingles").join(member.groupBy("id").agg(F.min("rep").alias("rep")), "id", "left")
-    out = out.join(component, F.col("rep") == F.col("node"), "left")
-    reached = F.coalesce("component", "rep", "id")
-    out = out.select("id", "n_shingles", reached.alias("component_id"))
+    placed = classes.join(component, F.col("point") == F.col("node"), "left").select("point", "first", "copies", F.coalesce("component", "point").alias("component"))
+    least = placed.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("m"))
+    of_points = join_hot(placed, least, ["component"], count="m", total=n_rows, spread=["point"]).select("point", "copies", "component_id")
+    of_ids = join_hot(member, of_points, ["point"], count="copies", total=n_rows, spread=["id"]).groupBy("id").agg(F.min("component_id").alias("component_id"))
+    out = profile.select("id", "n_shingles").join(of_ids, "id", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -54,24 +54,32 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], max_repeat: int, sl
     return step.select("source", "source_size", "target", (F.col("raw") - mean).alias("a"))
 
 
+def _row_key(row_id: Column, source: Column, text: Column) -> tuple[Column, Column]:
+    """128 bits of hash that rows share only with rows of the same id, source and text."""
+    parts = [F.struct(F.coalesce(c.cast("string"), F.lit("")).alias("v"), c.isNull().alias("n")) for c in (row_id, source, text)]
+    return F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts)
+
+
 def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3, slope: float = 0.5) -> DataFrame:
-    """One row per document: id, source, size (words), source_size, target, takes, taken (words), before (words of its source ahead of it) and a.
+    """One row per row of ``docs``: id, source, size (words), source_size, target, takes, taken (words), before (words of its source ahead of it), a, and
+    k1 and k2, a hash of id, source and text.
 
     Sources weigh ``weights`` in turn, in the order of their names, null last.  A null text has size 0; a document of size
     0 is taken as often as its neighbours are.  Rows that repeat an id are documents of their own.  Where all sizes are 0 the targets are 0.
     """
     text = F.col(text_col).cast("string")
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), F.md5(F.coalesce(text, F.lit(""))))))  # rows without an id lie apart too
-    sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"), digest.alias("digest"))
+    key = [k.alias(n) for k, n in zip(_row_key(F.col(id_col), F.col(source_col), text), ("k1", "k2"), strict=True)]
+    sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"), digest.alias("digest"), *key)
     sizes = written(sizes.withColumn("part", F.substring("digest", 1, PREFIX_DIGITS)), "sizes")
     targets = written(source_targets(sizes, weights, max_repeat, slope), "targets")
     parts = sizes.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("part_size").over(ahead), F.lit(0)).alias("part_before"))
-    inside = Window.partitionBy("source", "part").orderBy("digest", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "part").orderBy("digest", "id", "size", "k1", "k2").rowsBetween(Window.unboundedPreceding, -1)
     placed = sizes.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).withColumn("before", F.col("part_before") + F.col("inside"))
-    placed = placed.select("id", "source", "size", "before").join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    placed = placed.select("id", "source", "size", "before", "k1", "k2").join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     passes = F.floor(F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0)))
     rest = F.col("target") - passes * F.col("source_size")
     takes = passes + F.when(F.col("before") + F.col("size") / 2 <= rest, 1).otherwise(0)
@@ -104,13 +112,26 @@ def curriculum(plan: DataFrame) -> DataFrame:
     return placed.repartitionByRange("__first", F.xxhash64("id")).sortWithinPartitions("__first", "id").drop("__first")
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", position_col: str | None = None, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as it is taken, range-sorted by training position.
+def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", position_col: str | None = None, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as ``plan_mix`` takes it, range-sorted by training position.
 
-    Rows without a take go.  Columns are those of ``docs``, and the position if ``position_col`` names one.  Rows that repeat an id share their takes.
+    Rows without a take go.  Columns are those of ``docs``, and the position if ``position_col`` names one, which must be a new name.  Rows that repeat an id are
+    documents of their own; of those with the same id, source and text, equal in any other column or not, each gets the takes of one of their rows of the plan.
     """
-    takes = positions(plan_mix(docs, id_col=id_col, **options)).select(F.col("id").alias("__id"), "copy", F.col("position").alias("__position"))
-    takes = takes.groupBy("__id", "copy").agg(F.min("__position").alias("__position"))
-    joined = docs.join(takes, docs[id_col].eqNullSafe(takes["__id"])).repartitionByRange("__position", F.xxhash64("__id")).sortWithinPartitions("__position", "__id")
-    out = joined.select(*[docs[c] for c in docs.columns], *([F.col("__position").alias(position_col)] if position_col else []))
-    return out
+    if position_col is not None and position_col.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"{position_col} is a column already")
+    columns = [f"c{i}" for i in range(len(docs.columns))]  # no name of docs can clash with those of the plan
+    rows = docs.toDF(*columns)
+    of = lambda name: F.col(columns[docs.columns.index(name)])
+    rows = rows.select("*", *[k.alias(n) for k, n in zip(_row_key(of(id_col), of(source_col), of(text_col).cast("string")), ("k1", "k2"), strict=True)])
+    plan = plan_mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options).select("id", "size", "before", "takes", "source_size", "target", "a", "k1", "k2")
+    plan = written(plan, "plan")
+    key = ["k1", "k2"]
+    if plan.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        plan, rows = plan.withColumn("n", F.lit(1)), rows.withColumn("n", F.lit(1))
+    else:
+        plan = plan.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("before")))
+        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(*[c for c, f in zip(columns, docs.schema, strict=True) if "map<" not in f.dataType.simpleString()]))))
+    takes = with_positions(plan).where("takes > 0").select("k1", "k2", "n", F.explode("positions").alias("position"))
+    joined = rows.join(takes, ["k1", "k2", "n"]).repartitionByRange("position", "k1", "k2").sortWithinPartitions("position", "k1", "k2")
+    return joined.select(*columns, *(["position"] if position_col else [])).toDF(*docs.columns, *([position_col] if position_col else []))

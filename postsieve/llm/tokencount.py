@@ -20,7 +20,8 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .columns import beside_text
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -130,9 +131,9 @@ def _counts(path: str):
 def count_tokens(docs: DataFrame, vocabulary: str, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of each row (all but the text if None) and n_tokens of its whole text under the model file ``vocabulary``.
 
-    A null or empty text has 0 tokens.
+    A null or empty text has 0 tokens.  A kept column can't be named n_tokens.
     """
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    given = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]), "n_tokens long"])
-    return given.mapInArrow(_counts(vocabulary), schema)
+    given = beside_text(docs, keep, text_col, ["n_tokens"])
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields[:-1]), "n_tokens long"])
+    return given.mapInArrow(_counts(vocabulary), schema).toDF(*keep, "n_tokens")

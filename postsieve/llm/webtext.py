@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .columns import beside_text
+
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input link meta param source track wbr".split())
 #: Elements whose text is never shown as text of the page.
@@ -228,10 +230,12 @@ def fit(spark: SparkSession, labelled=LABELLED, max_depth: int = 6):
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.functions import array_to_vector
 
+    if any(len(flat_blocks(_filled(page))) != len(label) for page, label in labelled):
+        raise ValueError("a page's blocks and labels differ in number")
     pages = spark.createDataFrame([(label, _filled(page)) for page, label in labelled], "label string, html string").coalesce(1)
-    rows = pages.mapInArrow(_parse, f"label string, blocks {_BLOCKS}").select(F.posexplode("blocks").alias("i", "b"), "label", F.size("blocks").alias("n"))
-    rows = rows.select(F.assert_true(F.length("label") == F.col("n"), "a page's blocks and labels differ in number").alias("_"), array_to_vector("b.f").alias("features"), F.substring("label", F.col("i") + 1, F.lit(1)).cast("double").alias("y"))
-    return DecisionTreeClassifier(featuresCol="features", labelCol="y", maxDepth=max_depth, maxBins=64, seed=1).fit(rows.where("_ is null").drop("_"))
+    rows = pages.mapInArrow(_parse, f"label string, blocks {_BLOCKS}").select(F.posexplode("blocks").alias("i", "b"), "label")
+    rows = rows.select(array_to_vector("b.f").alias("features"), F.substring("label", F.col("i") + 1, F.lit(1)).cast("double").alias("y"))
+    return DecisionTreeClassifier(featuresCol="features", labelCol="y", maxDepth=max_depth, maxBins=64, seed=1).fit(rows)
 
 
 def extract_text(pages: DataFrame, model=None, *, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
@@ -241,11 +245,9 @@ def extract_text(pages: DataFrame, model=None, *, html_col: str = "html", keep:
     in a block, no-break spaces too, is one space.  A kept column may not be named like an output.
     """
     keep = [c for c in pages.columns if c != html_col] if keep is None else keep
-    if {"text", "n_chars"} & {c.lower() for c in keep}:
-        raise ValueError("kept columns can't be named text or n_chars")
+    given = beside_text(pages, keep, html_col, ["text", "n_chars"])
     model = model or fit(pages.sparkSession)
     root = model._call_java("rootNode")
-    given = pages.select(*[pages[c] for c in keep], pages[html_col].cast("string")).toDF(*(f"c{i}" for i in range(len(keep) + 1)))
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields[:-1]), f"blocks {_BLOCKS}"])
     blocks = given.mapInArrow(_parse, schema)
     chosen = F.filter("blocks", lambda b: tree_column(root, b["f"]) == 1.0)
