@@ -68,17 +68,66 @@ def known_keys(jobs: DataFrame, audit: DataFrame, feedback: DataFrame, as_of: da
     return recent[0].union(recent[1]).union(feedback.select("job_fingerprint")).distinct()
 
 
-def drop_known(df: DataFrame, known: DataFrame) -> DataFrame:
-    keyed = df.withColumn("__fp", fingerprint(F.col("company"), F.col("title")))
-    return keyed.join(known.withColumnRenamed("job_fingerprint", "__fp"), "__fp", "left_anti").drop("__fp").select(df.columns)
+#: Bits of a key filter for each key that it holds, and bits of the largest, 64 MB; fuller ones only let more rows through.
+BITS_PER_KEY, MOST_BITS = 16, 1 << 29
+#: Places of a key in the filter.
+PROBES = 2
+_BITMAP_BITS = 32_768  # of Spark's bitmaps
+
+
+class KeyFilter:
+    """Which keys a table surely lacks: a bitmap of hashes, built by ``bitmap_construct_agg`` in parts that tasks merge, and broadcast.
+
+    Two of ``BITS_PER_KEY`` bits a key are set, so that about 1.4 % of strange keys look known; at ``MOST_BITS`` and n keys it is (1 - exp(-2 n / MOST_BITS))**2.
+    """
+
+    def __init__(self, table: DataFrame, key: str, n_keys: int | None = None):
+        n_keys = table.select(F.approx_count_distinct(key)).first()[0] if n_keys is None else n_keys
+        bits = BITS_PER_KEY * max(n_keys, 1)
+        self.bits = min(MOST_BITS, -(-bits // _BITMAP_BITS) * _BITMAP_BITS)
+        places = table.where(F.col(key).isNotNull()).select(F.explode(F.array(*self._places(F.col(key)))).alias("at"))
+        self.parts = places.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))  # bits / _BITMAP_BITS rows of 4 KB
+
+    def _places(self, key: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(F.lit(i), key), F.lit(self.bits)) + 1 for i in range(PROBES)]
+
+    def marked(self, df: DataFrame, key: Column, name: str) -> DataFrame:
+        """``df`` with a column that is false where the table surely lacks the key; a null key is lacking."""
+        seen = F.lit(True)
+        columns = df.columns
+        for i, place in enumerate(self._places(key)):
+            bit = F.bitmap_bit_position(place)
+            byte = F.conv(F.hex(F.substring(f"__m{i}", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+            parts = self.parts.select(F.col("bucket").alias(f"__b{i}"), F.col("bitmap").alias(f"__m{i}"))
+            df = df.join(F.broadcast(parts), F.bitmap_bucket_number(place) == F.col(f"__b{i}"), "left")
+            seen = seen & F.coalesce(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1, F.lit(False))
+        return df.select(*columns, (seen & key.isNotNull()).alias(name))
+
+
+def anti_join_known(df: DataFrame, key: Column, known: DataFrame, known_key: str, use: KeyFilter | None = None) -> DataFrame:
+    """``df`` without the rows whose key ``known`` holds.
+
+    Rows whose key the filter rules out are passed on where they are read; only the others, the known ones and about one in 70, are shuffled and
+    joined.  The source is read once for each of the two.
+    """
+    use = use or KeyFilter(known, known_key)
+    marked = use.marked(df, key, "__maybe")
+    columns = df.columns
+    fresh = marked.where("not __maybe").select(columns)
+    rest = marked.where("__maybe").withColumn("__key", key).join(known.select(F.col(known_key).alias("__key")), "__key", "left_anti").select(columns)
+    return fresh.union(rest)
+
+
+def drop_known(df: DataFrame, known: DataFrame, use: KeyFilter | None = None) -> DataFrame:
+    return anti_join_known(df, fingerprint(F.col("company"), F.col("title")), known, "job_fingerprint", use)
 
 
 def known_subset(keys: DataFrame, df: DataFrame, key: str) -> DataFrame:
     return keys.join(df.select(key), key, "left_semi")
 
 
-def except_by_key(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    return df.join(gone.select(key), key, "left_anti").select(df.columns)
+def except_by_key(df: DataFrame, gone: DataFrame, key: str, use: KeyFilter | None = None) -> DataFrame:
+    return anti_join_known(df, F.col(key), gone, key, use)
 
 
 def best_board(hits: DataFrame, registered: DataFrame | None = None) -> DataFrame:

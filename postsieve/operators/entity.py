@@ -4,29 +4,34 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postsieve.functions.text import compact
 
 # The words of a legal form, which end a name but never are one; those of generic decoration behind a brand;
 # and first words too common to stand for a brand.
-TRAILING_SUFFIXES = r"inc|llc|l\s*l\s*c|corp|corporation|incorporated|ltd|limited|co|plc|llp|pllc|lp|gmbh|ag|nv|bv|sas|sa|srl|spa|pvt|pte|pty|kk|ab|oy|as"
 LEGAL_WORDS = (
-    "inc llc corp corporation incorporated ltd limited co plc llp pllc lp gmbh ag nv bv sa sas srl spa pvt pte pty kk ab oy as company"
-).split()
+    "inc", "llc", "corp", "corporation", "incorporated", "ltd", "limited", "co", "plc", "llp", "pllc", "lp", "gmbh", "ag", "nv", "bv", "sa", "sas", "srl",
+    "spa", "pvt", "pte", "pty", "kk", "ab", "oy", "as", "company",
+)
 GENERIC_TAILS = (
-    "ai ml cloud digital tech technologies technology labs lab studios studio services service solutions systems group groups global us usa america "
-    "americas north south federal international consulting consultancy partners ventures media network networks software engineering products product "
-    "platform platforms enterprises enterprise industries worldwide team careers recruiting talent staffing research development"
-).split()
+    "ai", "ml", "cloud", "digital", "tech", "technologies", "technology", "labs", "lab", "studios", "studio", "services", "service", "solutions",
+    "systems", "group", "groups", "global", "us", "usa", "america", "americas", "north", "south", "federal", "international", "consulting", "consultancy",
+    "partners", "ventures", "media", "network", "networks", "software", "engineering", "products", "product", "platform", "platforms", "enterprises",
+    "enterprise", "industries", "worldwide", "team", "careers", "recruiting", "talent", "staffing", "research", "development",
+)
 UNSAFE_ROOTS = (
-    "the and new one first national american united general global premier advanced applied integrated innovative creative digital data cloud tech talent "
-    "stealth confidential undisclosed various multiple client jobs via hiring recruiting staffing consulting group solutions services systems partners labs "
-    "studio team corporation corporate company holdings international associates enterprise enterprises industries management capital ventures media network "
-    "networks software technology technologies engineering science sciences health healthcare financial finance insurance bank energy security research "
-    "institute university center centre association foundation prime core next smart"
-).split()
+    "the", "and", "new", "one", "first", "national", "american", "united", "general", "global", "premier", "advanced", "applied", "integrated",
+    "innovative", "creative", "digital", "data", "cloud", "tech", "talent", "stealth", "confidential", "undisclosed", "various", "multiple", "client",
+    "jobs", "via", "hiring", "recruiting", "staffing", "consulting", "group", "solutions", "services", "systems", "partners", "labs", "studio", "team",
+    "corporation", "corporate", "company", "holdings", "international", "associates", "enterprise", "enterprises", "industries", "management", "capital",
+    "ventures", "media", "network", "networks", "software", "technology", "technologies", "engineering", "science", "sciences", "health", "healthcare",
+    "financial", "finance", "insurance", "bank", "energy", "security", "research", "institute", "university", "center", "centre", "association",
+    "foundation", "prime", "core", "next", "smart",
+)
+#: Legal words that may end a name, whatever stands before them; "company" may not.
+TRAILING_SUFFIXES = "|".join([*LEGAL_WORDS[:-1], r"l\s*l\s*c"])
 # A bracketed part of a name, and what follows a brand as its tagline.
 BRACKETED = r"\s*[\(\[][^\)\]]*[\)\]]"
 TAGLINE = r"(?is)\s*(?:\||,\s*(?:an?|part of)\s+|\s+-\s+|\s+–\s+|\s+—\s+).*$"
@@ -86,18 +91,33 @@ def query_ladder(c: Column) -> Column:
     return _bind(clean_company(c), lambda name: _bind(company_tokens(name), lambda base: forms(name, base)))
 
 
+def successors(queries: DataFrame, query: str, keys: DataFrame, key: str) -> DataFrame:
+    """(query, successor): each distinct query that isn't null, with the least key that isn't less, or null beyond the last.
+
+    Queries and keys are sorted together by range, so that each task has a stretch of the order, however many keys share their first
+    letters.  Within a stretch the successor is the next key; past its last key it is the first of the stretches behind, of which there is a row each.
+    """
+    asked = queries.select(F.col(query).alias("s"), F.lit(0).alias("k"))
+    given = keys.select(F.col(key).alias("s"), F.lit(1).alias("k"))
+    both = asked.union(given).where("s is not null").distinct().repartitionByRange("s", "k").withColumn("p", F.spark_partition_id())
+    back = Window.partitionBy("p").orderBy(F.desc("s"), F.desc("k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = both.withColumn("next", F.last(F.when(F.col("k") == 1, F.col("s")), ignorenulls=True).over(back))
+    behind = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, -1)  # a row a stretch
+    stretches = placed.groupBy("p").agg(F.min(F.when(F.col("k") == 1, F.col("s"))).alias("first")).select("p", F.last("first", ignorenulls=True).over(behind).alias("first_behind"))
+    found = placed.where("k = 0").join(F.broadcast(stretches), "p")
+    return found.select(F.col("s").alias("query"), F.coalesce("next", "first_behind").alias("successor"))
+
+
 def prefix_match(queries: DataFrame, query: str, filers: DataFrame, key: str = "key", min_len: int = 3) -> DataFrame:
     """The rows of ``queries`` that begin some filer key, or equal one if shorter than ``min_len``; an empty query matches nothing.
 
-    Both sides meet on their first ``min_len`` characters, so no pair is made outside such a block; filers are cut to their
-    distinct prefixes of the lengths that queries have only through the semi join's residual.
+    A query begins some key if it begins its successor among the keys, so that one key is compared with each distinct query, not a block of them.
     """
-    keys = filers.select(F.col(key).alias("__key")).where(F.length("__key") > 0).distinct()
-    long = queries.where(F.length(query) >= min_len).withColumn("__b", F.substring(query, 1, min_len))
-    blocks = keys.withColumn("__b", F.substring("__key", 1, min_len))
-    matched = long.join(blocks, (long["__b"] == blocks["__b"]) & F.startswith(blocks["__key"], long[query]), "left_semi").drop("__b")
-    short = queries.where((F.length(query) < min_len) & (F.length(query) > 0)).join(keys, F.col(query) == F.col("__key"), "left_semi")
-    return matched.unionByName(short)
+    asked = queries.where(F.length(query) > 0)
+    found = successors(asked, query, filers, key)
+    begins = F.when(F.length("query") >= min_len, F.startswith("successor", F.col("query"))).otherwise(F.col("successor") == F.col("query"))
+    matched = found.where(begins).select(F.col("query").alias("__q"))
+    return asked.join(matched, asked[query] == F.col("__q"), "left_semi")
 
 
 def inherit_verdict(names: DataFrame, name: str, verified: DataFrame, key: str = "company_key") -> DataFrame:

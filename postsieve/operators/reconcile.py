@@ -7,23 +7,22 @@ from pyspark.sql import functions as F
 
 from postsieve.functions.text import clean_confidence, valid_likelihood
 
-
-#: Parts of the range of arrival numbers; a feed is numbered in as many tasks.
-PARTS = 4096
+#: Stretches of a feed that are numbered in tasks of their own, and how finely the sketch ranks their ends.
+STRETCHES, ACCURACY = 64, 10_000
 
 
 def batch_index(df: DataFrame, n: int = 8, by: str = "source", chars: int = 8000) -> DataFrame:
     """``df`` with batch_no and idx of batches of ``n`` in arrival order within ``by``; descriptions are cut.
 
-    Rows are numbered within parts of the range of ``seq``, and each part begins where those before it end, so that one large
-    feed is no heavy window.  The range's ends are looked up first.
+    A quantile sketch of each feed's arrival numbers, merged from those of the tasks in one pass, gives the ends of stretches with about equally many rows, however the
+    numbers cluster.  Rows are numbered within a stretch, and each begins where those before it end, so that one large feed is no heavy window.
     """
-    low, high = df.agg(F.min("seq"), F.max("seq")).first()
-    width = 1 if low is None else max(1, (high - low) // PARTS + 1)
-    part = F.expr(f"(seq - {low or 0}) div {width}")
-    df = df.withColumn("__p", part)
-    before = Window.partitionBy(by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    parts = df.groupBy(by, "__p").agg(F.count("*").alias("__n")).select(F.col(by).alias("__b"), F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    shares = [i / STRETCHES for i in range(1, STRETCHES)]
+    ends = df.groupBy(F.col(by).alias("__b")).agg(F.percentile_approx("seq", shares, ACCURACY).alias("__ends"))
+    stretch = F.size(F.filter("__ends", lambda end: end <= F.col("seq")))
+    df = df.join(ends, F.col(by).eqNullSafe(F.col("__b"))).withColumn("__p", F.coalesce(stretch, F.lit(0))).drop("__b", "__ends")
+    before = Window.partitionBy("__b").orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)
+    parts = df.groupBy(F.col(by).alias("__b"), F.col("__p").alias("__q")).agg(F.count("*").alias("__n")).select("__b", "__q", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     inside = F.row_number().over(Window.partitionBy(by, "__p").orderBy("seq")) - 1
     placed = df.withColumn("__i", inside).join(parts, F.col(by).eqNullSafe(F.col("__b")) & (F.col("__p") == F.col("__q")))
     out = placed.withColumn("__r", F.col("__before") + F.col("__i")).drop("__p", "__q", "__b", "__i", "__before")

@@ -169,8 +169,8 @@ def apply_log_summary(log: DataFrame, top: int = 8) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """The n rows of the least key hashes: the same for a seed, however the rows lie."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """The n rows whose key and seed have the least MD5: the same for a seed, however the rows lie."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
 
 
 def order_daily(scored: DataFrame) -> DataFrame:

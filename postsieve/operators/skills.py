@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lexicon import Lexicon
+
 # Weights, and the shapes of section headers and of inline preferences.
 DEFAULT_WEIGHT, PREFERRED_WEIGHT, TITLE_BOOST, REPEAT_DISCOUNT, MENTION_CAP, IDF_FLOOR = 0.8, 0.5, 2.0, 0.7, 4, 0.1
 ROLE_HEADER = r"about (the|this) (role|job|position|opportunity)"
@@ -23,16 +25,13 @@ PREFERRED_INLINE = r"preferred|nice[- ]to[- ]have|\ba plus\b|\bbonus\b|desirable
 
 
 def extract_skills(text: Column, lexicon: Mapping[str, str]) -> Column:
-    """Keys of the patterns that occur in the lower-cased text; one pass of foldable patterns, with no loop over a lexicon table."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(k)) for k, p in lexicon.items()]))
+    """Keys of the patterns that occur in the lower-cased text, in the lexicon's order; one scan tells which of them may (``lexicon.Lexicon``)."""
+    return Lexicon(lexicon).present(F.lower(F.coalesce(text, F.lit(""))))
 
 
 def count_skills(text: Column, lexicon: Mapping[str, str]) -> Column:
     """Map of key to number of mentions, those above 0."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    counts = F.create_map(*[x for k, p in lexicon.items() for x in (F.lit(k), F.regexp_count(t, F.lit(p)))])
-    return F.map_filter(counts, lambda k, n: n > 0)
+    return Lexicon(lexicon).counted(F.lower(F.coalesce(text, F.lit(""))))
 
 
 def title_hints(title: Column, hints: Sequence[tuple[str, Sequence[str]]]) -> Column:
@@ -92,32 +91,39 @@ def posting_skill_weights(postings: DataFrame, lexicon: Mapping[str, str], idf_t
     described = F.coalesce("description", F.lit(""))
     lines = F.split(described, LINE_END)
 
-    def step(state: Column, line: Column) -> Column:
+    def step(state: Column, line: Column, maybe) -> Column:
         def with_clean(c: Column) -> Column:
             carried = F.coalesce(header_weight(c), state["weight"])
             own = F.when(c.rlike(PREFERRED_INLINE), F.least(carried, F.lit(PREFERRED_WEIGHT))).otherwise(carried)
             t = F.lower(line)
-            hits = F.array(*[t.rlike(p) for p in lexicon.values()])
+            hits = F.array(*[F.when(maybe(k), t.rlike(p)).otherwise(False) for k, p in lexicon.items()])
             best = F.zip_with(state["best"], hits, lambda b, hit: F.when(hit, F.greatest(b, own)).otherwise(b))
             return F.when(c == "", state).otherwise(F.struct(carried.alias("weight"), best.alias("best")))
 
         return F.transform(F.array(clean_line(line)), with_clean)[0]
 
     start = F.struct(F.lit(DEFAULT_WEIGHT).alias("weight"), F.array_repeat(F.lit(-1.0), len(keys)).alias("best"))
+    best_sections = lambda _, maybe: F.aggregate(lines, start, lambda state, line: step(state, line, maybe))["best"]
     titled = F.array_union(extract_skills(F.col("title"), lexicon), title_hints(F.col("title"), hints))
-    rows = postings.select(doc, F.aggregate(lines, start, step)["best"].alias("best"), titled.alias("titled"), count_skills(F.concat_ws("\n", "title", described), lexicon).alias("mentions"))
+    rows = postings.select(doc, Lexicon(lexicon).over(F.lower(described), best_sections).alias("best"), titled.alias("titled"), count_skills(F.concat_ws("\n", "title", described), lexicon).alias("mentions"))
     in_lines = F.filter(F.transform("best", lambda b, i: F.struct(F.get(F.array(*map(F.lit, keys)), i).alias("skill"), b.alias("section"))), lambda x: (x["section"] >= 0) & ~F.array_contains("titled", x["skill"]))
     every = F.concat(in_lines, F.transform("titled", lambda k: F.struct(k.alias("skill"), F.lit(1.0).alias("section"))))
     found = rows.select(doc, "titled", "mentions", F.explode(every).alias("e")).select(doc, "e.*", F.array_contains("titled", F.col("e.skill")).alias("in_title"), F.coalesce(F.col("mentions")[F.col("e.skill")], F.lit(1)).alias("n"))
-    found = found.where("section > 0").join(F.broadcast(idf_table), "skill", "left")  # idf: a row a lexicon key
+    own_idf = idf_table.where(F.col("skill").isin(keys)).groupBy("skill").agg(F.max("idf").alias("idf"))  # at most a row a lexicon key
+    found = found.where("section > 0").join(F.broadcast(own_idf), "skill", "left")
     reps = 1 + 0.5 * F.log(F.least(F.greatest("n", F.lit(1)), F.lit(MENTION_CAP)).cast("double"))
     weight = F.coalesce("idf", F.lit(1.0)) * F.col("section") * reps * F.when(F.col("in_title"), TITLE_BOOST).otherwise(1.0)
     return found.select(doc, "skill", weight.alias("weight"))
 
 
+#: Tags of a pool up to which it is broadcast.
+MOST_TAGS = 100_000
+
+
 def project_skill_join(weights: DataFrame, tags: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Posting skills x project tags on equal skills; the pool is a list that a person keeps."""
-    return weights.join(F.broadcast(tags), "skill").select(doc, "id", "skill", "weight", "depth")
+    """Posting skills x project tags on equal skills; up to ``MOST_TAGS`` tags, a list that a person keeps, go to where the postings are."""
+    few = tags.limit(MOST_TAGS + 1).count() <= MOST_TAGS
+    return weights.join(F.broadcast(tags) if few else tags, "skill").select(doc, "id", "skill", "weight", "depth")
 
 
 #: Projects that a pool may have, as it rides along with every posting.
@@ -163,16 +169,20 @@ def top_of_map(weights: Column, k: int) -> Column:
 
 
 def replay_summary(selections: DataFrame) -> DataFrame:
-    """Per project the share of selections that hold it, and of those that rank it first."""
-    # An outer explode: the filter that Spark infers from an inner one would repeat all rounds behind the picks.
-    ranked = selections.select(F.posexplode_outer("picks").alias("rank", "id")).where("id is not null")
-    n = max(selections.count(), 1)
-    return ranked.groupBy("id").agg(F.count("*").alias("n_picked"), F.count_if(F.col("rank") == 0).alias("n_first")).withColumn("share", F.col("n_picked") / n)
+    """Per project the share of selections that hold it, and of those that rank it first; the selections are counted in the same pass."""
+    marked = selections.select(F.posexplode(F.concat(F.array(F.lit("")), "picks")).alias("place", "id"))  # the first entry is the selection's own
+    counts = marked.groupBy("id").agg(F.count("*").alias("n_picked"), F.count_if(F.col("place") == 1).alias("n_first"))
+    n = F.max(F.when(F.col("id") == "", F.col("n_picked"))).over(Window.partitionBy(F.lit(0)))  # a row a project
+    return counts.withColumn("share", F.col("n_picked") / n).where("id <> ''")
 
 
 def replay_overview(selections: DataFrame, top: int = 12) -> DataFrame:
-    """(kind, key, n, share): the mean coverage of all selections, and the ``top`` skills among each selection's three heaviest uncovered ones."""
-    n = max(selections.count(), 1)
-    mean = selections.agg(F.lit("coverage").alias("kind"), F.lit("").alias("key"), F.count("*").alias("n"), F.avg("coverage").alias("share"))
-    gaps = selections.select(F.explode_outer(F.slice("uncovered", 1, 3)).alias("key")).where("key is not null").groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(top)
-    return mean.union(gaps.select(F.lit("uncovered"), "key", "n", F.col("n") / n))
+    """(kind, key, n, share): the mean coverage of all selections, and the ``top`` skills among each selection's three heaviest uncovered ones, from one pass."""
+    entry = lambda kind, key, value: F.struct(F.lit(kind).alias("kind"), key.alias("key"), value.alias("value"))
+    gaps = F.transform(F.slice("uncovered", 1, 3), lambda skill: entry("uncovered", skill, F.lit(None).cast("double")))
+    rows = selections.select(F.explode(F.concat(F.array(entry("coverage", F.lit(""), F.col("coverage"))), gaps)).alias("e")).select("e.*")
+    counts = rows.groupBy("kind", "key").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))  # a row a skill
+    every = Window.partitionBy(F.lit(0))
+    total = F.max(F.when(F.col("kind") == "coverage", F.col("n"))).over(every)
+    placed = counts.select("kind", "key", "n", F.coalesce("mean", F.col("n") / total).alias("share"), F.row_number().over(every.orderBy("kind", F.desc("n"), "key")).alias("r"))
+    return placed.where(F.col("r") <= top + 1).drop("r")

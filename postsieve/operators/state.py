@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from datetime import datetime
+from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postsieve.functions.text import blank_to_null, fingerprint, has_text, map_values, py_strip, quote
@@ -39,9 +39,15 @@ def audit_rows(df: DataFrame, as_of: datetime, verdict: Column) -> DataFrame:
     return df.select(fingerprint(F.col("company"), F.col("title")).alias("job_fingerprint"), "company", "title", "source", "stage", verdict.alias("verdict"), "reason", confidence, F.lit(as_of).cast("date").alias("run_date"), F.lit(as_of).alias("created_at"))
 
 
-def append_audit(rows: DataFrame, path: str) -> None:
-    """Append to the audit table, one folder a run date."""
-    rows.write.mode("append").partitionBy("run_date").parquet(path)
+def append_audit(rows: DataFrame, path: str, run_id: str) -> None:
+    """Add a run's rows to the audit table, one folder a run date and run; a run that is repeated takes the place of its own rows, and of no others."""
+    rows.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date", "run_id").parquet(path)
+
+
+def read_audit(spark: SparkSession, path: str, day: date | None = None) -> DataFrame:
+    """The audit table, or a day of it, whose folder alone is read then."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    return rows if day is None else rows.where(F.col("run_date") == F.lit(day))
 
 
 def upsert_verdict(cache: DataFrame, rows: DataFrame) -> DataFrame:

@@ -20,6 +20,14 @@ VIEWS = {
           case when l_linenumber % 5 = 0 then null else l_shipdate end as posted_at
         from (select *, l_partkey % (select max(doc_id) + 1 from documents) as doc_key from lineitem) li
         join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey left join documents d on d.doc_id = doc_key""",
+    # The same postings with the key of their description in its stead.
+    "f_posting_keys": f"""
+        select {{hash60:{_SEQ}}} as seq, p_brand as company, p_name as title, n_name as location, case when l_linenumber = 6 then null else doc_key end as doc_key,
+          cast(floor(l_extendedprice * 0.8) as bigint) as salary_min, cast(floor(l_extendedprice) as bigint) as salary_max,
+          case l_returnflag when 'A' then 'linkedin' when 'N' then 'greenhouse-' || lower(replace(p_brand, '#', '')) else 'hackernews' end as source,
+          case when l_linenumber % 5 = 0 then null else l_shipdate end as posted_at
+        from (select *, l_partkey % (select max(doc_id) + 1 from documents) as doc_key from lineitem) li
+        join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey""",
     "f_requirements": """
         select seq, kind, n, lo, case kind when 0 then 'wants ' || cast(n as string) || '+ years' when 1 then 'at least ' || cast(n as string) || ' years'
           when 2 then cast(lo as string) || '-' || cast(n as string) || ' years of experience' when 3 then 'with over ' || cast(n as string) || ' years of experience'
@@ -55,6 +63,9 @@ VIEWS = {
         from lineitem join part on l_partkey = p_partkey""",
 }
 
+#: As many keys as a real lexicon has, by a rule: pairs of syllables, together or apart.
+LARGE_LEXICON = {f"{a}_{b}": f"{a}{b}|{b}[- ]{a}s?" for a in "tion ment ing the and of re er st an".split() for b in "ou en le ti ha on es nd at ea sh th wh ch ng".split()}
+
 
 def _for(sql: str, spark: bool) -> str:
     hash60 = (lambda x: f"cast(conv(substr(md5({x}), 1, 15), 16, 10) as bigint)") if spark else (lambda x: f"cast('0x' || substr(md5({x}), 1, 15) as bigint)")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from postsieve.functions.text import ASCII_MARKS
 
-from .fixtures import oracle
+from .fixtures import LARGE_LEXICON, VIEWS, oracle
 
 _FP = "lower(trim(company)) || '||' || lower(trim(title))"
 _FRESH = "case when posted_at is not null then posted_at >= timestamp '2000-12-01 00:00:00' else source in ('linkedin', 'indeed', 'google') end"
@@ -134,7 +134,13 @@ ORACLES: dict[str, str] = {
     "known_keys": _with("f_audit", [_KNOWN], "select job_fingerprint from known"),
     "drop_known": _with("f_audit", [_KNOWN], "select 'user' || c_custkey as key, c_custkey from customer where 'user' || c_custkey not in (select job_fingerprint from known)"),
     "known_subset": _with("f_audit", [], "select 'user' || c_custkey as key from customer where 'user' || c_custkey in (select job_fingerprint from f_audit)"),
-    "append_new": _with("f_postings", [f"rows as (select *, {_FP} as fp from f_postings)"], "select fp, min(seq) as seq from rows where fp not in (select fp from rows where source = 'hackernews') group by fp"),
+    "append_new": _with("f_postings", [f"rows as (select *, {_FP} as fp from f_postings)"], "select fp, coalesce(min(seq) filter (seq % 3 = 0), min(seq)) as seq from rows group by fp"),
+    "merge_in_parts": _with(
+        "f_postings",
+        [f"rows as (select seq, {_FP} as fp, case when seq % 5 <> 0 then source else ' ' end as note from f_postings)", "one as (select fp, min(seq) as seq, arg_min(note, seq) as first, max(case when trim(note) <> '' then {'s': seq, 'v': note} end).v as said from rows where seq % 2 = 0 group by fp)",
+         "two as (select fp, min(seq) as seq, arg_min(note, seq) as first, max(case when trim(note) <> '' then {'s': seq, 'v': note} end).v as said from rows where seq % 2 = 1 and fp like 'brand#1%' group by fp)"],
+        "select coalesce(one.fp, two.fp) as fp, coalesce(one.seq, two.seq) as seq, coalesce(two.said, one.said, one.first, two.first) as note from one full join two on one.fp = two.fp",
+    ),
     "merge_latest": _with("f_postings", [f"rows as (select {_FP} as fp, seq, source, cast(length(description) as varchar) as description from f_postings)", "base as (select fp, min(seq) as seq from rows where source = 'hackernews' group by fp)", "firsts as (select fp, seq from base union all select fp, min(seq) from rows where fp not in (select fp from base) group by fp)", "filled as (select fp, max_by(description, seq) as d from rows where description is not null group by fp)"], "select f.fp, f.seq, r.source, coalesce(d.d, r.description) as description from firsts f join rows r using (fp, seq) left join filled d on d.fp = f.fp"),
     "upsert_verdict": "with cache as (select 'k' || user_id as company_key, event_type = 'purchase' as verified, ts as checked_at from events where event_type <> 'view'), latest as (select * from cache qualify row_number() over (partition by company_key order by checked_at desc, verified desc) = 1) select * from latest where date_diff('day', cast(checked_at as date), date '2024-01-31') < case when verified then 30 else 7 end",
     "apply_outcomes": _with("f_feedback", [f"sheet as (select id as seq, company, title, {_STATUS} as status from f_feedback)", "both_sheets as (select *, 0 as p from sheet where seq % 2 = 0 union all select *, 1 from sheet where seq % 5 = 0)", f"said as (select {_FP} as fp, max_by({_MAPPED}, p * 1000000000000 + seq) as o from both_sheets where trim(status) <> '' and lower(trim(status)) <> 'ready to apply' group by 1)"], f"select id, coalesce(o, outcome) as outcome from (select *, {_FP} as fp from f_feedback) left join said using (fp)"),
@@ -218,8 +224,18 @@ ORACLES: dict[str, str] = {
     "outcome_log": _with("f_feedback", [], "select id, title, outcome from f_feedback"),
     "audit_table": _with("f_postings", [f"gated as (select *, {_FP} as fp, {_STAGE} as stage from f_postings)"], "select fp as job_fingerprint, stage, case when seq % 2 = 0 then date '2000-12-02' else date '2000-12-03' end as run_date, count(*) as n, 0 as n_confidence from gated where stage <> 'stage1_pass' group by all"),
     "stream_split_fresh": "select event_id, case when event_type <> 'view' then ts >= timestamp '2024-01-24' else user_id % 2 = 0 end as fresh from events",
-    "stream_verdict_ttl": "select 'k' || user_id as company_key, true as verified, min(ts) as ts from events where ts < timestamp '2024-01-30' group by user_id",
+    "stream_verdict_ttl": """with recursive v as (select 'k' || user_id as company_key, event_type <> 'error' as verified, ts, row_number() over (partition by user_id order by ts, event_type <> 'error') as i from events where event_type in ('purchase', 'signup', 'error')),
+        chain as (select * from v where i = 1 union all select n.* from (select c.company_key, min(v.i) as i from chain c join v on v.company_key = c.company_key and v.i > c.i and (v.verified <> c.verified or v.ts >= c.ts + case when c.verified then interval 5 days else interval 2 days end) group by c.company_key) x join v n on n.company_key = x.company_key and n.i = x.i)
+        select company_key, verified, ts from chain""",
+}
+_LARGE = "k(skill, p) as (values " + ", ".join(f"('{k}', '{p}')" for k, p in LARGE_LEXICON.items()) + ")"
+ORACLES |= {
+    "skill_mentions": f"with {_LARGE} select doc_id, skill, cast(len(regexp_extract_all(lower(text), p)) as int) as n from documents, k where regexp_matches(lower(text), p)",
+    "skills_present": f"with {_LARGE}, n as (select skill, p, row_number() over () as i from k) select doc_id, coalesce(string_agg(skill, ',' order by i) filter (regexp_matches(lower(coalesce(text, '')), p)), '') as skills from documents, n group by doc_id",
+    "top_skills": f"with counts as ({ORACLES['count_skills']}) select d.doc_id, coalesce(s, '') as skills from documents d left join (select doc_id, string_agg(skill, ',' order by n desc, skill) as s from (select *, row_number() over (partition by doc_id order by n desc, skill) as r from counts) where r <= 6 group by doc_id) t on t.doc_id = d.doc_id",
+    "filer_index": _with("f_filers", [_FILERS], "select key from filers where key <> ''"),
+    "seeded_sample": "select doc_id, lang from documents order by md5(doc_id || ':7'), doc_id limit 20",
+    "candidate_tokens": f"""with counts as (select company, count(*) as n from ({VIEWS['f_employers']}) where length(company) > 2 group by company order by n desc, company limit 20), shapes as ({ORACLES['slug_candidates']}),
+        each as (select c.company, unnest(string_split(tokens, '|')) as token, generate_subscripts(string_split(tokens, '|'), 1) as pos from counts c join shapes s on s.company = c.company)
+        select company, token from (select *, row_number() over (partition by lower(token) order by pos, company desc) as r from each) where r = 1 and lower(token) not in ('brand12', 'brand3')""",
 }
-
-for _name in ("extract_skills", "count_skills", "document_frequency", "keyword_coverage", "stream_stage_counts", "stream_usage"):
-    ORACLES[f"{_name}_full"] = ORACLES[_name]

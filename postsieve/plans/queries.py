@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from postsieve.functions import dates as D
 from postsieve.functions import text as T
 from postsieve.operators import dedup, entity, reconcile, registry, report, rules, skills, state
+from postsieve.operators.keyed_table import KeyedTable
 from postsieve.sources import boards, filings
 from postsieve.sources.html import html_to_text
 from postsieve.streaming import flows
 
-from .fixtures import table, view
+from .fixtures import LARGE_LEXICON, table, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -48,7 +49,10 @@ def _latest(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def funnel_slice(s, d):
-    gated = rules.rule_gate(_latest(s, d), GATE)
+    # Copies are told apart by their keys; only the rows that stay get their texts.
+    latest = dedup.dedup_prefer_fresh(view(s, d, "f_posting_keys"), AS_OF, HOURS, TRUSTED)
+    texts = table(s, d, "documents").select(F.col("doc_id").alias("doc_key"), F.col("text").alias("description"))
+    gated = rules.rule_gate(latest.join(texts, "doc_key", "left"), GATE)
     stage = F.when(dedup.is_fresh(AS_OF, HOURS, TRUSTED), F.col("stage")).otherwise("stale")
     return gated.groupBy(stage.alias("stage")).agg(F.count("*").alias("n"))
 
@@ -216,9 +220,22 @@ def known_subset(s, d):
 
 @query
 def append_new(s, d):
-    rows = view(s, d, "f_postings").drop("description").withColumn("fp", T.fingerprint(F.col("company"), F.col("title")))
-    target = rows.where("source = 'hackernews'").select("fp").distinct()
-    return state.append_new(target, rows, "fp").select("fp", "seq")
+    """A table of postings that two runs append to, read back."""
+    rows = view(s, d, "f_postings").drop("description").select(T.fingerprint(F.col("company"), F.col("title")).alias("fp"), "seq", "source")
+    target = KeyedTable(s, _shared(s, "postings"), "fp", "fp string, seq long, source string", parts=16)
+    target.append_new(rows.where("seq % 3 = 0"))
+    target.append_new(rows)
+    return target.read().select("fp", "seq")
+
+
+@query
+def merge_in_parts(s, d):
+    """Notes of a keyed table after two merges, of which the second touches the parts of a few keys."""
+    rows = view(s, d, "f_postings").drop("description").select(T.fingerprint(F.col("company"), F.col("title")).alias("fp"), "seq", F.when(F.col("seq") % 5 != 0, F.col("source")).otherwise(" ").alias("note"))
+    target = KeyedTable(s, _shared(s, "notes"), "fp", "fp string, seq long, note string", parts=16)
+    target.merge_latest(rows.where("seq % 2 = 0"), "note")
+    target.merge_latest(rows.where("seq % 2 = 1 and fp like 'brand#1%'"), "note")
+    return target.read()
 
 
 @query
@@ -742,12 +759,13 @@ def outcome_log(s, d):
 
 @query
 def audit_table(s, d):
-    """Audit rows appended by run date in two runs, read back."""
+    """Audit rows of two runs, the second repeated, read back a day at a time."""
     path = _shared(s, "audit")
     gated = rules.rule_gate(view(s, d, "f_postings"), GATE).where("stage <> 'stage1_pass'")
-    for day in (date(2000, 12, 2), date(2000, 12, 3)):
-        state.append_audit(state.audit_rows(gated.where(f"seq % 2 = {day.day % 2}"), datetime(day.year, day.month, day.day), F.lit("REJECT")), path)
-    return s.read.parquet(path).groupBy("job_fingerprint", "stage", "run_date").agg(F.count("*").alias("n"), F.count("confidence").alias("n_confidence"))
+    days = (date(2000, 12, 2), date(2000, 12, 3))
+    for day in (*days, days[1]):
+        state.append_audit(state.audit_rows(gated.where(f"seq % 2 = {day.day % 2}"), datetime(day.year, day.month, day.day), F.lit("REJECT")), path, "daily")
+    return state.read_audit(s, path, days[0]).unionByName(state.read_audit(s, path, days[1])).groupBy("job_fingerprint", "stage", "run_date").agg(F.count("*").alias("n"), F.count("confidence").alias("n_confidence"))
 
 
 @query
@@ -853,9 +871,10 @@ def stream_split_fresh(s, d):
 
 @query
 def stream_verdict_ttl(s, d):
-    """The changes of what is known of a key, from verdicts that never differ and are at most 29 days old: the first of each."""
-    rows = _stream(s, d).where("ts < '2024-01-30'").select(F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("company_key"), F.lit(True).alias("verified"), "ts")
-    return _to_table(flows.verdict_ttl(rows), "verdicts")
+    """The changes of what is known of a key, by verdicts that repeat, contradict and run out."""
+    rows = _stream(s, d).where("event_type in ('purchase', 'signup', 'error')").select(F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("company_key"), (F.col("event_type") != "error").alias("verified"), "ts")
+    with flows.state_with_lifetimes(s):
+        return _to_table(flows.verdict_ttl(rows, positive_days=5, negative_days=2), "verdicts")
 
 
 # The text operators over whole documents, whatever their language and characters
@@ -869,6 +888,24 @@ def extract_skills(s, d):
     return table(s, d, "documents").select("doc_id", F.array_join(F.sort_array(skills.extract_skills(F.col("text"), WHOLE_LEXICON)), ",").alias("skills"))
 
 
+@query
+def skill_mentions(s, d):
+    """How often each of 150 keys occurs in each document."""
+    return table(s, d, "documents").select("doc_id", F.explode(skills.count_skills(F.col("text"), LARGE_LEXICON)).alias("skill", "n"))
+
+
+@query
+def skills_present(s, d):
+    return table(s, d, "documents").select("doc_id", F.array_join(skills.extract_skills(F.col("text"), LARGE_LEXICON), ",").alias("skills"))
+
+
+@query
+def top_skills(s, d):
+    """The six most frequent keys of each document, ties by key."""
+    counts = skills.count_skills(F.col("text"), WHOLE_LEXICON)
+    return table(s, d, "documents").select("doc_id", F.array_join(skills.top_of_map(counts, 6), ",").alias("skills"))
+
+
 @query
 def count_skills(s, d):
     return table(s, d, "documents").select("doc_id", F.explode(skills.count_skills(F.col("text"), WHOLE_LEXICON)).alias("skill", "n"))
@@ -896,7 +933,3 @@ def sanitize_ascii(s, d):
 def sanitize_ascii_full(s, d):
     return table(s, d, "documents").select("doc_id", F.md5(T.sanitize_ascii(F.col("text"))).alias("digest"))
 
-
-# Earlier names of the queries over whole tables.
-for _name in ("extract_skills", "count_skills", "document_frequency", "keyword_coverage", "stream_stage_counts", "stream_usage"):
-    QUERIES[f"{_name}_full"] = QUERIES[_name]

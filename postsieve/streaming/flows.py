@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from postsieve.operators.dedup import is_fresh
 
@@ -40,25 +42,90 @@ def usage_windows(stream: DataFrame, ts: str = "ts", window: str = "7 days", sli
     return sums.select(F.col("window.start").alias("start"), "purpose", "calls", "input_tokens")
 
 
-def verdict_ttl(stream: DataFrame, key: str = "company_key", positive_days: int = 30, negative_days: int = 7) -> DataFrame:
-    """The verdicts that change what is known of a key: (key, verified, ts) for a first verdict, a changed one, or one after the last ran out."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(keys: tuple, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        known = state.get if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["ts", "verified"])
-        out = []
-        for r in rows.itertuples():
-            days = (positive_days if known[0] else negative_days) if known else 0
-            if known is None or bool(known[0]) != bool(r.verified) or r.ts.timestamp() - known[1] >= days * 86400:
-                out.append((keys[0], bool(r.verified), r.ts))
-                known = (bool(r.verified), r.ts.timestamp())
-        state.update(known)
-        state.setTimeoutTimestamp(max(int((known[1] + 86400 * (positive_days if known[0] else negative_days)) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[key, "verified", "ts"])
-
-    return stream.withWatermark("ts", "1 day").groupBy(key).applyInPandasWithState(step, f"{key} string, verified boolean, ts timestamp", "verified boolean, at double", "append", GroupStateTimeout.EventTimeTimeout)
+class VerdictProcessor(StatefulProcessor):
+    """What is known of a key: a yes or a no with its time, each with a lifetime of its own.
+
+    On the event clock a timer takes the verdict away when the watermark passes its end; on the processing clock the state store does, by its native time to live.
+    """
+
+    def __init__(self, positive_days: float, negative_days: float, on_event_clock: bool):
+        self.lifetimes = {True: int(positive_days * 86_400_000_000), False: int(negative_days * 86_400_000_000)}  # microseconds
+        self.on_event_clock = on_event_clock
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = {verified: handle.getValueState("yes" if verified else "no", "since long", None if self.on_event_clock else us // 1000) for verified, us in self.lifetimes.items()}
+
+    def handleInputRows(self, key, rows, timerValues):
+        import numpy as np
+        import pandas as pd
+
+        given = pd.concat([frame[["verified", "ts"]] for frame in rows])
+        times = given["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+        order = np.lexsort((given["verified"].to_numpy(bool), times))
+        verified, times = given["verified"].to_numpy(bool)[order], times[order]
+        turns = np.append(np.flatnonzero(np.diff(verified)) + 1, len(times))  # where a verdict other than the one before begins
+        held = next((v for v, state in self.known.items() if state.exists()), None)
+        before = None if held is None else (held, self.known[held].get()[0])
+        changes, at = [], 0
+        if before is not None:
+            at = self._next(before, verified, times, turns, 0)
+        while at < len(times):  # once a change, not once a row
+            changes.append(at)
+            at = self._next((bool(verified[at]), int(times[at])), verified, times, turns, at + 1)
+        if changes:
+            last, since = bool(verified[changes[-1]]), int(times[changes[-1]])
+            self._keep(last, since, timerValues)
+            picked = given.iloc[order[changes]]
+            yield pd.DataFrame({"key": key[0], "verified": picked["verified"].to_numpy(bool), "ts": picked["ts"].to_numpy()})
+
+    def _next(self, known: tuple[bool, int], verified, times, turns, start: int) -> int:
+        """The first row from ``start`` on that differs from the verdict, or comes when its time is over."""
+        if start >= len(times):
+            return len(times)
+        differs = start if bool(verified[start]) != known[0] else int(turns[turns.searchsorted(start, "right")])
+        return min(differs, max(start, int(times.searchsorted(known[1] + self.lifetimes[known[0]]))))
+
+    def _keep(self, verified: bool, since: int, timer_values) -> None:
+        self.known[not verified].clear()
+        self.known[verified].update((since,))
+        if self.on_event_clock:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(max((since + self.lifetimes[verified]) // 1000, timer_values.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import pandas as pd
+
+        for state in self.known.values():
+            state.clear()
+        yield pd.DataFrame({"key": pd.Series([], dtype=str), "verified": pd.Series([], dtype=bool), "ts": pd.Series([], dtype="datetime64[ns]")})
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def state_with_lifetimes(spark: SparkSession) -> Iterator[None]:
+    """Streams started within use the RocksDB state store, which ``verdict_ttl`` needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def verdict_ttl(stream: DataFrame, key: str = "company_key", positive_days: float = 30, negative_days: float = 7, late: str = "1 day", clock: str = "event") -> DataFrame:
+    """The verdicts that change what is known of a key: (key, verified, ts) for a first verdict, a changed one, or one when the last is ``positive_days`` or ``negative_days`` old.
+
+    Verdicts of one batch are taken in the order of time, a no before a yes; a repeated one renews nothing.  With ``clock="processing"`` lifetimes between batches are those of
+    the state store's own clock.  Start it within ``state_with_lifetimes``.
+    """
+    if clock not in ("event", "processing"):
+        raise ValueError("clock is event or processing")
+    rows = stream.select(F.col(key).cast("string").alias("key"), "verified", "ts").where("verified is not null and ts is not null").withWatermark("ts", late)
+    mode = "EventTime" if clock == "event" else "ProcessingTime"
+    changes = rows.groupBy("key").transformWithStateInPandas(VerdictProcessor(positive_days, negative_days, clock == "event"), "key string, verified boolean, ts timestamp", "append", mode)
+    return changes.withColumnRenamed("key", key)

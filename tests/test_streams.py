@@ -1,6 +1,8 @@
 """Streams run to their end equal the batch results."""
 
 import math
+import random
+import time
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -55,7 +57,8 @@ def test_stage_counts(spark, tmp_path):
 def test_verdict_lifetimes(spark, tmp_path):
     day = timedelta(days=1)
     rows = [(0, "a", True, T0), (1, "a", True, T0 + 10 * day), (2, "a", False, T0 + 11 * day), (3, "a", False, T0 + 15 * day), (4, "a", False, T0 + 19 * day), (5, "b", False, T0 + day), (6, "b", False, T0 + 7 * day)]
-    out = run(flows.verdict_ttl(source(spark, tmp_path, [(i, k, v, t) for i, k, v, t in rows], "i int, company_key string, verified boolean, ts timestamp")), tmp_path, "out")
+    with flows.state_with_lifetimes(spark):
+        out = run(flows.verdict_ttl(source(spark, tmp_path, rows, "i int, company_key string, verified boolean, ts timestamp")), tmp_path, "out")
     assert sorted((r.company_key, r.verified, r.ts) for r in out.collect()) == [("a", False, T0 + 11 * day), ("a", False, T0 + 19 * day), ("a", True, T0), ("b", False, T0 + day)]
 
 
@@ -69,6 +72,36 @@ def test_full_queries_count_every_event(spark):
             u = usage.setdefault((day - timedelta(days=back), "other" if kind == "error" else kind), [0, 0])
             u[0] += 1
             u[1] += math.floor(value * 100)
-    assert {(r.day, r.stage, r.verdict): r.n for r in QUERIES["stream_stage_counts_full"](spark, d).collect()} == counts
-    found = QUERIES["stream_usage_full"](spark, d).withColumn("start", F.col("start").cast("date")).collect()
+    assert {(r.day, r.stage, r.verdict): r.n for r in QUERIES["stream_stage_counts"](spark, d).collect()} == counts
+    found = QUERIES["stream_usage"](spark, d).withColumn("start", F.col("start").cast("date")).collect()
     assert {(r.start, r.purpose): [r.calls, r.input_tokens] for r in found} == usage
+
+
+def test_verdicts_over_batches_as_in_one(spark, tmp_path):
+    """Verdicts that repeat, contradict and run out, in one batch and in several, against a loop."""
+    rng = random.Random(9)
+    rows = sorted(((i, f"k{rng.randrange(6)}", rng.random() < 0.6, T0 + timedelta(hours=rng.randrange(24 * 60), microseconds=rng.randrange(10**6))) for i in range(300)), key=lambda r: r[3])
+    want, known = [], {}
+    for _, key, verified, ts in rows:
+        held = known.get(key)
+        if held is None or held[0] != verified or ts - held[1] >= timedelta(days=5 if held[0] else 2):
+            known[key] = (verified, ts)
+            want.append((key, verified, ts))
+    schema = "i int, company_key string, verified boolean, ts timestamp"
+    for parts in (1, 4):
+        folder = tmp_path / f"in{parts}"
+        for k in range(parts):
+            spark.createDataFrame(rows[k * len(rows) // parts : (k + 1) * len(rows) // parts], schema).coalesce(1).write.mode("append").parquet(str(folder))
+            time.sleep(1.1)  # files are read in the order of their times
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+        with flows.state_with_lifetimes(spark):
+            out = run(flows.verdict_ttl(stream, positive_days=5, negative_days=2), tmp_path, f"out{parts}")
+        assert sorted((r.company_key, r.verified, r.ts) for r in out.collect()) == sorted(want)
+    assert {v for _, v, _ in want} == {True, False} and len(want) < len(rows)
+
+
+def test_verdicts_on_the_store_clock(spark, tmp_path):
+    rows = [(0, "a", True, T0), (1, "a", True, T0 + timedelta(days=1)), (2, "b", None, T0), (3, None, True, T0)]
+    with flows.state_with_lifetimes(spark):
+        out = run(flows.verdict_ttl(source(spark, tmp_path, rows, "i int, company_key string, verified boolean, ts timestamp"), clock="processing"), tmp_path, "out")
+    assert sorted((r.company_key or "", r.verified) for r in out.collect()) == [("", True), ("a", True)]
