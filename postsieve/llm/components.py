@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .skew import join_hot
-from .store import written
+from .store import Scratch, written
 
 
 def _stars(edges: DataFrame, large: bool, n_edges: int) -> DataFrame:
@@ -30,14 +30,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     Nulls and loops are ignored; an edge may be given in either direction and more than once.
     """
-    edges = written(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v"), "edges")
+    scratch = Scratch(edges.sparkSession)
+    edges = scratch.written(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v"), "edges")
     for _ in range(max_rounds):
         n_edges = edges.count()
-        edges = written(_stars(written(_stars(edges, True, 2 * n_edges), "large"), False, n_edges), "stars")
+        edges = scratch.written(_stars(scratch.written(_stars(edges, True, 2 * n_edges), "large"), False, n_edges), "stars")
         # Settled once every edge is the only one of its larger end, and ends in a root.
         ends = edges.groupBy("u").agg(F.count("*").alias("n"))
         if edges.join(ends.withColumnRenamed("u", "e"), F.col("v") == F.col("e"), "left_semi").isEmpty() and ends.where("n > 1").isEmpty():
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+    found = written(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct()), "components")
+    scratch.drop()
+    return found

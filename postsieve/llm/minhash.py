@@ -32,7 +32,7 @@ from . import wordhash
 from .columns import let
 from .components import connected_components
 from .skew import join_hot
-from .store import written
+from .store import Scratch, written
 
 #: Bits of the sketch that may differ, of 128, before a candidate is dropped unseen: at similarity 0.8 12.8 differ on
 #: average, with a standard deviation of 3.4 to 3.9 for sets of ``SKETCHED`` shingles or more; unlike texts differ in about 63.
@@ -171,14 +171,14 @@ def _prefixes(shared, percent: int):
     return run
 
 
-def _rare_shingles(pool: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rare_shingles(pool: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The rows of ``pool`` (id, n, s1, s2, component) once per shingle of its prefix: shingle, place (from 0, rarest first) and short.
 
     Sets that are similar enough have their first common shingle, in any order that all sets keep, inside the prefix of both, and where ``short`` holds in the
     smaller one.  The order is by how many shingles share a cell of a table of ``CELLS`` counts, then by hash: the table is of fixed size, so that no shingle is joined to
     its count.
     """
-    found = written(pool.join(sets, "id"), "pool")
+    found = scratch.written(pool.join(sets, "id"), "pool")
     counts = found.select("shingles").mapInArrow(_frequencies, "cell int, c long").groupBy("cell").agg(F.sum("c").alias("c")).toPandas()  # at most CELLS rows
     table = np.zeros(CELLS, np.int64)
     table[counts["cell"]] = counts["c"]
@@ -210,6 +210,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Ids are whole numbers; an id that does not read as one raises CAST_INVALID_INPUT.
     ``crowded`` and ``block`` change the work, not the result.
     """
+    scratch = Scratch(docs.sparkSession)  # what the result doesn't read
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     profile = written(source.mapInArrow(_profile(shingle, bands, rows), "id long, n_shingles long, c1 long, c2 long, bands array<long>, s1 long, s2 long"), "profiles")
 
@@ -222,18 +223,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     member = written(join_hot(linkable.select("id", *content), classes.drop("first"), content, count="copies", total=n_rows, spread=["id"]).select("id", "point").distinct(), "members")
     one_row = [*content, "first"]
     firsts = linkable.withColumnRenamed("id", "first").join(classes, one_row).dropDuplicates(one_row)
-    points = written(firsts.select(F.col("point").alias("id"), "n_shingles", "bands", "s1", "s2"), "points")
+    points = scratch.written(firsts.select(F.col("point").alias("id"), "n_shingles", "bands", "s1", "s2"), "points")
     texts_of = member.groupBy("id").agg(F.min("point").alias("u"), F.max("point").alias("w"), F.count("*").alias("n")).where("u < w").drop("w")
-    same = written(join_hot(member, texts_of, ["id"], count="n", total=n_rows, spread=["point"]).where("u <> point").select("u", F.col("point").alias("v")), "same")
+    same = scratch.written(join_hot(member, texts_of, ["id"], count="n", total=n_rows, spread=["point"]).where("u <> point").select("u", F.col("point").alias("v")), "same")
 
     met = points.select("id", F.explode("bands").alias("bucket"))
     shared = met.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("others")).where("least < most").select("bucket", "others", F.col("others").alias("m"))
-    met = written(join_hot(met, shared, ["bucket"], count="m", total=bands * points.count(), spread=["id"]), "buckets")
+    met = scratch.written(join_hot(met, shared, ["bucket"], count="m", total=bands * points.count(), spread=["id"]), "buckets")
     facts = points.select("id", F.col("n_shingles").alias("n"), "s1", "s2").join(met.groupBy("id").agg(F.sum("others").alias("weight")), "id")
-    met = written(met.select("bucket", "id").join(facts, "id"), "points")
+    met = scratch.written(met.select("bucket", "id").join(facts, "id"), "points")
     used = classes.join(facts.select(F.col("id").alias("point")), "point").select("first", *content, "point")
     found = source.join(used.select(F.col("first").alias("id")).distinct(), "id", "left_semi").mapInArrow(_sets(shingle), "first long, n_shingles long, c1 long, c2 long, shingles array<long>")
-    sets = written(found.join(used, one_row).dropDuplicates(one_row).select(F.col("point").alias("id"), "shingles"), "sets")
+    sets = scratch.written(found.join(used, one_row).dropDuplicates(one_row).select(F.col("point").alias("id"), "shingles"), "sets")
 
     def components(*tests: DataFrame) -> DataFrame:
         links = same
@@ -250,13 +251,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def confirmed(edges: DataFrame) -> DataFrame:
         full = edges.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("set_u")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("set_v")), "v")
-        return written(full.select("u", "v", _similar(F.col("set_u"), F.col("set_v"), percent).alias("linked")), "candidates")
+        return scratch.written(full.select("u", "v", _similar(F.col("set_u"), F.col("set_v"), percent).alias("linked")), "candidates")
 
     def still_open(placed: DataFrame, component: DataFrame) -> DataFrame:
         """The rows of buckets whose points are not all connected, with their component and the bucket's number of rows."""
         placed = placed.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         parted = placed.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket", "m", F.col("m").alias("rows"))
-        return written(join_hot(placed, parted, ["bucket"], count="rows", total=n_met, spread=["id"]), "open")
+        return scratch.written(join_hot(placed, parted, ["bucket"], count="rows", total=n_met, spread=["id"]), "open")
 
     def star(placed: DataFrame, *centres: Column) -> DataFrame:
         """Candidates of every bucket round each of its centres."""
@@ -282,11 +283,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     pool = placed.where(F.col("m") > crowded).select("id", "n", "s1", "s2", "component").distinct()
     edges = near(pairs)
     if not pool.isEmpty():
-        rare = written(_rare_shingles(pool, sets, percent), "rare")
+        rare = scratch.written(_rare_shingles(pool, sets, percent, scratch), "rare")
         edges = edges.union(near(_meetings(rare, percent, block))).distinct()
     tried = confirmed(edges.join(tested, ["u", "v"], "left_anti"))
     if not tried.where("linked").isEmpty():
         component = components(tested, tried)
+    scratch.drop()
 
     placed = classes.join(component, F.col("point") == F.col("node"), "left").select("point", "first", "copies", F.coalesce("component", "point").alias("component"))
     least = placed.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("m"))
