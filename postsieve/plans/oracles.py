@@ -238,4 +238,8 @@ ORACLES |= {
     "candidate_tokens": f"""with counts as (select company, count(*) as n from ({VIEWS['f_employers']}) where length(company) > 2 group by company order by n desc, company limit 20), shapes as ({ORACLES['slug_candidates']}),
         each as (select c.company, unnest(string_split(tokens, '|')) as token, generate_subscripts(string_split(tokens, '|'), 1) as pos from counts c join shapes s on s.company = c.company)
         select company, token from (select *, row_number() over (partition by lower(token) order by pos, company desc) as r from each) where r = 1 and lower(token) not in ('brand12', 'brand3')""",
+    "landed_feeds": """select 'rows' as kind, p_name as title, p_type as location, sum(case when p_brand like '%1' then 1 else 2 end)::bigint as n from part group by all
+        union all select 'files', s, count(distinct p_brand)::varchar, count(distinct p_brand) from part, (values ('ashby'), ('cut')) t(s) where s = 'ashby' or p_brand not like '%1' group by s
+        union all select 'errors', 'zipped', count(distinct p_brand)::varchar, count(distinct p_brand) from part union all select 'errors', 'gone', '0', 1
+        union all select 'errors', 'cut', count(distinct p_brand)::varchar, count(distinct p_brand) from part where p_brand like '%1'""",
 }

@@ -14,7 +14,7 @@ from postsieve.functions import dates as D
 from postsieve.functions import text as T
 from postsieve.operators import dedup, entity, reconcile, registry, report, rules, skills, state
 from postsieve.operators.keyed_table import KeyedTable
-from postsieve.sources import boards, filings
+from postsieve.sources import boards, filings, landed
 from postsieve.sources.html import html_to_text
 from postsieve.streaming import flows
 
@@ -741,6 +741,25 @@ def union_landed(s, d):
     return out.union(s.range(1).select(F.lit("gone"), F.lit("source"), F.lit(sum(isinstance(e, str) for _, e in errors)).cast("long")))
 
 
+@query
+def landed_feeds(s, d):
+    """Three landed folders, one of them with files that aren't what they are said to be and one that isn't there: titles by arrival, and the errors."""
+    path = _shared(s, "landed")
+    item = F.struct(F.col("p_name").alias("title"), F.col("p_type").alias("location"))
+    raw = _one_payload(table(s, d, "part"), item, lambda x: F.struct(x.alias("jobs")))
+    for name in ("ashby", "cut"):
+        text = F.when((F.lit(name) == "cut") & F.col("token").endswith("1"), F.substring("payload", 1, 40)).otherwise(F.col("payload"))
+        # A token's payload in a folder of its own, named by the token alone.
+        raw.select(F.replace("token", F.lit("#"), F.lit("_")).alias("token"), text.alias("value")).repartition("token").write.partitionBy("token").text(f"{path}/{name}")
+    folders = [("ashby", f"{path}/ashby", "none"), ("zipped", f"{path}/ashby", "gzip"), ("gone", f"{path}/none", "none"), ("cut", f"{path}/cut", "none")]
+    good, bad = landed.split_landed(landed.read_landed(s, folders))
+    rows = boards.normalize_ashby(good.withColumn("name", F.lit(None).cast("string")))
+    out = rows.groupBy("title", "location").agg(F.count("*").alias("n")).select(F.lit("rows").alias("kind"), "title", "location", "n")
+    files = good.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("seq").alias("n_seq")).select(F.lit("files"), "source", F.col("n_seq").cast("string"), "n")
+    errors = bad.groupBy("source").agg(F.count("*").alias("n"), F.count("token").alias("n_token")).select(F.lit("errors"), "source", F.col("n_token").cast("string"), "n")
+    return out.union(files).union(errors)
+
+
 @query
 def filer_index(s, d):
     """The index written as text and read back."""
