@@ -5,7 +5,7 @@ way on good and on bad documents, and how many are good, is estimated by
 expectation-maximisation over the counts of all vote patterns (at most 3**rules rows).
 A document is kept if its posterior probability of being good reaches ``threshold``.
 
-Everything is DataFrame functions; an EM step is one aggregate over the pattern table.
+Everything on the documents is DataFrame functions; the estimation runs in the driver over the pattern table, whose size the number of rules bounds.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +37,6 @@ RULES: dict[str, tuple[str, tuple[float, float, float, float]]] = {
 #: hardly ever votes against a good document.  Afterwards they weigh as much as ``PRIOR_COUNT`` documents of a class, whatever the table's size.
 PRIOR = {"bad": (0.3, 0.1, 0.6), "good": (0.004, 0.1, 0.896)}
 PRIOR_COUNT = 20.0
-#: Windows of a text up to which hash and position are packed into one number; longer texts sort them as pairs.
-PACKED = 50_000
 ROUNDS, SETTLED = 40, 1e-2
 
 
@@ -50,12 +49,9 @@ def _repeated(word_list: Column) -> Column:
         return let(grams, of_grams)
 
     def of_grams(g: Column) -> Column:
-        """Positions in the order of their windows' hashes, so that equal windows stand together, in a plain sort of numbers where those have room."""
-        n = F.greatest(F.size(g), F.lit(1)).cast("long")
-        room = F.floor(F.lit(float(1 << 61)) / n).cast("long")
-        packed = F.transform(F.sort_array(F.transform(g, lambda x, i: F.pmod(x, room) * n + i)), lambda x: (x % n).cast("int"))
-        pairs = F.transform(F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("x"), i.alias("i")))), lambda p: p["i"])
-        return let(F.when(n > PACKED, pairs).otherwise(packed), lambda order: of_order(order, g))
+        """Positions in the order of their windows' hashes, so that equal windows stand together."""
+        pairs = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+        return let(F.transform(pairs, lambda p: p["i"]), lambda order: of_order(order, g))
 
     def of_order(order: Column, g: Column) -> Column:
         def same(x: Column, y: Column) -> Column:
@@ -126,16 +122,15 @@ def fit_votes(patterns: DataFrame, n_rules: int) -> list[float]:
             out += [math.log(x / y) for x, y in zip(for_good, for_bad, strict=True)]
         return out
 
-    none = [[0.0] * 3 for _ in range(n_rules)]
-    weights = weights_of(0.0, 0.0, none, none)
-    cells = [(F.get("votes", F.lit(j)) == v).cast("double") for j in range(n_rules) for v in range(3)]
-    whole = patterns.agg(F.sum("n").cast("double").alias("n"), *[F.sum(F.col("n") * c).alias(f"c{i}") for i, c in enumerate(cells)]).first()
-    total = whole[0] or 0.0
-    by_all = [[whole[1 + 3 * j + v] or 0.0 for v in range(3)] for j in range(n_rules)]
-    for _ in range(ROUNDS if total else 0):
-        scored = patterns.select("votes", (F.col("n") * _posterior(weights)).alias("g"))
-        row = scored.agg(F.sum("g"), *[F.sum(F.col("g") * c).alias(f"c{i}") for i, c in enumerate(cells)]).first()
-        before, weights = weights, weights_of(row[0], total, [[row[1 + 3 * j + v] for v in range(3)] for j in range(n_rules)], by_all)
+    rows = patterns.groupBy("votes").agg(F.sum("n").alias("n")).collect()  # at most 3**n_rules
+    n = np.array([float(r.n) for r in rows])
+    cells = np.array([r.votes for r in rows], int).reshape(len(n), n_rules) + 3 * np.arange(n_rules)  # of each pattern, the cell of each rule's vote
+    hot = np.zeros((len(n), 3 * n_rules))
+    hot[np.arange(len(n))[:, None], cells] = 1.0
+    by_all, weights = (n @ hot).reshape(n_rules, 3).tolist(), weights_of(0.0, 0.0, [[0.0] * 3] * n_rules, [[0.0] * 3] * n_rules)
+    for _ in range(ROUNDS if n.sum() else 0):
+        good = n / (1 + np.exp(-(weights[0] + hot @ np.array(weights[1:]))))
+        before, weights = weights, weights_of(float(good.sum()), float(n.sum()), (good @ hot).reshape(n_rules, 3).tolist(), by_all)
         if max(abs(x - y) for x, y in zip(before, weights, strict=True)) < SETTLED:
             break
     return weights
