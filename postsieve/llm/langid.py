@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import workers
 from .columns import beside_text
 from .store import written
 from .wordhash import text_slices
@@ -200,6 +201,7 @@ class LanguageModels:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """4-gram counts of each language in the texts that a task has read."""
+    workers.begin("langid")
     held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
     def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -222,6 +224,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _entropies(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin("langid")
         models = shared.value
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column(1)):
@@ -234,6 +237,7 @@ def _entropies(shared):
 
 def _predictions(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin("langid")
         models = shared.value
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column(batch.num_columns - 1)):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import wordhash
+from . import wordhash, workers
 from .columns import let
 from .components import connected_components
 from .skew import join_hot
@@ -99,6 +99,7 @@ def _contents(sets: list[np.ndarray]) -> list[pa.Array]:
 
 def _profile(shingle: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin("minhash")
         for batch in batches:
             for a, b, data, offsets in wordhash.text_slices(batch.column(1)):
                 sets = list(wordhash.shingle_sets(*wordhash.word_hashes(data, offsets), shingle))
@@ -119,6 +120,7 @@ def _profile(shingle: int, bands: int, rows: int):
 
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.begin("minhash")
         for batch in batches:
             for a, b, data, offsets in wordhash.text_slices(batch.column(1)):
                 sets = list(wordhash.shingle_sets(*wordhash.word_hashes(data, offsets), shingle))

@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import workers
 from .perfecthash import PerfectHash, fingerprints
 from .store import new_dir, written
 
@@ -41,6 +42,7 @@ _PLAIN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 _encoders: dict[str, Encoder] = {}
+workers.keep("tokenbin", _encoders.clear)
 
 
 class Encoder:
@@ -103,6 +105,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
+    workers.begin("tokenbin")
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

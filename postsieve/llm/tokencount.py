@@ -21,6 +21,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import workers
 from .columns import beside_text
 
 SPACE = "▁"
@@ -29,6 +30,7 @@ UNKNOWN_PENALTY = 10.0
 CACHE_CHUNKS = 600_000
 
 _counters: dict[str, Counter] = {}
+workers.keep("tokencount", _counters.clear)
 
 
 def sentencepiece_vocabulary(path: str) -> list[tuple[str, float]]:
@@ -113,6 +115,7 @@ class Counter:
 
 
 def counter(path: str) -> Counter:
+    workers.begin("tokencount")
     if path not in _counters:
         _counters[path] = Counter(sentencepiece_vocabulary(path))
     return _counters[path]
