@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lexicon import Lexicon
+from .picks import Pool, lazy_picks
 
 # Weights, and the shapes of section headers and of inline preferences.
 DEFAULT_WEIGHT, PREFERRED_WEIGHT, TITLE_BOOST, REPEAT_DISCOUNT, MENTION_CAP, IDF_FLOOR = 0.8, 0.5, 2.0, 0.7, 4, 0.1
@@ -126,24 +127,32 @@ def project_skill_join(weights: DataFrame, tags: DataFrame, doc: str = "doc_id")
     return weights.join(F.broadcast(tags) if few else tags, "skill").select(doc, "id", "skill", "weight", "depth")
 
 
-#: Projects that a pool may have, as it rides along with every posting.
-MOST_PROJECTS = 2_000
+#: Projects of a pool that rides along with every posting as a literal; a larger one, up to ``MOST_POOL``, is broadcast with an index of its tags.
+MOST_PROJECTS = 200
+MOST_POOL = 100_000
 
 
 def diversified_topk(docs: DataFrame, weights: DataFrame, projects: DataFrame, tags: DataFrame, k: int = 3, doc: str = "doc_id") -> DataFrame:
     """(doc, picks, scores, coverage, uncovered): greedy picks, a skill already covered counting 1 - 0.7 x its covered depth.
 
     Ties go to profile projects, then to the earlier position in the pool.  Weights are gathered once per posting (at most
-    one a lexicon key); the pool rides along as one literal array, and the k rounds run within the row, without a shuffle.
+    one a lexicon key); a small pool rides along as one literal array, and the k rounds run within the row, without a shuffle.  For
+    a larger one they are lazy: scores of an earlier round are upper bounds (``picks``).
     """
     pool = projects.join(tags.groupBy("id").agg(F.collect_list(F.struct("skill", "depth")).alias("tags"), F.sqrt(F.sum(F.col("depth") * F.col("depth"))).alias("norm")), "id")
-    listed = sorted(pool.limit(MOST_PROJECTS + 1).collect(), key=lambda r: r.pos)  # a pool that a person keeps
-    if len(listed) > MOST_PROJECTS:
-        raise ValueError(f"a pool of more than {MOST_PROJECTS} projects")
+    listed = sorted(pool.limit(MOST_POOL + 1).collect(), key=lambda r: r.pos)
+    if len(listed) > MOST_POOL:
+        raise ValueError(f"a pool of more than {MOST_POOL} projects")
     one = lambda r: F.struct(F.lit(r.id).alias("id"), F.lit(1 if r.kind == "profile" else 0).alias("prefer"), F.lit(-r.pos).alias("order"), F.lit(float(r.norm)).alias("norm"), F.map_from_arrays(F.array(*[F.lit(t.skill) for t in r.tags]), F.array(*[F.lit(float(t.depth)) for t in r.tags])).alias("tags"))
-    pool_column = F.array(*[one(r) for r in listed])
     gathered = weights.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("skill", "weight"))).alias("w"))
     state = docs.select(doc).distinct().join(gathered, doc, "left").withColumn("w", F.coalesce("w", F.expr("cast(array() as array<struct<skill: string, weight: double>>)")))
+    if len(listed) > MOST_PROJECTS:
+        entries = [(r.id, 1 if r.kind == "profile" else 0, r.pos, float(r.norm), {t.skill: float(t.depth) for t in r.tags}) for r in listed]
+        shared = docs.sparkSession.sparkContext.broadcast(Pool(entries))
+        kind = docs.schema[doc].dataType.simpleString()
+        found = state.select(F.col(doc).alias("doc"), "w").mapInArrow(lazy_picks(shared, k, REPEAT_DISCOUNT), f"doc {kind}, picks array<string>, scores array<double>, coverage double, uncovered array<string>")
+        return found.withColumnRenamed("doc", doc)
+    pool_column = F.array(*[one(r) for r in listed])
     state = state.withColumn("picks", F.expr("cast(array() as array<string>)")).withColumn("scores", F.expr("cast(array() as array<double>)")).withColumn("covered", F.expr("cast(map() as map<string, double>)"))
     for _ in range(min(k, len(listed))):
         def score(p: Column) -> Column:

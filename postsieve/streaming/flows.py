@@ -121,7 +121,7 @@ def verdict_ttl(stream: DataFrame, key: str = "company_key", positive_days: floa
     """The verdicts that change what is known of a key: (key, verified, ts) for a first verdict, a changed one, or one when the last is ``positive_days`` or ``negative_days`` old.
 
     Verdicts of one batch are taken in the order of time, a no before a yes; a repeated one renews nothing.  With ``clock="processing"`` lifetimes between batches are those of
-    the state store's own clock.  Start it within ``state_with_lifetimes``.
+    the state store's own clock, and the query runs until it is stopped, by a trigger of intervals or once.  Start it within ``state_with_lifetimes``.
     """
     if clock not in ("event", "processing"):
         raise ValueError("clock is event or processing")

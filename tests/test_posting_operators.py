@@ -255,7 +255,7 @@ def test_batches_do_not_depend_on_the_parts(spark, monkeypatch):
     df = spark.createDataFrame([(i * i, "a" if i % 3 else None, "d" * 9) for i in range(60)], "seq long, source string, description string")
     found = []
     for parts in (1, 7, 4096):
-        monkeypatch.setattr(reconcile, "PARTS", parts)
+        monkeypatch.setattr(reconcile, "STRETCHES", parts)
         found.append(sorted((r.seq, r.batch_no, r.idx) for r in reconcile.batch_index(df, 4, chars=5).collect()))
     assert found[0] == found[1] == found[2]
     assert [x for x in found[0] if x[0] % 9 == 0] == [((3 * i) ** 2, i // 4, i % 4) for i in range(20)]

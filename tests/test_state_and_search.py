@@ -211,3 +211,31 @@ def test_stretches_follow_clustered_numbers(spark):
     seqs = [0, *range(10**6, 10**6 + 20_000), 10**9]
     sizes = [sum(a <= s < b for s in seqs) for a, b in zip([-1, *ends], [*ends, 10**10], strict=True)]
     assert max(sizes) < 2 * len(seqs) / reconcile.STRETCHES
+
+
+# Picks from large pools
+
+
+def test_lazy_picks_are_those_of_every_round(spark, monkeypatch):
+    rng = random.Random(6)
+    all_skills = [f"s{i}" for i in range(12)]
+    projects = [(f"p{i:03d}", f"p{i:03d}", rng.choice(["profile", "catalog"]), i) for i in range(60)]
+    tags = [(p[0], s, rng.choice([0.2, 0.5, 1.0])) for p in projects for s in rng.sample(all_skills, rng.randrange(1, 4))]
+    weights = [(d, s, rng.choice([0.5, 1.0, 2.0])) for d in range(40) for s in rng.sample(all_skills, rng.randrange(0, 6))] + [(99, "unheard", 1.0)]
+    frames = (
+        spark.createDataFrame([(d,) for d in [*range(40), 98, 99]], "doc_id long"), spark.createDataFrame(weights, "doc_id long, skill string, weight double"),
+        spark.createDataFrame(projects, "id string, name string, kind string, pos int"), spark.createDataFrame(tags, "id string, skill string, depth double"),
+    )
+    rows = lambda: sorted((r.doc_id, r.picks, [round(x, 9) for x in r.scores], round(r.coverage, 9), r.uncovered) for r in skills.diversified_topk(*frames, k=4).collect())
+    want = rows()
+    monkeypatch.setattr(skills, "MOST_PROJECTS", 5)
+    assert rows() == want and len(want) == 42
+
+
+def test_ten_thousand_projects(spark):
+    rng = random.Random(7)
+    projects = spark.createDataFrame([(f"p{i}", f"p{i}", "catalog", i) for i in range(10_000)], "id string, name string, kind string, pos int")
+    tags = spark.createDataFrame([(f"p{i}", f"s{rng.randrange(150)}", rng.random()) for i in range(10_000) for _ in range(3)], "id string, skill string, depth double").groupBy("id", "skill").agg(F.max("depth").alias("depth"))
+    weights = spark.createDataFrame([(d, f"s{(7 * d + j) % 150}", 1.0 + j) for d in range(200) for j in range(8)], "doc_id long, skill string, weight double")
+    out = skills.diversified_topk(weights.select("doc_id").distinct(), weights, projects, tags).collect()
+    assert len(out) == 200 and all(len(set(r.picks)) == 3 and r.scores == sorted(r.scores, reverse=True) for r in out)
