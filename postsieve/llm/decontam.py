@@ -8,9 +8,10 @@ if some ``window`` of them (the whole item if that is shorter) agrees in at leas
 ``percent`` of its words.
 
 Everything is DataFrame functions.  The benchmark's seeds are broadcast while their
-number is at most ``broadcast_seeds``; beyond that both sides are shuffled by hash.  So
-are the ids of texts with hits, up to ``broadcast_ids``, so that texts without one stay
-where they are.
+number is at most ``broadcast_seeds``; beyond that both sides are shuffled by hash, with
+frequent seeds, counted before, dealt out to several tasks.  So are the ids of texts with
+hits, up to ``broadcast_ids``, so that texts without one stay where they are.  Hits meet
+items and texts in joins that deal out an item or a text of many hits.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import let
+from .skew import dealt_join, hot_parts
 from .store import written
 
 #: Weight five each; under them every 5th word may differ, wherever the first of these is.
@@ -63,6 +65,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     document, which overlaps where any of them does.  At the defaults no overlap of items of five words or more is missed.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    texts = texts.select("id", F.xxhash64("text").alias("digest"), "text")  # texts of one id meet their own hits only
     items = benchmark.select(F.col(item_col).alias("item"), _words(F.col(item_text_col).cast("string")).alias("item_words")).where(F.col("item").isNotNull() & (F.size("item_words") >= min_words))
     items = written(items, "items")
     short = F.size("item_words") < window
@@ -73,17 +76,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     item_seeds = items.select("item", short.alias("short"), F.posexplode(_seeds(F.col("item_words"), masks)).alias("q", "seed"))
     item_seeds = item_seeds.where(F.col("short") | (F.expr(f"q % {k}") < n_long)).select("seed", "item", F.expr(f"q div {k}").cast("int").alias("item_at"))
     item_seeds = written(item_seeds.where("seed is not null").distinct(), "seeds")
+    text_seeds = texts.select("id", "digest", F.posexplode(_seeds(_words(F.col("text")), masks)).alias("p", "seed")).where("seed is not null")
     if item_seeds.count() <= broadcast_seeds:
-        item_seeds = F.broadcast(item_seeds)
-    text_seeds = texts.select("id", F.posexplode(_seeds(_words(F.col("text")), masks)).alias("p", "seed")).where("seed is not null")
-    hits = text_seeds.join(item_seeds, "seed").select("id", "item", (F.expr(f"p div {k}").cast("int") - F.col("item_at")).alias("start")).distinct()
+        met = text_seeds.join(F.broadcast(item_seeds), "seed")
+    else:
+        counted = text_seeds.groupBy("seed").agg(F.count("*").alias("m"))  # summed before the shuffle
+        counted = written(counted.join(item_seeds.select("seed").distinct(), "seed", "left_semi"), "seed-counts")
+        total = counted.agg(F.sum("m")).first()[0] or 0
+        met = dealt_join(text_seeds, item_seeds, ["seed"], hot_parts(counted, ["seed"], count="m", total=total), spread=["id", "digest", "p"])
+    hits = met.select("id", "digest", "item", (F.expr(f"p div {k}").cast("int") - F.col("item_at")).alias("start")).distinct()
     hits = written(hits, "hits")
 
-    ids = hits.select("id").distinct()
+    n_hits = hits.count()
+    of_item = hits.groupBy("item").agg(F.count("*").alias("m"))
+    of_text = written(hits.groupBy("id", "digest").agg(F.count("*").alias("m")), "hit-texts")
+    ids = of_text.select("id", "digest")
     if ids.count() <= broadcast_ids:
         ids = F.broadcast(ids)
-    hit_texts = texts.join(ids, "id", "left_semi").select("id", _words(F.col("text")).alias("words"))
-    aligned = hits.join(items, "item").join(hit_texts, "id")
+    hit_texts = texts.join(ids, ["id", "digest"], "left_semi").select("id", "digest", _words(F.col("text")).alias("words"))
+    aligned = dealt_join(hits, items, ["item"], hot_parts(of_item, ["item"], count="m", total=n_hits), spread=["id", "digest", "start"])
+    aligned = dealt_join(aligned, hit_texts, ["id", "digest"], hot_parts(of_text, ["id", "digest"], count="m", total=n_hits), spread=["item", "start"])
     length = F.least(F.lit(window), F.size("item_words"))
     judged = aligned.select("id", "item", "start", length.alias("n_words"), _best(F.col("words"), F.col("item_words"), F.col("start"), length).alias("best"))
     judged = judged.where(100 * F.col("best.matches") >= percent * F.col("n_words"))

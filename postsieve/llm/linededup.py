@@ -13,6 +13,8 @@ number, is equal or within the bound.  Lines without a word always stay.
    each such group stands for it; lines whose lengths differ by one meet where the variant of one is
    the other.  No pair is made within a group, so a frequent variant costs no more than its rows.
 4. Candidates are compared word by word.
+
+Counts are taken before each join, and a frequent line, half or variant is dealt out to several tasks.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import let, words
+from .skew import dealt_join, hot_parts
 from .store import written
 
 MIN_WORDS = 5
@@ -117,11 +120,13 @@ def line_decisions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     numbered = _numbered(docs, id_col, text_col)
     w = F.col("words")
     lines = written(numbered.select(*_PLACE, F.xxhash64(w).alias("k1"), F.xxhash64(F.lit(7), w).alias("k2"), _halves(w, min_words).alias("halves")), "lines")
-    classes = written(lines.groupBy(*_KEY).agg(F.min(F.struct(*_PLACE)).alias("first")), "classes")
+    n_lines = lines.count()
+    classes = written(lines.groupBy(*_KEY).agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("copies")), "classes")
 
     halves = lines.where("halves is not null").select("k1", F.explode("halves").alias("half"))
-    met = halves.groupBy("half").agg(F.min("k1").alias("least"), F.max("k1").alias("most")).where("least <> most").select("half")
-    meeting = halves.join(met, "half", "left_semi").select("k1").distinct()
+    met = halves.groupBy("half").agg(F.min("k1").alias("least"), F.max("k1").alias("most"), F.count("*").alias("m")).where("least <> most")
+    met = written(met.select("half", "m"), "met")
+    meeting = dealt_join(halves, met.select("half"), ["half"], hot_parts(met, ["half"], count="m", total=4 * n_lines), spread=["k1"]).select("k1").distinct()
     # Their texts are joined by document, so that no other line is taken apart again.
     places = classes.join(meeting, "k1", "left_semi").select("first.*", *_KEY).groupBy("id", "digest").agg(F.collect_list(F.struct("line", *_KEY)).alias("places"))
     found = _texts(docs, id_col, text_col).join(places, ["id", "digest"])
@@ -132,10 +137,14 @@ def line_decisions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     variants = variants.select(F.struct(*_PLACE, *_KEY).alias("at"), "length", "gap", "place_key", "place_check", "order_key")
     gaps = variants.where("gap >= 0")
     group = ["length", "gap", "place_key", "place_check"]
-    earliest = gaps.groupBy(*group).agg(F.min("at").alias("other"), F.max("at").alias("last")).where("other <> last").select(*group, "other")
-    replaced = gaps.join(earliest, group).select("at", "other")
+    n_gaps = gaps.count()
+    earliest = gaps.groupBy(*group).agg(F.min("at").alias("other"), F.max("at").alias("last"), F.first("order_key").alias("order_key"), F.count("*").alias("m"))
+    earliest = written(earliest.where("other <> last").select(*group, "order_key", "other", "m"), "earliest")
+    replaced = dealt_join(gaps, earliest.select(*group, "other"), group, hot_parts(earliest, group, count="m", total=n_gaps), spread=["at"]).select("at", "other")
     whole = variants.where("gap < 0").select("length", "order_key", F.col("at").alias("other"))
-    inserted = gaps.join(whole, ["length", "order_key"]).select("at", "other")
+    # The variants of an order key are one group for each gap, and only groups of one row are not counted here: at most a line's length of them.
+    orders = earliest.groupBy("length", "order_key").agg(F.sum("m").alias("m"))
+    inserted = dealt_join(gaps, whole, ["length", "order_key"], hot_parts(orders, ["length", "order_key"], count="m", total=n_gaps), spread=["at"]).select("at", "other")
     pairs = replaced.union(inserted).select(F.greatest("at", "other").alias("a"), F.least("at", "other").alias("b"))
     # "Later" is by place alone; the keys behind it only settle equal places.
     pairs = pairs.where(F.struct("a.id", "a.digest", "a.line") != F.struct("b.id", "b.digest", "b.line")).select(F.col("a.k1").alias("a1"), F.col("a.k2").alias("a2"), F.col("b.k1").alias("b1"), F.col("b.k2").alias("b2")).distinct()
@@ -143,7 +152,8 @@ def line_decisions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     pairs = pairs.join(texts.toDF("a1", "a2", "words_a"), ["a1", "a2"]).join(texts.toDF("b1", "b2", "words_b"), ["b1", "b2"])
     near = pairs.where(_near(F.col("words_a"), F.col("words_b"))).select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).distinct().withColumn("near", F.lit(True))
 
-    judged = lines.select(*_PLACE, *_KEY).join(classes, _KEY).join(near, _KEY, "left")
+    verdicts = classes.drop("copies").join(near, _KEY, "left")
+    judged = dealt_join(lines.select(*_PLACE, *_KEY), verdicts, _KEY, hot_parts(classes, _KEY, count="copies", total=n_lines), spread=_PLACE)
     later = F.struct(*_PLACE) != F.col("first")
     return judged.select(*_PLACE, F.coalesce("near", F.when(later, False)).alias("near"))
 

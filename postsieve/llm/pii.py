@@ -37,6 +37,8 @@ MIN_DIGITS = 7
 BUCKETS = 1 << 12
 THRESHOLD = 0.9
 ROUNDS, DAMPING = 12, 0.5
+#: Nodes that are propagated side by side, about 3 KB each at the most; a text of more is by itself.
+NODES_AT_ONCE = 20_000
 SMOOTHING = 1.0
 UNDECIDED = 0.1
 #: Characters of a word or number that its shape looks at.
@@ -305,6 +307,19 @@ class Potentials:
         return p / p.sum(axis=1, keepdims=True)
 
 
+def _side_by_side(sizes: list[int], most: int) -> Iterator[list[int]]:
+    """Indexes of ``sizes`` in order, in runs whose sum is at most ``most``; a size above that is a run of its own."""
+    run, total = [], 0
+    for i, n in enumerate(sizes):
+        if run and total + n > most:
+            yield run
+            run, total = [], 0
+        run.append(i)
+        total += n
+    if run:
+        yield run
+
+
 def _decode(shared):
     def text_of(spans: list[tuple[int, int, int]]) -> str:
         return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in spans)
@@ -317,8 +332,8 @@ def _decode(shared):
             counts = [[sum(s[2] == k for s in b) for b in found] for k in range(len(KINDS))]
             digests = [hashlib.sha256(text_of(b).encode()).hexdigest() for b in found]
             open_rows = [i for i, g in enumerate(graphs) if any(n["label"] < 0 for n in g)]
-            for at in range(0, len(open_rows), 256):
-                rows = open_rows[at : at + 256]
+            for run in _side_by_side([len(graphs[i]) for i in open_rows], NODES_AT_ONCE):
+                rows = [open_rows[k] for k in run]
                 p, i = potentials.marginals([graphs[r] for r in rows]), 0
                 for r in rows:
                     for n in graphs[r]:
