@@ -46,3 +46,30 @@ def test_copies_are_told_apart_without_their_texts(spark, name):
     windows = list(below(plan_of(QUERIES[name](spark, SF)), r"Window \["))
     carried = [x for w in windows for x in w.split("\n") if "Relation [" not in x]  # a relation lists all its columns
     assert windows and not any("text#" in x or "description#" in x for x in carried)
+
+
+def test_a_merge_reads_its_rows_once(spark, tmp_path):
+    from postsieve.operators.keyed_table import KeyedTable
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        read.add(1)
+        return x
+
+    rows = spark.createDataFrame([(f"k{i % 9}" if i % 10 else None, i, f"n{i}" if i % 4 else " ") for i in range(200)], "k string, seq long, note string").withColumn("note", F.udf(counted, "string")("note"))
+    table = KeyedTable(spark, str(tmp_path / "t"), "k", "k string, seq long, note string", parts=4)
+    table.merge_latest(rows, "note")
+    assert read.value == 200
+    assert sorted((r.k or "", r.seq, r.note) for r in table.read().collect()) == sorted(
+        [("", 0, " ")] + [(f"k{j}", min(i for i in range(200) if i % 9 == j and i % 10), f"n{max(i for i in range(200) if i % 9 == j and i % 10 and i % 4)}") for j in range(9)]
+    )
+    table.append_new(rows.where("seq < 0").union(spark.createDataFrame([("k1", 1, "x"), ("z", 2, "y"), ("z", 1, None)], rows.schema)))
+    assert [(r.seq, r.note) for r in table.read().where("k = 'z'").collect()] == [(1, None)]
+
+
+def test_merged_rows_without_numbers_or_keys(spark):
+    target = spark.createDataFrame([("a", 1, "old"), (None, 2, "null"), ("q", None, None)], "k string, seq long, v string")
+    rows = spark.createDataFrame([("a", None, "x"), ("b", None, "late"), ("b", 7, None), (None, 3, "new"), ("q", 9, " "), ("c", None, "only")], "k string, seq long, v string")
+    found = sorted(((r.k or "", r.seq or 0, r.v or "") for r in state.merge_latest(target, rows, "k", "v").collect()))
+    assert found == sorted([("a", 1, "old"), ("", 2, "null"), ("q", 0, ""), ("b", 7, ""), ("", 3, "new"), ("c", 0, "only")])
