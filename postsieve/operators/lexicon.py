@@ -60,6 +60,30 @@ def required_literals(pattern: str) -> tuple[list[str], bool] | None:
     return longest, all(all(pieces) for pieces in branches)
 
 
+#: Branches that a pattern may be spread into.
+MOST_BRANCHES = 16
+_CLASS = re.compile(r"\[([^\]\\^&\[-][^\]\\&\[-]*|-[^\]\\&\[-]*)\]")
+
+
+def spread(pattern: str) -> str:
+    """A pattern that occurs in the same texts, with longer literals: short classes of plain characters become branches, and a letter that may be missing at a branch's end is left out."""
+    if _branches(pattern) is None or "(" in pattern or any(q in pattern for q in ("??", "?+", r"\|", r"\?", r"\[")):
+        return pattern
+    out = []
+    for branch in re.split(r"\|(?![^\[]*\])", pattern):
+        found, rest = [""], re.sub(r"(?<=[\w\]])(?<!\\\w)\w\?$", "", branch)
+        while rest:
+            inner = _CLASS.match(rest)
+            if inner and not re.match(r"[?*+{]", rest[inner.end() :]):
+                found = [x + ("\\" + ch if not ch.isalnum() and ch not in " -" else ch) for x in found for ch in dict.fromkeys(inner[1])]
+            else:
+                inner = re.compile(_TOKEN).match(rest)
+                found = [x + inner[0] for x in found]
+            rest = rest[inner.end() :]
+        out += found
+    return "|".join(out) if len(out) <= MOST_BRANCHES else pattern
+
+
 def trie_pattern(literals: Iterable[str]) -> str:
     """A pattern that matches the longest of the literals that begins at a place."""
     trie: dict = {}
@@ -85,7 +109,7 @@ class Lexicon:
 
     def __init__(self, patterns: Mapping[str, str]):
         self.patterns = dict(patterns)
-        literals = {k: required_literals(p) for k, p in self.patterns.items()}
+        literals = {k: required_literals(spread(p)) for k, p in self.patterns.items()}
         self.always = {k for k, found in literals.items() if found is None}
         self.exact = {k for k, found in literals.items() if found and found[1]}
         every = sorted({x for found in literals.values() if found for x in found[0]})
