@@ -107,7 +107,7 @@ def keyword_support(title: Column, description: Column, keywords: Sequence[str])
     return sum((word_any(text, [k.lower()]).cast("int") for k in keywords), F.lit(0))
 
 
-def _rules(cfg: GateConfig, title_only: bool) -> list[tuple[str, Column, Column]]:
+def _rules(cfg: GateConfig, title_only: bool, described: Column | None) -> list[tuple[str, Column, Column]]:
     """(stage, whether it stops the row, reason), in order."""
     title, location, description, high = (F.col(c) for c in ("title", "location", "description", "salary_max"))
     excluded = title_exclusion(title, cfg)
@@ -120,7 +120,7 @@ def _rules(cfg: GateConfig, title_only: bool) -> list[tuple[str, Column, Column]
     stop, years = desc_hard_stop(description, cfg), experience_stop(description, cfg.min_years)
     rules = [("stage1_location", location_excluded(location, cfg), F.concat(F.lit("Excluded location: '"), location, F.lit("'"))), *gate]
     rules.append(("stage1_salary", salary_below(high, cfg.salary_floor), F.concat(F.lit("Salary max $"), F.format_number(high, 0), F.lit(" below floor $"), F.format_number(F.lit(cfg.salary_floor), 0))))
-    rules.append(("stage1_no_desc", ~has_text(description), F.lit("No description")))
+    rules.append(("stage1_no_desc", ~(has_text(description) if described is None else described), F.lit("No description")))
     if cfg.stops:
         rules.append(("stage1_desc", stop.isNotNull(), F.concat(F.lit("Description hard-stop: '"), stop, F.lit("'"))))
     if cfg.min_years < 99:
@@ -131,12 +131,15 @@ def _rules(cfg: GateConfig, title_only: bool) -> list[tuple[str, Column, Column]
     return rules
 
 
-def rule_gate(df: DataFrame, cfg: GateConfig, title_only: bool = False) -> DataFrame:
+def rule_gate(df: DataFrame, cfg: GateConfig, title_only: bool = False, described: Column | None = None) -> DataFrame:
     """``df`` with the stage of the first rule that stops a row (``stage1_pass`` for none) and the reason.
 
-    Both come from one CASE, so a row is asked no rule behind the one that stops it.
+    Both come from one CASE, so a row is asked no rule behind the one that stops it.  ``described`` tells which rows have a description (never null) where the texts
+    themselves are elsewhere; a gate with rules on texts can't do without them.
     """
-    rules = _rules(cfg, title_only)
+    if described is not None and (cfg.stops or cfg.min_years < 99 or cfg.required_words):
+        raise ValueError("rules on descriptions need the descriptions")
+    rules = _rules(cfg, title_only, described)
     verdict = None
     for stage, stops, reason in rules:
         found = F.struct(F.lit(stage).alias("stage"), reason.alias("reason"))
