@@ -89,19 +89,23 @@ def posting_skill_weights(postings: DataFrame, lexicon: Mapping[str, str], idf_t
     section so far, so that nothing is shuffled.  Rows that repeat a document give their weights each.
     """
     keys = list(lexicon)
+    bound = lambda value, f: F.transform(F.array(value), f)[0]  # a value that several places use is computed once
     described = F.coalesce("description", F.lit(""))
     lines = F.split(described, LINE_END)
 
     def step(state: Column, line: Column, maybe) -> Column:
         def with_clean(c: Column) -> Column:
             carried = F.coalesce(header_weight(c), state["weight"])
-            own = F.when(c.rlike(PREFERRED_INLINE), F.least(carried, F.lit(PREFERRED_WEIGHT))).otherwise(carried)
-            t = F.lower(line)
-            hits = F.array(*[F.when(maybe(k), t.rlike(p)).otherwise(False) for k, p in lexicon.items()])
-            best = F.zip_with(state["best"], hits, lambda b, hit: F.when(hit, F.greatest(b, own)).otherwise(b))
-            return F.when(c == "", state).otherwise(F.struct(carried.alias("weight"), best.alias("best")))
+            own = lambda w: F.when(c.rlike(PREFERRED_INLINE), F.least(w, F.lit(PREFERRED_WEIGHT))).otherwise(w)
+            weights = bound(F.struct(carried.alias("carried"), F.lower(line).alias("t")), lambda x: F.struct(x["carried"].alias("carried"), own(x["carried"]).alias("own"), x["t"].alias("t")))
+            return F.when(c == "", state).otherwise(bound(weights, with_weights))
 
-        return F.transform(F.array(clean_line(line)), with_clean)[0]
+        def with_weights(x: Column) -> Column:
+            hits = F.array(*[F.when(maybe(k), x["t"].rlike(p)).otherwise(False) for k, p in lexicon.items()])
+            best = F.zip_with(state["best"], hits, lambda b, hit: F.when(hit, F.greatest(b, x["own"])).otherwise(b))
+            return F.struct(x["carried"].alias("weight"), best.alias("best"))
+
+        return bound(clean_line(line), with_clean)
 
     start = F.struct(F.lit(DEFAULT_WEIGHT).alias("weight"), F.array_repeat(F.lit(-1.0), len(keys)).alias("best"))
     best_sections = lambda _, maybe: F.aggregate(lines, start, lambda state, line: step(state, line, maybe))["best"]
