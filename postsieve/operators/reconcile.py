@@ -16,15 +16,16 @@ def batch_index(df: DataFrame, n: int = 8, by: str = "source", chars: int = 8000
 
     A quantile sketch of each feed's arrival numbers, merged from those of the tasks in one pass, gives the ends of stretches with about equally many rows, however the
     numbers cluster.  Rows are numbered within a stretch, and each begins where those before it end, so that one large feed is no heavy window.
+    Ends and beginnings, at most ``STRETCHES`` numbers a feed, go to where the rows are: a join by feed would put a large feed into one task.
     """
     shares = [i / STRETCHES for i in range(1, STRETCHES)]
     ends = df.groupBy(F.col(by).alias("__b")).agg(F.percentile_approx("seq", shares, ACCURACY).alias("__ends"))
     stretch = F.size(F.filter("__ends", lambda end: end <= F.col("seq")))
-    df = df.join(ends, F.col(by).eqNullSafe(F.col("__b"))).withColumn("__p", F.coalesce(stretch, F.lit(0))).drop("__b", "__ends")
+    df = df.join(F.broadcast(ends), F.col(by).eqNullSafe(F.col("__b"))).withColumn("__p", F.coalesce(stretch, F.lit(0))).drop("__b", "__ends")
     before = Window.partitionBy("__b").orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)
     parts = df.groupBy(F.col(by).alias("__b"), F.col("__p").alias("__q")).agg(F.count("*").alias("__n")).select("__b", "__q", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     inside = F.row_number().over(Window.partitionBy(by, "__p").orderBy("seq")) - 1
-    placed = df.withColumn("__i", inside).join(parts, F.col(by).eqNullSafe(F.col("__b")) & (F.col("__p") == F.col("__q")))
+    placed = df.withColumn("__i", inside).join(F.broadcast(parts), F.col(by).eqNullSafe(F.col("__b")) & (F.col("__p") == F.col("__q")))
     out = placed.withColumn("__r", F.col("__before") + F.col("__i")).drop("__p", "__q", "__b", "__i", "__before")
     out = out.withColumn("batch_no", F.floor(F.col("__r") / n)).withColumn("idx", (F.col("__r") % n).cast("int")).drop("__r")
     return out.withColumn("description", F.substring("description", 1, chars))
