@@ -73,3 +73,50 @@ def test_merged_rows_without_numbers_or_keys(spark):
     rows = spark.createDataFrame([("a", None, "x"), ("b", None, "late"), ("b", 7, None), (None, 3, "new"), ("q", 9, " "), ("c", None, "only")], "k string, seq long, v string")
     found = sorted(((r.k or "", r.seq or 0, r.v or "") for r in state.merge_latest(target, rows, "k", "v").collect()))
     assert found == sorted([("a", 1, "old"), ("", 2, "null"), ("q", 0, ""), ("b", 7, ""), ("", 3, "new"), ("c", 0, "only")])
+
+
+def test_only_texts_that_fold_leave_the_jvm(spark):
+    from postsieve.functions import text as T
+
+    texts = ["plain", "Übermäßig, très être", "мир и труд", "漢字と", "ﬁn", "áb", "x y", "½ ② ｆｕｌｌ", "Å Å", None, ""]
+    want = ["plain", "berm ig, tr s tre", "", "", "fin", "b", "x y", "1 2 2 full", "", None, ""]
+    found = spark.createDataFrame(list(enumerate(texts)), "i int, x string").select("i", F.col("x").rlike(T._folds_to_ascii()).alias("folds"), T.sanitize_ascii(F.col("x")).alias("y")).orderBy("i").collect()
+    assert [r.y for r in found] == want
+    assert [bool(r.folds) for r in found[:4]] == [False, False, False, True] and all(r.folds for r in found[4:9])
+    plan = "\n".join(plan_of(spark.createDataFrame([("a",)], "x string").select(T.sanitize_ascii(F.col("x")))))
+    assert re.search(r"ArrowEvalPython \[fold\(CASE WHEN", plan) or "Project [CASE WHEN RLIKE" in plan
+
+
+def test_short_classes_and_missing_ends_are_spread():
+    from postsieve.operators.lexicon import Lexicon, spread
+
+    cases = {"tionou|ou[- ]tions?": "tionou|ou-tion|ou tion", r"[a.]bcd": r"abcd|\.bcd", r"\bgpus?": r"\bgpu", r"ab\d?": r"ab\d?", "[a-c]de": "[a-c]de", "[ab]+cd": "[ab]+cd", "(ab|c)[de]": "(ab|c)[de]"}
+    assert {p: spread(p) for p in cases} == cases
+    assert Lexicon({"k": "tionou|ou[- ]tions?"}).exact == {"k"}
+
+
+def test_a_gate_without_texts_gives_the_same_rows(spark):
+    from postsieve.functions import text as T
+    from postsieve.operators import rules
+
+    df = spark.createDataFrame([("widget", "x", t, 1) for t in ("text", " \n", "", None, " ")] + [("rod", "x", "text", 1)], "title string, location string, description string, salary_max long")
+    cfg = rules.GateConfig(domain_words=("widget",))
+    marked = df.withColumn("described", T.has_text(F.col("description")))
+    want = sorted(map(tuple, rules.rule_gate(df, cfg).select("title", "stage", "reason").collect()))
+    assert sorted(map(tuple, rules.rule_gate(marked.drop("description"), cfg, described=F.col("described")).select("title", "stage", "reason").collect())) == want
+    with pytest.raises(ValueError):
+        rules.rule_gate(marked, rules.GateConfig(min_years=4), described=F.col("described"))
+
+
+def test_a_large_feed_is_not_joined_in_one_task(spark):
+    plan = "\n".join(plan_of(QUERIES["batch_index"](spark, SF)))
+    assert plan.count("rightHint=(strategy=broadcast)") >= 2
+
+
+def test_weights_bind_what_is_used_often(spark):
+    from postsieve.operators import skills
+
+    docs = spark.createDataFrame([(1, "t", "gear")], "doc_id int, title string, description string")
+    idf = spark.createDataFrame([("gear", 1.0)], "skill string, idf double")
+    plan = "\n".join(plan_of(skills.posting_skill_weights(docs, {"gear": r"\bgear\b", "bolt": r"\bbolt\b"}, idf)))
+    assert max(line.count(skills.PREFERRED_HEADER) for line in plan.split("\n")) == 1
