@@ -120,3 +120,24 @@ def test_weights_bind_what_is_used_often(spark):
     idf = spark.createDataFrame([("gear", 1.0)], "skill string, idf double")
     plan = "\n".join(plan_of(skills.posting_skill_weights(docs, {"gear": r"\bgear\b", "bolt": r"\bbolt\b"}, idf)))
     assert max(line.count(skills.PREFERRED_HEADER) for line in plan.split("\n")) == 1
+
+
+def test_parts_of_one_file_are_dealt_out_to_several_tasks(spark):
+    assert spark.read.parquet(f"{SF}/part.parquet").rdd.getNumPartitions() == 1
+    sizes = [r["count"] for r in QUERIES["skill_items"](spark, SF).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 200 and len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_skill_items_with_odd_marks(spark):
+    from postsieve.functions import text as T
+
+    cases = {
+        ("AWS (EC2, .Certified., S3)", "aws (A B C D, A B C, x, .-, Basic., Basics)"): ["AWS", "AWS EC2", "AWS S3", "aws A B C", "aws .-", "aws Basics"],
+        ("\t(Abc)", "(Abc)", "A (b", "A (B) (C)", "A ((B))"): ["\t", "Abc", "(Abc)", "A (b", "A", "A ((B))"],
+        ("**go/GO**", "**Go; rust/zig; Rust**", "x (coursework, ÉT, éT, \u2028, 9\tA)"): ["**go**", "**rust**", "zig", "x", "ÉT", "\u2028", "9\tA"],
+        ("a", None): None,
+        tuple(f"n{i % 40}, N{i}" for i in range(400)): [f"n{i}" for i in range(12)],
+    }
+    df = spark.createDataFrame([(i, list(items)) for i, items in enumerate(cases)], "i int, items array<string>")
+    found = df.select("i", T.normalize_skill_items(F.col("items")).alias("y")).orderBy("i").collect()
+    assert [r.y for r in found] == list(cases.values())
